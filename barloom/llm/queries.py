@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, tokenfile
+from barloom.llm import bpe, jaccard, langid, lattice, quality, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
+
+
+def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    net = quality.fit(quality.sample(docs, labels.where(langid.fold() != 0)))
+    return quality.score(docs, net).select("doc_id", (langid.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), train=docs.where(~F.coalesce(langid.fold() == 1, F.lit(False))), keep=("doc_id",))
+    return scored.withColumn("held_out", langid.fold() == 1)
+
+
+def op7_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.fit(docs.where(langid.fold() != 0))
+    return langid.predict(docs.select("doc_id", "text"), profiles).select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,8 +58,39 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_quality_network": op4_quality_network,
+    "op6_lattice_score": op6_lattice_score,
+    "op7_language_profiles": op7_language_profiles,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3_SQL = """
+with recursive
+words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+shingles as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as g
+  from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as m
+  from shingles x join shingles y on x.g = y.g and x.doc_id < y.doc_id
+  group by 1, 2),
+links as (
+  select a, b from shared join sizes s on s.doc_id = a join sizes t on t.doc_id = b
+  where 100 * m >= 90 * (s.n + t.n - m)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(node, seen) as (
+  select a, a from both_ways
+  union
+  select r.node, e.b from reach r join both_ways e on e.a = r.seen),
+lowest as (select node, min(seen) as c from reach group by node)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(l.c, d.doc_id)) as component_id
+from documents d left join sizes s on s.doc_id = d.doc_id left join lowest l on l.node = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": _OP3_SQL}
