@@ -42,10 +42,18 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every scratch table made so far; call when their readers are done."""
-    while _LIVE:
-        spark, path = _LIVE.pop()
+def live() -> list[tuple[SparkSession, str]]:
+    """The scratch tables that still exist."""
+    return list(_LIVE)
+
+
+def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete scratch tables (all by default); call when their readers are done."""
+    for entry in live() if tables is None else tables:
+        if entry not in _LIVE:
+            continue
+        _LIVE.remove(entry)
+        spark, path = entry
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
