@@ -1,14 +1,193 @@
-"""Registered queries over the driver's tables and the SQL they must agree with."""
+"""Registered queries over the driver's tables and the SQL they must agree with.
+
+Keys begin with the inventory ids they cover (F: canonical factors, K and Q: alpha
+factors, WN: window primitives, XS: cross-section, JN: joins, and so on).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.operators import factors as fac
+from barloom.operators.panel import factor_frame
+from barloom.plans import sql as S
+from barloom.plans import testdata as T
+
+Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+R1 = "close / nullif(lag(close) over (partition by symbol order by timestamp), 0) - 1"
+
+
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def rounded(df: DataFrame, names: list[str], digits: int = 6, keys: tuple[str, ...] = ("symbol", "timestamp")) -> DataFrame:
+    return df.select(*keys, *(F.round(n, digits).alias(n) for n in names))
+
+
+def _panel(name: str, stages: list[dict[str, str]], final: dict[str, str], digits: int = 6, ctes: tuple[str, ...] = (), source: str = "bars", **tables: Query) -> None:
+    """A factor query: its names are the keys of ``final``, its SQL the formulas."""
+    names = list(final)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = {k: f(spark, sf_dir) for k, f in tables.items()}
+        return rounded(factor_frame(T.bars(spark, sf_dir), names, keep=["symbol", "timestamp"], **given), names, digits)
+
+    register(name, run, S.query([T.BARS_SQL, *ctes], stages, final, digits, source))
+
+
+r1 = {"r1": R1}
+_panel("f01_f04_returns", [], {f"return_{w}": f"{S.div('close', S.lag('close', w))} - 1" for w in (1, 3, 5, 10, 20, 60, 120)} | {f"momentum_{w}_21": f"{S.div(S.lag('close', 21), S.lag('close', w))} - 1" for w in (63, 126, 252)} | {f"short_term_reversal_{w}": f"-({S.div('close', S.lag('close', w))} - 1)" for w in (5, 20)})
+_panel("f05_f07_price_levels", [], {f"close_to_sma_{w}": f"{S.div('close', S.mean('close', w))} - 1" for w in (5, 10, 20, 60, 120)} | {n: f"{S.div('close', S.top('close', w))} - 1" for n, w in (("price_to_26w_high", 126), ("price_to_52w_high", 252))})
+_panel("f08_f61_volatility", [r1, {"neg": "case when r1 > 0 then 0 else r1 end"}], {f"volatility_{w}": S.std("r1", w) for w in (5, 10, 20, 60)} | {f"downside_volatility_{w}": f"sqrt({S.mean('neg * neg', w)})" for w in (20, 60)})
+_panel("f09_f10_volume", [], {f"volume_ratio_{w}": f"{S.div('volume', S.mean('volume', w))} - 1" for w in (5, 20, 60)} | {f"volume_trend_{a}_{b}": f"{S.div(S.mean('volume', a), S.mean('volume', b))} - 1" for a, b in ((5, 20), (10, 60))})
+_channel = lambda w: S.div(f"close - {S.low('low', w)}", f"{S.top('high', w)} - {S.low('low', w)}")
+_panel("f11_f13_ranges", [], {f"channel_position_{w}": _channel(w) for w in (10, 20, 60)} | {f"distance_to_high_{w}": f"{S.div('close', S.top('high', w))} - 1" for w in (10, 20, 60)} | {f"distance_to_low_{w}": f"{S.div('close', S.low('low', w))} - 1" for w in (10, 20, 60)})
+_panel(
+    "f14_f19_oscillators",
+    [
+        {"d": f"close - {S.lag('close')}", "tp": "(high + low + close) / 3", "k": _channel(14)},
+        {"dt": f"tp - {S.lag('tp')}"},
+        {"up": "case when dt > 0 then tp * volume else 0 end", "dn": "case when dt < 0 then tp * volume else 0 end"},
+        {"g": S.mean("greatest(d, 0) + 0 * d", 14), "x": S.mean("greatest(-d, 0) + 0 * d", 14), "u": S.total("up", 14), "w": S.total("dn", 14)},
+    ],
+    {
+        "rsi_14": "case when g is null then null when g = 0 then 0 when x = 0 then 100 else 100 - 100 / (1 + g / x) end",
+        "bollinger_zscore_20": S.div(f"close - {S.mean('close', 20)}", S.std("close", 20)),
+        "stochastic_k_14": "k",
+        "stochastic_d_14_3": S.mean("k", 3),
+        "williams_r_14": f"-100 * {S.div(S.top('high', 14) + ' - close', S.top('high', 14) + ' - ' + S.low('low', 14))}",
+        "money_flow_index_14": "case when u is null then null when w = 0 then 100 else 100 - 100 / (1 + u / w) end",
+    },
+)
+_panel(
+    "f20_f28_bar_shape",
+    [],
+    {
+        "intraday_range_pct": S.div("high - low", "close"), "open_to_close_pct": S.div("close - open", "open"), "overnight_gap_pct": f"{S.div('open', S.lag('close'))} - 1",
+        "close_location_value": S.div("close - low", "high - low"), "high_to_close_pct": f"{S.div('high', 'close')} - 1", "low_to_close_pct": f"{S.div('low', 'close')} - 1",
+        "upper_shadow_pct": S.div("high - greatest(open, close)", "close"), "lower_shadow_pct": S.div("least(open, close) - low", "close"), "real_body_pct": S.div("abs(close - open)", "open"),
+    },
+)
+_INDEX = (T.BENCHMARK_SQL, "index_returns as (select timestamp, close / lag(close) over (order by timestamp) - 1 as b from index_series)", "joined as (select bars.*, b from bars left join index_returns using (timestamp))")
+_both = lambda agg, w: f"case when count(case when b is not null then r1 end) {S.over(w)} = {w} and max(b) {S.over(w)} <> min(b) {S.over(w)} then {agg} end"
+_beta = lambda w: _both(f"covar_samp(r1, b) {S.over(w)} / nullif(var_pop(b) {S.over(w)}, 0)", w)
+_panel("f29_beta_jn1", [r1], {f"beta_{w}_hs300": _beta(w) for w in (20, 60, 120, 252)}, 5, _INDEX, "joined", benchmark=T.benchmark)
+_panel("f30_idiosyncratic_volatility", [r1, {f"e{w}": f"r1 - (({S.mean('r1', w)}) - ({_beta(w)}) * ({S.mean('b', w)}) + ({_beta(w)}) * b)" for w in (20, 60, 120)}], {f"ivol_{w}_hs300": S.std(f"e{w}", w) for w in (20, 60, 120)}, 5, _INDEX, "joined", benchmark=T.benchmark)
+_panel("f31_f32_liquidity", [r1, {"q": S.div("abs(r1)", "coalesce(amount, close * volume * 100)") + " * 1e6"}], {f"amihud_illiquidity_{w}": f"({S.mean('q', w)}) / 1e6" for w in (5, 20, 60)} | {f"dollar_volume_{w}": S.mean("coalesce(amount, close * volume * 100)", w) for w in (5, 20, 60)}, 5)
+_FUND = (T.FUNDAMENTALS_SQL, "funded as (select bars.*, f.* exclude (symbol, available_date) from bars asof left join fundamentals f on bars.symbol = f.symbol and bars.timestamp >= f.available_date)")
+_panel("f33_f34_turnover_jn2", [{"t": S.div("volume * 100", "share_capital")}], {f"turnover_{w}": S.mean("t", w) for w in (5, 20, 60)} | {f"abnormal_turnover_{w}": f"{S.div('t', S.mean('t', w))} - 1" for w in (5, 20, 60)}, 6, _FUND, "funded", fundamentals=T.fundamentals)
+_per = lambda c: S.div(S.div(c, "share_capital"), "close")
+_panel(
+    "f35_f39_valuation",
+    [],
+    {"log_total_mkt_cap": "ln(case when close * share_capital > 0 then close * share_capital end)", "book_to_market": _per("total_parent_equity"), "earnings_to_price": _per("parent_netprofit_ttm"), "sales_to_price": _per("total_operate_income_ttm"), "cashflow_to_price": _per("netcash_operate_ttm")},
+    6, _FUND, "funded", fundamentals=T.fundamentals,
+)
+_gross = "total_operate_income_ttm - operate_cost_ttm"
+_panel(
+    "f41_f60_statements",
+    [],
+    {
+        "gross_profit_to_assets": S.div(_gross, "total_assets"), "operating_profitability": S.div("operate_profit_ttm", "total_parent_equity"), "roe_ttm": S.div("parent_netprofit_ttm", "total_parent_equity"),
+        "roa_ttm": S.div("parent_netprofit_ttm", "total_assets"), "gross_margin": S.div(_gross, "total_operate_income_ttm"), "operating_margin": S.div("operate_profit_ttm", "total_operate_income_ttm"),
+        "cash_profitability": S.div("netcash_operate_ttm", "total_assets"), "asset_turnover": S.div("total_operate_income_ttm", "total_assets"), "liabilities_to_assets": S.div("total_liabilities", "total_assets"),
+        "liabilities_to_equity": S.div("total_liabilities", "total_parent_equity"), "cash_to_assets": S.div("monetary_funds", "total_assets"), "inventory_to_assets": S.div("inventory", "total_assets"),
+        "receivables_to_assets": S.div("accounts_rece", "total_assets"), **{c: c for c in ("asset_growth", "investment_to_assets", "accruals", "inventory_growth", "receivables_growth", "capex_growth")},
+    },
+    6, _FUND, "funded", fundamentals=T.fundamentals,
+)
+_PAID = (
+    *_FUND,
+    T.DIVIDENDS_SQL,
+    """paying as (
+  select funded.*, case when exists (select 1 from dividends x where x.symbol = funded.symbol) then coalesce((
+    select sum(cash) from dividends d where d.symbol = funded.symbol and d.event_date <= funded.timestamp and d.event_date > funded.timestamp - interval 365 day), 0) end as dps
+  from funded)""",
+)
+_panel("f40_f49_dividends_jn4", [], {"dividend_yield_ttm": S.div("dps", "close"), "dividend_payout_ratio_ttm": S.div("dps", S.div("parent_netprofit_ttm", "share_capital"))}, 7, _PAID, "paying", fundamentals=T.fundamentals, dividends=T.dividends)
+_gk = "greatest(0.5 * ln(high / low) * ln(high / low) - (2 * ln(2) - 1) * ln(close / open) * ln(close / open), 0)"
+_panel(
+    "f62_f64_range_volatility",
+    [{"tr": f"greatest(high - low, abs(high - {S.lag('close')}), abs(low - {S.lag('close')}))", "pk": "ln(high / low) * ln(high / low) / (4 * ln(2))", "gk": _gk}],
+    {f"atr_{w}_pct": S.div(S.mean("tr", w), "close") for w in (14, 20)} | {f"parkinson_volatility_{w}": f"sqrt({S.mean('pk', w)})" for w in (20, 60)} | {f"garman_klass_volatility_{w}": f"sqrt({S.mean('gk', w)})" for w in (20, 60)},
+)
+_peers = (
+    T.INDUSTRY_SQL,
+    "placed as (select bars.*, i.level_1, close / nullif(lag(close) over (partition by bars.symbol order by timestamp), 0) - 1 as own from bars asof left join industry i on bars.symbol = i.symbol and bars.timestamp >= i.change_date)",
+    "peers as (select *, case when count(own) over g > 1 then (coalesce(sum(own) over g, 0) - own) / (count(own) over g - 1) end as peer from placed window g as (partition by timestamp, level_1))",
+)
+_panel("f03_industry_momentum_ag1_jn3", [{f"m{w}": f"lag(1 + peer, 21) {S.P}" for w in (63,)}], {"industry_momentum_63_21": f"({S.full('product(m63)', 'm63', 42)}) - 1"}, 5, _peers, "peers", industry=T.industry)
+
+_rng = "(nullif(high - low, 0) + 1e-12)"
+_panel(
+    "k1_k9_kbar",
+    [],
+    {"KMID": S.div("close - open", "open"), "KLEN": S.div("high - low", "open"), "KMID2": f"(close - open) / {_rng}", "KUP": S.div("high - greatest(open, close)", "open"), "KUP2": f"(high - greatest(open, close)) / {_rng}",
+     "KLOW": S.div("least(open, close) - low", "open"), "KLOW2": f"(least(open, close) - low) / {_rng}", "KSFT": S.div("2 * close - high - low", "open"), "KSFT2": f"(2 * close - high - low) / {_rng}"},
+)
+_panel("alpha360_raw_history", [], {f"{f.upper()}{k}": S.div(S.lag("amount / (volume * 100)" if f == "vwap" else f, k), "close") for f in fac.HISTORY_FIELDS for k in (0, 1, 30, 59)} | {f"VOLUME{k}": f"{S.lag('volume', k)} / (volume + 1e-12)" for k in (0, 1, 30, 59)})
+
+
+def _alpha(name: str, ops: dict[str, Callable[[int], str]], stages: list[dict[str, str]], windows: tuple[int, ...] = (5, 20, 60), digits: int = 6) -> None:
+    _panel(name, stages, {f"{op}{w}": f(w) for op, f in ops.items() for w in windows}, digits)
+
+
+_d = {"lc": S.lag("close"), "d": f"close - {S.lag('close')}", "dv": f"volume - {S.lag('volume')}", "rn": f"row_number() {S.P}"}
+_alpha("q01_q03_q07_q08_q12_levels", {"ROC": lambda w: S.div(S.lag("close", w), "close"), "MA": lambda w: S.div(S.mean("close", w), "close"), "STD": lambda w: S.div(S.std("close", w), "close"), "MAX": lambda w: S.div(S.top("high", w), "close"), "MIN": lambda w: S.div(S.low("low", w), "close"), "RSV": _channel}, [])
+_alpha(
+    "q04_q06_wn15_wn17_regression",
+    {
+        "BETA": lambda w: S.div(S.full("regr_slope(close, rn)", "close", w), "close"),
+        "RSQR": lambda w: f"case when max(close) {S.over(w)} <> min(close) {S.over(w)} then {S.full('regr_r2(close, rn)', 'close', w)} end",
+        "RESI": lambda w: S.div(f"close - (({S.full('regr_intercept(close, rn)', 'close', w)}) + ({S.full('regr_slope(close, rn)', 'close', w)}) * rn)", "close"),
+    },
+    [_d], digits=5,
+)
+_since = lambda x, m, w: f"case when count({x}) {S.over(w)} = {w} then ({w} - list_position(list({x}) {S.over(w)}, {m}({x}) {S.over(w)}))::double end"
+_alpha(
+    "q09_q11_q13_q15_wn10_wn12_order",
+    {
+        "QTLU": lambda w: S.div(S.full("quantile_cont(close, 0.8)", "close", w), "close"), "QTLD": lambda w: S.div(S.full("quantile_cont(close, 0.2)", "close", w), "close"),
+        "RANK": lambda w: f"case when count(close) {S.over(w)} = {w} then (list_sum(list_transform(list(close) {S.over(w)}, lambda v: case when v < close then 1.0 when v = close then 0.5 else 0.0 end)) + 0.5) / {w} end",
+        "IMAX": lambda w: f"({_since('high', 'max', w)}) / {w}", "IMIN": lambda w: f"({_since('low', 'min', w)}) / {w}", "IMXD": lambda w: f"(({_since('high', 'max', w)}) - ({_since('low', 'min', w)})) / {w}",
+    },
+    [], windows=(5, 30),
+)
+_corr = lambda a, b, w: f"case when count(case when {b} is not null then {a} end) {S.over(w)} = {w} and max({a}) {S.over(w)} <> min({a}) {S.over(w)} and max({b}) {S.over(w)} <> min({b}) {S.over(w)} then covar_pop({a}, {b}) {S.over(w)} / nullif(stddev_pop({a}) {S.over(w)} * stddev_pop({b}) {S.over(w)}, 0) end"
+_alpha("q16_q17_wn13_correlation", {"CORR": lambda w: _corr("close", "lv", w), "CORD": lambda w: _corr("rc", "rv", w)}, [{"lv": "ln(volume + 1)", "rc": S.div("close", S.lag("close")), "rv": f"ln({S.div('volume', S.lag('volume'))} + 1)"}], digits=5)
+_share = lambda d, s, w: f"({S.total(f'case when {s}{d} < 0 then 0 else {s}{d} end', w)}) / (({S.total(f'abs({d})', w)}) + 1e-12)"
+_count = lambda s, w: S.mean(f"(case when coalesce({s}, false) then 1.0 else 0.0 end)", w)
+_alpha(
+    "q18_q23_direction",
+    {
+        "CNTP": lambda w: _count("d > 0", w), "CNTN": lambda w: _count("d < 0", w), "CNTD": lambda w: f"({_count('d > 0', w)}) - ({_count('d < 0', w)})",
+        "SUMP": lambda w: _share("d", "", w), "SUMN": lambda w: _share("d", "-", w), "SUMD": lambda w: f"{_share('d', '', w)} - {_share('d', '-', w)}",
+    },
+    [_d],
+)
+_alpha(
+    "q24_q29_volume",
+    {
+        "VMA": lambda w: f"({S.mean('volume', w)}) / (volume + 1e-12)", "VSTD": lambda w: f"({S.std('volume', w)}) / (volume + 1e-12)", "WVMA": lambda w: f"({S.std('m', w)}) / (({S.mean('m', w)}) + 1e-12)",
+        "VSUMP": lambda w: _share("dv", "", w), "VSUMN": lambda w: _share("dv", "-", w), "VSUMD": lambda w: f"{_share('dv', '', w)} - {_share('dv', '-', w)}",
+    },
+    [_d | {"m": f"abs({R1}) * volume"}],
+)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flagship"](spark, sf_dir)
+    """Mean daily rank IC of close_to_sma_20 against the next five bars' return."""
+    from barloom.operators import metrics
+
+    out = metrics.evaluate(T.scored(spark, sf_dir))
+    return out.select(*(F.round(c, 6).alias(c) for c in metrics.METRICS))
