@@ -11,10 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import expr as E
+from barloom.functions import windows as W
+from barloom.operators import cross_section as X
+from barloom.operators import diagnostics, ingest, metrics, ridge, splits
 from barloom.operators import factors as fac
+from barloom.operators import references as R
+from barloom.operators.dataset import Spec, training_dataset
 from barloom.operators.panel import factor_frame
+from barloom.plans import experiment
 from barloom.plans import sql as S
 from barloom.plans import testdata as T
+from barloom.plans.compiler import evaluate
+from barloom.sources import bars as sources
+from barloom.sources import symbols
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +95,7 @@ _panel("f29_beta_jn1", [r1], {f"beta_{w}_hs300": _beta(w) for w in (20, 60, 120,
 _panel("f30_idiosyncratic_volatility", [r1, {f"e{w}": f"r1 - (({S.mean('r1', w)}) - ({_beta(w)}) * ({S.mean('b', w)}) + ({_beta(w)}) * b)" for w in (20, 60, 120)}], {f"ivol_{w}_hs300": S.std(f"e{w}", w) for w in (20, 60, 120)}, 5, _INDEX, "joined", benchmark=T.benchmark)
 _panel("f31_f32_liquidity", [r1, {"q": S.div("abs(r1)", "coalesce(amount, close * volume * 100)") + " * 1e6"}], {f"amihud_illiquidity_{w}": f"({S.mean('q', w)}) / 1e6" for w in (5, 20, 60)} | {f"dollar_volume_{w}": S.mean("coalesce(amount, close * volume * 100)", w) for w in (5, 20, 60)}, 5)
 _FUND = (T.FUNDAMENTALS_SQL, "funded as (select bars.*, f.* exclude (symbol, available_date) from bars asof left join fundamentals f on bars.symbol = f.symbol and bars.timestamp >= f.available_date)")
-_panel("f33_f34_turnover_jn2", [{"t": S.div("volume * 100", "share_capital")}], {f"turnover_{w}": S.mean("t", w) for w in (5, 20, 60)} | {f"abnormal_turnover_{w}": f"{S.div('t', S.mean('t', w))} - 1" for w in (5, 20, 60)}, 6, _FUND, "funded", fundamentals=T.fundamentals)
+_panel("f33_f34_turnover_jn2", [{"t": S.div("volume * 100", "share_capital")}], {f"turnover_{w}": S.mean("t", w) for w in (5, 20, 60)} | {f"abnormal_turnover_{w}": f"{S.div('t', S.mean('t', w))} - 1" for w in (5, 20, 60)}, 11, _FUND, "funded", fundamentals=T.fundamentals)
 _per = lambda c: S.div(S.div(c, "share_capital"), "close")
 _panel(
     "f35_f39_valuation",
@@ -114,7 +124,7 @@ _PAID = (
     select sum(cash) from dividends d where d.symbol = funded.symbol and d.event_date <= funded.timestamp and d.event_date > funded.timestamp - interval 365 day), 0) end as dps
   from funded)""",
 )
-_panel("f40_f49_dividends_jn4", [], {"dividend_yield_ttm": S.div("dps", "close"), "dividend_payout_ratio_ttm": S.div("dps", S.div("parent_netprofit_ttm", "share_capital"))}, 7, _PAID, "paying", fundamentals=T.fundamentals, dividends=T.dividends)
+_panel("f40_f49_dividends_jn4", [], {"dividend_yield_ttm": S.div("dps", "close"), "dividend_payout_ratio_ttm": S.div("dps", S.div("parent_netprofit_ttm", "share_capital"))}, 10, _PAID, "paying", fundamentals=T.fundamentals, dividends=T.dividends)
 _gk = "greatest(0.5 * ln(high / low) * ln(high / low) - (2 * ln(2) - 1) * ln(close / open) * ln(close / open), 0)"
 _panel(
     "f62_f64_range_volatility",
@@ -185,9 +195,231 @@ _alpha(
 )
 
 
+
+# -- primitives, cross-section, labels, splits and metrics
+
+_SCORED = "scored as (select symbol, timestamp, close, round(close / nullif(case when count(close) over w = 20 then avg(close) over w end, 0) - 1, 9) as p, round(lead(close, 5) over t / nullif(close, 0) - 1, 9) as y from bars window w as (partition by symbol order by timestamp rows between 19 preceding and current row), t as (partition by symbol order by timestamp))"
+_RANK = lambda x, by="timestamp": f"((rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2.0) / count(*) over (partition by {by}))"
+_DAILY = lambda by="timestamp", source="scored": f"""
+ranked as (select *, {_RANK('p', by)} as rp, {_RANK('y', by)} as ry, row_number() over (partition by {by} order by p desc, symbol) as np, row_number() over (partition by {by} order by y desc, symbol) as ny
+  from {source} where p is not null and y is not null),
+daily as (select {by}, case when count(*) > 1 and max(p) <> min(p) and max(y) <> min(y) then covar_pop(p, y) / (stddev_pop(p) * stddev_pop(y)) end as ic,
+    case when count(*) > 1 and max(p) <> min(p) and max(y) <> min(y) then covar_pop(rp, ry) / (stddev_pop(rp) * stddev_pop(ry)) end as rank_ic,
+    sum(case when np <= 10 then (pow(2, y) - 1) / log2(np + 1) end) as dcg, sum(case when ny <= 10 then (pow(2, y) - 1) / log2(ny + 1) end) as idcg,
+    sum(abs(p - y)) as ae, sum((p - y) * (p - y)) as se, count(*) as n, sum(y) as sy, sum(y * y) as sy2
+  from ranked group by {by})"""
+_METRICS = """
+    avg(ic) as ic, case when count(ic) > 1 then stddev_pop(ic) else 0 end as ic_std, avg(rank_ic) as rank_ic, case when count(rank_ic) > 1 then stddev_pop(rank_ic) else 0 end as rank_ic_std,
+    avg(case when idcg > 0 then dcg / idcg end) as ndcg_at_10, sum(ae) / sum(n) as mae,
+    case when sum(sy2) - sum(sy) * sum(sy) / sum(n) > 0 then 1 - sum(se) / (sum(sy2) - sum(sy) * sum(sy) / sum(n)) when sum(se) = 0 then 1 else 0 end as r2"""
+_FINAL = ", ".join(f"round(coalesce({e}, 0), 5) + 0.0 as {n}" for n, e in {c: c for c in ("ic", "ic_std", "rank_ic", "rank_ic_std", "ndcg_at_10", "mae", "r2")}.items()) + ", round(case when ic_std > 0 then coalesce(ic, 0) / ic_std else 0 end, 5) + 0.0 as icir, round(case when rank_ic_std > 0 then coalesce(rank_ic, 0) / rank_ic_std else 0 end, 5) + 0.0 as rank_icir"
+
+
+def _with(*ctes: str) -> str:
+    return "with " + ",\n".join((T.BARS_SQL, *ctes)) + "\n"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean daily rank IC of close_to_sma_20 against the next five bars' return."""
-    from barloom.operators import metrics
+    return rounded(metrics.evaluate(T.scored(spark, sf_dir)), list(metrics.METRICS), 5, ())
+
+
+register("flagship", flagship, _with(_SCORED, _DAILY(), f"m as (select {_METRICS} from daily)") + f"select {_FINAL} from m")
+register(
+    "xs6_xs8_daily_metrics",
+    lambda s, d: rounded(metrics.daily(T.scored(s, d)), ["ic", "rank_ic", "ndcg_at_10"], 5, ("timestamp", "n")),
+    _with(_SCORED, _DAILY()) + "select timestamp, n, round(ic, 5) + 0.0 as ic, round(rank_ic, 5) + 0.0 as rank_ic, round(case when idcg > 0 then dcg / idcg end, 5) + 0.0 as ndcg_at_10 from daily",
+)
+register(
+    "wn4_wn18_wn21_primitives",
+    lambda s, d: rounded(
+        evaluate(
+            T.bars(s, d).withColumn("x", F.when(F.col("volume") % 7 != 0, F.col("close"))),
+            {"filled": W.padded(E.column("x")), "change": W.pct_change(E.column("x"), 2), "running": W.running(E.column("volume")), "product": W.compounded(W.pct_change(E.column("close")), 10, 3), "history_count": W.position(), "ahead": W.lead(E.column("close"), 3)},
+            ["symbol", "timestamp"],
+        ),
+        ["filled", "change", "running", "product", "history_count", "ahead"],
+        9,
+    ),
+    S.query(
+        [T.BARS_SQL],
+        [
+            {"x": "case when volume % 7 <> 0 then close end", "r": R1},
+            {"f": "last_value(x ignore nulls) over (partition by symbol order by timestamp rows unbounded preceding)", "g": f"lag(1 + r, 3) {S.P}"},
+        ],
+        {"filled": "f", "change": f"f / nullif({S.lag('f', 2)}, 0) - 1", "running": "sum(volume) over (partition by symbol order by timestamp rows unbounded preceding)", "product": f"({S.full('product(g)', 'g', 7)}) - 1", "history_count": f"row_number() {S.P}", "ahead": f"lead(close, 3) {S.P}"},
+        9,
+    ),
+)
+register(
+    "xs1_xs3_normalize",
+    lambda s, d: rounded(X.normalize(T.scored(s, d).withColumn("z", F.col("prediction")), ["z"], "zscore").withColumn("rank", X.rank_pct("prediction")), ["z", "rank"], 5),
+    _with(_SCORED)
+    + f"""select symbol, timestamp, round(case when max(p) over d <> min(p) over d then (p - avg(p) over d) / stddev_samp(p) over d end, 5) + 0.0 as z,
+  case when p is not null then round({_RANK('p', 'timestamp, p is null')}, 5) end as rank from scored window d as (partition by timestamp)""",
+)
+register(
+    "xs5_buckets_dg5",
+    lambda s, d: X.buckets(T.scored(s, d), "prediction", 5, "bucket").select("symbol", "timestamp", "bucket"),
+    _with(_SCORED, "placed as (select *, least(greatest(ceil(row_number() over (partition by timestamp, p is null order by p, symbol) / count(*) over (partition by timestamp, p is null)::double * 5), 1), 5)::int as q from scored)")
+    + "select symbol, timestamp, case when p is null then null when q = 1 then 'cap_q1_smallest' when q = 5 then 'cap_q5_largest' else 'cap_q' || q end as bucket from placed",
+)
+register(
+    "xs9_score_ranks_pr2",
+    lambda s, d: rounded(X.score_ranks(T.scored(s, d)).withColumn("score_rank", F.col("score_rank").cast("double")), ["score_rank", "score_percentile"]),
+    _with(_SCORED) + f"select symbol, timestamp, case when p is not null then rank() over (partition by timestamp, p is null order by p desc)::double end as score_rank, case when p is not null then round({_RANK('p', 'timestamp, p is null')}, 6) end as score_percentile from scored",
+)
+register(
+    "lb1_lb2_xs4_labels",
+    lambda s, d: rounded(X.with_label(T.bars(s, d), 3, True), ["future_return_3d", "future_return_rank_3d"]),
+    _with(f"l as (select symbol, timestamp, lead(close, 3) {S.P} / nullif(close, 0) - 1 as y from bars)") + f"select symbol, timestamp, round(y, 6) + 0.0 as future_return_3d, case when y is not null then round({_RANK('y', 'timestamp, y is null')}, 6) end as future_return_rank_3d from l",
+)
+_IDX = "dates as (select timestamp, row_number() over (order by timestamp) - 1 as i from (select distinct timestamp from bars))"
+
+
+def _fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = T.bars(spark, sf_dir)
+    folds = splits.walk_forward(splits.date_index(bars).count(), 1000, 300, 300, 5, 2, True)
+    count = lambda part: splits.members(bars, folds, part).groupBy("fold").agg(F.count("*").alias(f"{part}_rows"), F.min("timestamp").alias(f"{part}_first"), F.max("timestamp").alias(f"{part}_last"))
+    return count("train").join(count("valid"), "fold")
+
+
+register(
+    "sp2_jn9_walk_forward",
+    _fold_counts,
+    _with(
+        _IDX,
+        "folds as (select 'fold_' || (k + 1) as fold, 1000 + 300 * k as e from (select unnest(range(0, 100)) as k) where 1000 + 300 * k + 302 <= (select count(*) from dates))",
+        "tagged as (select b.*, i from bars b join dates using (timestamp))",
+    )
+    + """select fold, count(*) filter (i <= e - 6) as train_rows, min(timestamp) filter (i <= e - 6) as train_first, max(timestamp) filter (i <= e - 6) as train_last,
+  count(*) filter (i between e + 2 and e + 301) as valid_rows, min(timestamp) filter (i between e + 2 and e + 301) as valid_first, max(timestamp) filter (i between e + 2 and e + 301) as valid_last
+from folds join tagged on i <= e - 6 or i between e + 2 and e + 301 group by fold""",
+)
+register(
+    "sp1_holdout",
+    lambda s, d: splits.members(T.bars(s, d), [splits.holdout(splits.date_index(T.bars(s, d)).count(), 1500, 5, 2)]).groupBy("fold").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first")),
+    _with(_IDX) + "select 'holdout' as fold, count(*) as rows, min(timestamp) as first from bars join dates using (timestamp) where i >= 1503",
+)
+_INDUSTRY = (T.INDUSTRY_SQL, "placed as (select bars.symbol, bars.timestamp, i.level_1 as industry_level_1 from bars asof left join industry i on bars.symbol = i.symbol and bars.timestamp >= i.change_date)")
+register("jn3_industry_asof", lambda s, d: R.with_industry(T.bars(s, d), T.industry(s, d)).select("symbol", "timestamp", "industry_level_1"), _with(*_INDUSTRY) + "select * from placed")
+register(
+    "jn7_industry_standard",
+    lambda s, d: R.with_industry(T.bars(s, d), T.industry(s, d), "region").select("symbol", "timestamp", "industry_level_1"),
+    _with(T.INDUSTRY_SQL) + "select bars.symbol, bars.timestamp, i.level_1 as industry_level_1 from bars asof left join (select * from industry where change_date = date '1992-01-01') i on bars.symbol = i.symbol and bars.timestamp >= i.change_date",
+)
+register(
+    "flt1_flt3_lb3_training_dataset",
+    lambda s, d: rounded(training_dataset(T.bars(s, d), Spec(("close_to_sma_20", "return_5"), 5, "return", "rank", "1995-01-01", "1996-12-31", lookback=100_000)), ["close_to_sma_20", "return_5", "future_return_5d"]),
+    _with(
+        f"f as (select symbol, timestamp, close, close / nullif({S.mean('close', 20)}, 0) - 1 as a, close / nullif({S.lag('close', 5)}, 0) - 1 as b, lead(close, 5) {S.P} / nullif(close, 0) - 1 as y from bars where timestamp < timestamp '1997-01-01')",
+        f"n as (select *, {_RANK('a', 'timestamp, a is null')} as ra, {_RANK('b', 'timestamp, b is null')} as rb from f)",
+    )
+    + "select symbol, timestamp, round(ra, 6) as close_to_sma_20, round(rb, 6) as return_5, round(y, 6) + 0.0 as future_return_5d from n where a is not null and b is not null and y is not null and timestamp >= timestamp '1995-01-01'",
+)
+
 
-    out = metrics.evaluate(T.scored(spark, sf_dir))
-    return out.select(*(F.round(c, 6).alias(c) for c in metrics.METRICS))
+def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = T.scored(spark, sf_dir).withColumnRenamed("prediction", "x").where("x is not null and label is not null")
+    return rounded(ridge.score(scored, ridge.fit(scored, ["x"], "label", 25.0)), ["prediction"])
+
+
+register(
+    "ml1_ridge",
+    _ridge,
+    _with(_SCORED, "v as (select symbol, timestamp, p, y from scored where p is not null and y is not null)", "m as (select avg(p) as mp, stddev_pop(p) as sp, avg(y) as my, count(*) as n, covar_pop(p, y) as c from v)")
+    + "select symbol, timestamp, round(my + (p - mp) / sp * (n * c / sp / (n + 25.0)), 6) + 0.0 as prediction from v, m",
+)
+register(
+    "ev2_walk_forward_ridge",
+    lambda s, d: (lambda data: rounded(experiment.validate(data, "ridge", ["close_to_sma_20", "volatility_20"], "future_return_5d", splits.walk_forward(splits.date_index(data).count(), 1000, 400)), list(metrics.METRICS), 5, ("fold",)))(training_dataset(T.bars(s, d), Spec(("close_to_sma_20", "volatility_20")))),
+)
+_YEARS = "tagged as (select *, 'oos_' || year(timestamp) || case when strftime(max(timestamp) over (partition by year(timestamp)), '%m-%d') = '12-31' then '' else '_ytd' end as bucket from scored)"
+register(
+    "dg2_dg6_year_slices",
+    lambda s, d: rounded(diagnostics.slices(diagnostics.with_year(T.scored(s, d)), ["year_window"]), list(metrics.METRICS), 5, ("bucket", "rows")),
+    _with(_SCORED, _YEARS, _DAILY("bucket, timestamp", "tagged"), f"m as (select bucket, {_METRICS} from daily group by bucket)", "counted as (select bucket, count(*) as rows from tagged group by bucket)") + f"select bucket, rows, {_FINAL} from m join counted using (bucket)",
+)
+register(
+    "dg1_ic_decay",
+    lambda s, d: rounded(diagnostics.ic_decay(T.scored(s, d).drop("label").join(T.bars(s, d).select("symbol", "timestamp", "close"), ["symbol", "timestamp"]), [1, 5, 10]), list(metrics.METRICS), 5, ("horizon",)),
+    _with(_SCORED, "stacked as (" + " union all ".join(f"select symbol, timestamp, {h} as horizon, p, lead(close, {h}) {S.P} / nullif(close, 0) - 1 as y from scored" for h in (1, 5, 10)) + ")", _DAILY("horizon, timestamp", "stacked"), f"m as (select horizon, {_METRICS} from daily group by horizon)") + f"select horizon, {_FINAL} from m",
+)
+register(
+    "dg3_jn6_ag5_regimes",
+    lambda s, d: diagnostics.with_regime(T.scored(s, d), T.benchmark(s, d)).groupBy("market_regime").agg(F.count("*").alias("rows")),
+    _with(
+        _SCORED, T.BENCHMARK_SQL,
+        "r as (select timestamp, close / lag(close, 20) over (order by timestamp) - 1 as trend, close / lag(close) over (order by timestamp) - 1 as r1 from index_series)",
+        "v as (select timestamp, trend, case when count(r1) over w = 20 then stddev_pop(r1) over w end as vol from r window w as (order by timestamp rows between 19 preceding and current row))",
+        "j as (select symbol, trend, vol from scored left join v using (timestamp))", "c as (select median(trend) as tc, median(vol) as vc from j)",
+    )
+    + "select case when trend is not null and vol is not null then 'trend_' || case when trend >= tc then 'up' else 'down' end || '_' || case when vol >= vc then 'high' else 'low' end || '_vol' end as market_regime, count(*) as rows from j, c group by 1",
+)
+register(
+    "dg4_industry_slices",
+    lambda s, d: rounded(diagnostics.slices(R.with_industry(T.scored(s, d), T.industry(s, d)), ["industry_level_1"]), list(metrics.METRICS), 5, ("bucket", "rows")),
+    _with(_SCORED, *_INDUSTRY, "tagged as (select scored.*, industry_level_1 as bucket from scored join placed using (symbol, timestamp) where industry_level_1 is not null)", _DAILY("bucket, timestamp", "tagged"), f"m as (select bucket, {_METRICS} from daily group by bucket)", "counted as (select bucket, count(*) as rows from tagged group by bucket)")
+    + f"select bucket, rows, {_FINAL} from m join counted using (bucket)",
+)
+
+# -- ingestion over the event and order tables
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("timestamp"), F.col("o_totalprice").alias("close"), "o_orderkey")
+    return ingest.upsert(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0"), tie=["o_orderkey"]).select("symbol", "timestamp", "close")
+
+
+register(
+    "mrg1_st9_set1_upsert",
+    _upsert,
+    """with o as (select o_custkey::varchar as symbol, o_orderdate::timestamp as timestamp, o_totalprice as close, o_orderkey as k from orders),
+both_ages as (select *, 0 as age from o where k % 3 <> 0 union all select *, 1 from o where k % 2 = 0)
+select symbol, timestamp, close from both_ages qualify row_number() over (partition by symbol, timestamp order by age desc, k desc) = 1""",
+)
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = T.fundamentals(spark, sf_dir)
+    dates = F.col("report_date").alias("REPORT_DATE"), F.col("available_date").alias("NOTICE_DATE")
+    balance = q.where("month(report_date) <> 6").select("symbol", *dates, F.col("total_assets").alias("TOTAL_ASSETS"), F.col("total_parent_equity").alias("TOTAL_EQUITY"), F.col("share_capital").alias("SHARE_CAPITAL"), F.col("inventory").alias("INVENTORY"))
+    profit = q.select("symbol", dates[0], F.col("parent_netprofit_ttm").alias("NETPROFIT"), F.col("operate_cost_ttm").alias("OPERATE_COST"))
+    cash = q.where("month(report_date) <> 9").select("symbol", dates[0], F.col("netcash_operate_ttm").alias("NETCASH_OPERATE"))
+    out = ingest.fundamentals(balance, profit, cash)
+    return out.select("symbol", "report_date", "available_date", *(F.round(c, 5).alias(c) for c in ("total_parent_equity", "parent_netprofit_ttm", "operate_cost_ttm", "netcash_operate_ttm", "asset_growth", "accruals", "inventory_growth")))
+
+
+_single = lambda c: f"{c} - coalesce(case when quarter(report_date) > 1 then lag({c}) over (partition by symbol, year(report_date) order by report_date) end, 0)"
+register(
+    "jn8_std1_std7_fundamentals",
+    _statements,
+    "with " + T.FUNDAMENTALS_SQL + """,
+raw as (select *, (available_date::date - 45) as report_date from fundamentals),
+joined as (select symbol, report_date, case when month(report_date) <> 6 then available_date::date else report_date end as available_date, case when month(report_date) <> 6 then total_assets end as ta, case when month(report_date) <> 6 then total_parent_equity end as te,
+    case when month(report_date) <> 6 then inventory end as inv, parent_netprofit_ttm as np, operate_cost_ttm as oc, case when month(report_date) <> 9 then netcash_operate_ttm end as nc from raw),
+single as (select *, """ + ", ".join(f"{_single(c)} as {c}1" for c in ("np", "oc", "nc")) + """ from joined),
+summed as (select *, """ + ", ".join(f"case when count({c}1) over w = 4 then sum({c}1) over w end as {c}4" for c in ("np", "oc", "nc")) + """ from single window w as (partition by symbol order by report_date rows between 3 preceding and current row))
+select symbol, report_date, available_date, round(te, 5) + 0.0 as total_parent_equity, round(np4, 5) + 0.0 as parent_netprofit_ttm, round(oc4, 5) + 0.0 as operate_cost_ttm, round(nc4, 5) + 0.0 as netcash_operate_ttm,
+  round(ta / nullif(lag(ta, 4) over w, 0) - 1, 5) + 0.0 as asset_growth, round((np4 - nc4) / nullif(lag(ta, 4) over w, 0), 5) + 0.0 as accruals, round(inv / nullif(lag(inv, 4) over w, 0) - 1, 5) + 0.0 as inventory_growth
+from summed window w as (partition by symbol order by report_date)""",
+)
+register(
+    "std9_dividends",
+    lambda s, d: ingest.dividends(T.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")).alias("ex"), F.col("o_orderdate").alias("pay"), F.col("o_totalprice").alias("ten")), {"ex_date": "ex", "pay_date": "pay", "cash_per_ten": "ten"}).groupBy("event_date").agg(F.count("*").alias("n"), F.round(F.sum("cash_dividend_per_share"), 3).alias("cash")),
+    "select o_orderdate::date as event_date, count(*) as n, round(sum(o_totalprice / 10), 3) as cash from orders group by 1",
+)
+register(
+    "src12_src13_std11_symbols",
+    lambda s, d: T.table(s, d, "part").select(F.concat(F.lit(" "), (F.col("p_partkey") * 3571 % 700000).cast("string")).alias("raw")).distinct().select("raw", symbols.normalize(F.col("raw")).alias("symbol"), symbols.asset_type(F.col("raw")).alias("asset_type"), symbols.exchange_symbol(symbols.normalize(F.col("raw"))).alias("exchange_symbol")),
+    """with r as (select distinct ' ' || (p_partkey * 3571 % 700000)::varchar as raw from part), s as (select raw, lpad(trim(raw), greatest(6, length(trim(raw)))::int, '0') as symbol from r)
+select raw, symbol, case when symbol[1:2] = '16' then 'lof' when symbol[1:2] in ('15', '50', '51', '52', '56', '58') then 'etf'
+  when symbol[1:3] in ('000', '001', '002', '003', '300', '301', '600', '601', '603', '605', '688') then 'stock' end as asset_type, case when symbol[1:1] in ('5', '6', '9') then 'SH' else 'SZ' end || symbol as exchange_symbol from s""",
+)
+register("src9_src10_universe", lambda s, d: sources.symbols_of(T.bars(s, d)).join(sources.universe(T.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("code"))).select("symbol"), "symbol", "left_semi"), _with() + "select distinct symbol from bars")
+register(
+    "src5_src8_jn10_load",
+    lambda s, d: sources.between(T.bars(s, d), "1995-01-01", "1995-06-30").where(F.col("symbol").isin("000001", "000002")).select("symbol", "timestamp", "close", "volume"),
+    _with() + "select symbol, timestamp, close, volume from bars where symbol in ('000001', '000002') and timestamp >= timestamp '1995-01-01' and timestamp < timestamp '1995-07-01'",
+)
+register("ag7_coverage", lambda s, d: rounded(diagnostics.coverage(T.scored(s, d), ["prediction", "label"]), ["prediction", "label"], 6, ()), _with(_SCORED) + "select round(avg((p is not null)::int), 6) as prediction, round(avg((y is not null)::int), 6) as label from scored")
