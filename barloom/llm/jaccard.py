@@ -16,21 +16,27 @@ join two components is lost and pairs inside a component are never listed.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import scratch
 from barloom.llm.components import components
-from barloom.llm.kernels import column, mix64, shingle_sets, text_slices
+from barloom.llm.kernels import column, mix64, ranges, shingle_sets, text_slices
 
 #: Two rows of counters; 8 MB whatever the input.
 SKETCH_BITS = 20
 _PART = 1 << 14
+#: Bitmap that spares texts a shuffle; 8 MB.
+BITMAP_BITS = 26
 
 
 def _slots(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +118,30 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
 
 
-def _prefixes(df: DataFrame, shipped, k: int, t: Fraction) -> DataFrame:
-    """doc_id, n, fingerprint, centre score and the prefix under order 1 of each text."""
-    import hashlib
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of each token; enough for a filter that may let a few extra pairs through."""
+    return (tokens >> np.uint64(24)).astype(np.uint16).view(np.int16)
+
+
+def _prefixes(df: DataFrame, shipped: Broadcast, k: int, t: Fraction) -> DataFrame:
+    """doc_id, n, fingerprint, centre score and the prefixes under the three orders of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shipped.value
         for rows, data, offsets in text_slices(batches):
             tokens, at = shingle_sets(data, offsets, k)
-            rank = _orders(sketch, tokens)[0]
-            seen = rank >> np.uint64(32)
-            out, prints, score = [], [], []
+            orders = _orders(sketch, tokens)
+            seen = orders[0] >> np.uint64(32)
+            out, prints, score = ([], [], []), [], []
             for i in range(len(at) - 1):
-                own = tokens[at[i] : at[i + 1]]
+                part = slice(at[i], at[i + 1])
+                own = tokens[part]
                 n = len(own)
+                m = prefix_length(n, t) if n else 0
                 prints.append(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8"))
-                if n:
-                    m = prefix_length(n, t)
-                    out.append(_first(rank[at[i] : at[i + 1]], own, m))
-                    rare = np.partition(seen[at[i] : at[i + 1]], m - 1)[:m]
-                    score.append(int(np.log2(np.maximum(rare, 1)).sum() / m * 1000))
-                else:
-                    out.append(own)
-                    score.append(0)
+                for to, rank in zip(out, orders, strict=True):
+                    to.append(_first(rank[part], own, m) if n else own)
+                score.append(int(np.log2(np.maximum(np.partition(seen[part], m - 1)[:m], 1)).sum() / m * 1000) if n else 0)
             both = np.array(prints).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": column(rows, "doc_id"),
@@ -142,52 +149,159 @@ def _prefixes(df: DataFrame, shipped, k: int, t: Fraction) -> DataFrame:
                 "high": pa.array(both[:, 0]),
                 "low": pa.array(both[:, 1]),
                 "score": pa.array(score, pa.int64()),
-                "prefix": _lists([x.view(np.int64) for x in out], pa.int64()),
+                "prefix": _lists([x.view(np.int64) for x in out[0]], pa.int64()),
+                "p2": _lists([_short(x) for x in out[1]], pa.int16()),
+                "p3": _lists([_short(x) for x in out[2]], pa.int16()),
             })
 
-    return df.mapInArrow(run, "doc_id long, n long, high long, low long, score long, prefix array<long>")
+    return df.mapInArrow(run, "doc_id long, n long, high long, low long, score long, prefix array<long>, p2 array<short>, p3 array<short>")
+
+
+_SHARED = "token long, rep long, n long, pos int, key long, centre long, n_centre long, pos_centre int, key_centre long"
 
 
-def _sets(df: DataFrame, shipped, k: int, t: Fraction) -> DataFrame:
-    """rep, n, the whole token set, and 32-bit prefixes under orders 2 and 3."""
+def _shared(reps: DataFrame, buckets: int) -> DataFrame:
+    """A row for each prefix token that several representatives hold, with the token's centre.
+
+    Tokens travel as packed arrays, one row per bucket and batch of sets, and are sorted
+    and matched inside their bucket.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                rows = batch.slice(lo, 4096)
+                col = column(rows, "prefix")
+                size = np.asarray(pc.list_value_length(col)).astype(np.int64)
+                tokens = np.asarray(pc.list_flatten(col)).view(np.uint64)
+                owner = np.repeat(np.arange(len(size), dtype=np.uint16), size)
+                pos = ranges(np.zeros(len(size), np.int64), size).astype(np.uint32)
+                bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                sets = np.stack([np.asarray(column(rows, c)).astype(np.int64) for c in ("rep", "n", "score")])
+                out = []
+                for b in range(buckets):
+                    part = order[ends[b] : ends[b + 1]]
+                    if len(part):
+                        used, local = np.unique(owner[part], return_inverse=True)
+                        out.append((b, tokens[part].tobytes(), local.astype(np.uint16).tobytes(), pos[part].tobytes(), np.ascontiguousarray(sets[:, used]).tobytes()))
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(("bucket", "tokens", "owner", "pos", "sets"))})
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] != held and parts:
+                    yield from _match(parts)
+                    parts = []
+                held = r["bucket"]
+                sets = np.frombuffer(r["sets"], np.int64).reshape(3, -1)[:, np.frombuffer(r["owner"], np.uint16)]
+                parts.append((np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["pos"], np.uint32), sets))
+        if parts:
+            yield from _match(parts)
+
+    packed = reps.mapInArrow(pack, "bucket int, tokens binary, owner binary, pos binary, sets binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share, _SHARED)
+
+
+def _match(parts: list) -> Iterator[pa.RecordBatch]:
+    tokens, pos, sets = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], 1)
+    order = np.argsort(tokens, kind="stable")
+    tokens, pos, (rep, n, score) = tokens[order], pos[order], sets[:, order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    size = np.diff(np.append(first, len(tokens)))
+    some = size > 1
+    first, size = first[some], size[some]
+    if not len(first):
+        return
+    rows = ranges(first, size)
+    key = (score[rows] << 40) | (mix64(rep[rows].view(np.uint64)) >> np.uint64(24)).astype(np.int64)
+    group = np.repeat(np.arange(len(first)), size)
+    best = np.lexsort((key, group))[np.cumsum(size) - 1]
+    centre = np.repeat(best, size)
+    out = {"token": tokens[rows].view(np.int64), "rep": rep[rows], "n": n[rows], "pos": pos[rows].astype(np.int32), "key": key}
+    out |= {"centre": rep[rows][centre], "n_centre": n[rows][centre], "pos_centre": pos[rows][centre].astype(np.int32), "key_centre": key[centre]}
+    for lo in range(0, len(rows), 100_000):
+        yield pa.RecordBatch.from_pydict({c: pa.array(v[lo : lo + 100_000]) for c, v in out.items()})
+
+
+def _sets(df: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep and the whole token set of the texts whose id is in ``wanted`` (doc_id).
+
+    A bitmap of fixed size drops most other texts before the exact semi-join shuffles
+    any; with very many ids it passes more, and the join alone decides.
+    """
+    bits = 1 << BITMAP_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[_slot(np.asarray(column(batch, "doc_id")))] = True
+        packed = np.packbits(seen).reshape(-1, 1 << 16)
+        full = np.flatnonzero(packed.any(1))
+        if len(full):
+            yield pa.RecordBatch.from_pydict({"part": pa.array(full, pa.int32()), "bits": pa.array([zlib.compress(packed[i].tobytes(), 1) for i in full], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, None
+        emit = lambda: pa.RecordBatch.from_pydict({"part": pa.array([held], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != held:
+                    if held is not None:
+                        yield emit()
+                    held, total = r["part"], np.zeros(1 << 16, np.uint8)
+                total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        if held is not None:
+            yield emit()
+
+    kind = "part int, bits binary"
+    rows = wanted.mapInArrow(mark, kind).repartition(bits // 8 >> 16, "part").sortWithinPartitions("part").mapInArrow(merge, kind).collect()
+    packed = np.zeros((bits // 8 >> 16, 1 << 16), np.uint8)
+    for r in rows:
+        packed[r.part] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    shipped = df.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(np.asarray(pc.fill_null(column(batch, "doc_id"), 0)))
+            near = shipped.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
+            yield batch.filter(pa.array(near.astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
             tokens, at = shingle_sets(data, offsets, k)
-            _, second, third = _orders(shipped.value, tokens)
-            own, p2, p3 = [], [], []
-            for i in range(len(at) - 1):
-                part = slice(at[i], at[i + 1])
-                x = tokens[part]
-                m = prefix_length(len(x), t) if len(x) else 0
-                own.append(x.view(np.int64))
-                p2.append(_first(second[part], x, m).astype(np.uint32).view(np.int32) if m else np.zeros(0, np.int32))
-                p3.append(_first(third[part], x, m).astype(np.uint32).view(np.int32) if m else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_pydict({
-                "rep": column(rows, "doc_id"),
-                "n": pa.array(np.diff(at), pa.int64()),
-                "tokens": _lists(own, pa.int64()),
-                "p2": _lists(p2, pa.int32()),
-                "p3": _lists(p3, pa.int32()),
-            })
+            yield pa.RecordBatch.from_pydict({"rep": column(rows, "doc_id"), "n": pa.array(np.diff(at), pa.int64()), "tokens": _lists([tokens[a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())})
+
+    return df.mapInArrow(maybe, df.schema).join(wanted, "doc_id", "left_semi").mapInArrow(run, "rep long, n long, tokens array<long>")
+
 
-    return df.mapInArrow(run, "rep long, n long, tokens array<long>, p2 array<int>, p3 array<int>")
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; orders 2 and 3 are tested first."""
-    one = lambda s: sets.select(*(F.col(c).alias(c if c == s else f"{c}_{s}") for c in ("n", "tokens", "p2", "p3")), F.col("rep").alias(s))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    both = both.where(F.arrays_overlap("p2_a", "p2_b")).where(F.arrays_overlap("p3_a", "p3_b"))
+def _links(pairs: DataFrame, docs: DataFrame, filters: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold.
+
+    Pairs must also share a prefix token under orders 2 and 3 before any set is fetched.
+    """
+    one = lambda df, s: df.select(*(F.col(c).alias(s if c == "rep" else f"{c}_{s}") for c in df.columns))
+    near = pairs.join(one(filters, "a"), "a").join(one(filters, "b"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+    near = scratch.write(near.select("a", "b").distinct(), "candidates")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = scratch.write(_sets(docs, wanted, k), "sets")
+    both = near.join(one(sets, "a"), "a").join(one(sets, "b"), "b")
     inter = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
     p, q = t.numerator, t.denominator
-    return both.where(inter * F.lit(p + q) >= (F.col("n_a") + F.col("n_b")) * F.lit(p)).select("a", "b")
+    return scratch.write(both.where(inter * F.lit(p + q) >= (F.col("n_a") + F.col("n_b")) * F.lit(p)).select("a", "b").distinct(), "links")
 
 
-def _sizes(t: Fraction, x: str, y: str) -> Column:
-    """Set sizes that still allow the threshold."""
+def _possible(t: Fraction, x: str, y: str) -> Column:
+    """Sizes and the token's positions still allow the threshold, if it is the first common token."""
     p, q = t.numerator, t.denominator
-    return (F.col(x) * q >= F.col(y) * p) & (F.col(y) * q >= F.col(x) * p)
+    n, m, i, j = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"pos{x}"), F.col(f"pos{y}")
+    return (n * q >= m * p) & (m * q >= n * p) & (F.least(n - i, m - j) * (p + q) >= (n + m) * p)
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -196,28 +310,28 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def _unsettled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of tokens that still hold several components, and each such token's largest one."""
-    rows = shared.select("token", "rep", "n", "key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    own = rows.groupBy("token", "label").agg(F.count("*").alias("m"), F.max_by("rep", "key").alias("centre"), F.max_by("n", "key").alias("n_centre"))
+    rows = shared.select("token", "rep", "n", "pos", "key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    best = lambda c, o: F.max_by(c, o).alias(c if c.endswith("_centre") or c == "centre" else {"rep": "centre"}.get(c, f"{c}_centre"))
+    own = rows.groupBy("token", "label").agg(F.count("*").alias("m"), best("rep", "key"), best("n", "key"), best("pos", "key"))
     order = F.col("m") * F.lit(1 << 40) + F.pmod(F.xxhash64("label"), F.lit(1 << 40))
-    most = own.withColumn("order", order).groupBy("token").agg(F.count("*").alias("several"), *(F.max_by(c, "order").alias(to) for c, to in (("label", "major"), ("centre", "centre"), ("n_centre", "n_centre"))))
+    most = own.withColumn("order", order).groupBy("token").agg(F.count("*").alias("several"), F.max_by("label", "order").alias("major"), best("centre", "order"), best("n_centre", "order"), best("pos_centre", "order"))
     return rows, most.where("several > 1").drop("several")
 
 
-def _second(shared: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Links between what the first centres left apart and the centre of each token's largest component."""
+def _second(shared: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of what the first centres left apart with the centre of each token's largest component."""
     rows, most = _unsettled(shared, labels)
-    pairs = rows.join(most, "token").where("label <> major").where(_sizes(t, "n", "n_centre"))
-    return _similar(pairs.select(*_pair("rep", "centre")).distinct(), sets, t)
+    return rows.join(most, "token").where("label <> major").where(_possible(t, "", "_centre")).select(*_pair("rep", "centre")).distinct()
 
 
-def _rest(shared: DataFrame, labels: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """All remaining links between components: rows outside a token's largest one against the others."""
+def _rest(shared: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
+    """All remaining pairs between components: rows outside a token's largest one against the others."""
     rows, most = _unsettled(shared, labels)
     rows = scratch.write(rows.join(most.select("token", "major"), "token"), "unsettled")
-    few = rows.where("label <> major").select("token", "rep", "n", F.col("label").alias("own"))
-    every = rows.select("token", F.col("rep").alias("other"), F.col("n").alias("n_other"), "label", "major")
-    pairs = few.join(every, "token").where("own <> label and (label = major or rep < other)").where(_sizes(t, "n", "n_other"))
-    return _similar(pairs.select(*_pair("rep", "other")).distinct(), sets, t)
+    few = rows.where("label <> major").select("token", "rep", "n", "pos", F.col("label").alias("own"))
+    every = rows.select("token", F.col("rep").alias("other"), F.col("n").alias("n_other"), F.col("pos").alias("pos_other"), "label", "major")
+    pairs = few.join(every, "token").where("own <> label and (label = major or rep < other)").where(_possible(t, "", "_other"))
+    return pairs.select(*_pair("rep", "other")).distinct()
 
 
 def classes(df: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -236,26 +350,18 @@ def classes(df: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), te
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shipped = spark.sparkContext.broadcast(count_sketch(docs, k))
     packed = scratch.write(_prefixes(docs, shipped, k, threshold), "prefixes")
+    filters = packed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "p2", "p3")
 
     reps = packed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("prefix").alias("prefix"))
-    key_of = (F.col("score") * F.lit(1 << 40) + F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("key")
-    rows = reps.select("rep", "n", key_of, F.explode("prefix").alias("token")).repartition("token")
-    centres = rows.groupBy("token").agg(F.count("*").alias("m"), F.max_by("rep", "key").alias("centre"), F.max("key").alias("centre_key"), F.max_by("n", "key").alias("n_centre")).where("m > 1").drop("m")
-    shared = scratch.write(rows.join(centres, "token"), "shared")
-
-    active = shared.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.write(_sets(docs.join(active, "doc_id", "left_semi"), shipped, k, threshold), "sets")
-
-    first = shared.where("rep <> centre").where(_sizes(threshold, "n", "n_centre"))
-    first = first.groupBy("rep").agg(F.max_by("centre", "centre_key").alias("centre")).select(*_pair("rep", "centre")).distinct()
-    links = scratch.write(_similar(first, sets, threshold), "links")
-    labels = components(links)
-
-    links = links.unionByName(_second(shared, labels, sets, threshold))
-    links = scratch.write(links, "links")
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = scratch.write(_shared(reps.select("rep", "n", "score", "prefix"), buckets), "shared")
+
+    first = shared.where("rep <> centre").where(_possible(threshold, "", "_centre"))
+    first = first.groupBy("rep").agg(F.max_by("centre", "key_centre").alias("centre")).select(*_pair("rep", "centre")).distinct()
+    links = _links(first, docs, filters, k, threshold)
+    for more in (_second, _rest):
+        links = links.unionByName(_links(more(shared, components(links), threshold), docs, filters, k, threshold))
     labels = components(links)
-    links = links.unionByName(_rest(shared, labels, sets, threshold))
-    labels = components(scratch.write(links, "links"))
     members = packed.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     named = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("high", "low", F.coalesce("label", "rep").alias("label"))
     out = packed.select("doc_id", "n", "high", "low").join(named, ["high", "low"], "left")
