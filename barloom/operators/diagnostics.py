@@ -48,12 +48,12 @@ def regimes(index: DataFrame, window: int = 20) -> DataFrame:
 def with_regime(df: DataFrame, index: DataFrame, window: int = 20) -> DataFrame:
     """market_regime: trend_{up,down}_{high,low}_vol against medians over the panel's rows; null without history."""
     joined = df.join(F.broadcast(regimes(index, window)), "timestamp", "left")
-    cut = joined.agg(F.percentile("trend", 0.5).alias("trend_cut"), F.percentile("vol", 0.5).alias("vol_cut"))
-    both = joined.join(F.broadcast(cut))
-    up = F.when(F.col("trend") >= F.col("trend_cut"), "up").otherwise("down")
-    high = F.when(F.col("vol") >= F.col("vol_cut"), "high").otherwise("low")
+    # Both columns hold one value per date, so the exact medians are cheap; two numbers reach the driver.
+    cut = joined.agg(F.percentile("trend", 0.5).alias("trend"), F.percentile("vol", 0.5).alias("vol")).first()
+    up = F.when(F.col("trend") >= F.lit(cut["trend"]), "up").otherwise("down")
+    high = F.when(F.col("vol") >= F.lit(cut["vol"]), "high").otherwise("low")
     known = F.col("trend").isNotNull() & F.col("vol").isNotNull()
-    return both.withColumn("market_regime", F.when(known, F.concat(F.lit("trend_"), up, F.lit("_"), high, F.lit("_vol")))).drop("trend", "vol", "trend_cut", "vol_cut")
+    return joined.withColumn("market_regime", F.when(known, F.concat(F.lit("trend_"), up, F.lit("_"), high, F.lit("_vol")))).drop("trend", "vol")
 
 
 def slices(df: DataFrame, keys: list[str], prediction: str = "prediction", label: str = "label") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.cross_section import score_ranks
@@ -27,6 +27,9 @@ def context(scored: DataFrame, day: str, symbol: str, universe: list[str] | None
     rows = scored.where(F.to_date("timestamp") == F.lit(day).cast("date")).where("prediction is not null")
     if universe is not None:
         rows = rows.where(F.col("symbol").isin([*universe, symbol]))
-    ranked = score_ranks(rows)
-    whole = rows.agg(F.count("*").alias("context_size"), F.max("prediction").alias("top_score"), F.percentile("prediction", 0.5).alias("median_score"), F.min("prediction").alias("bottom_score"))
-    return ranked.where(F.col("symbol") == symbol).select("symbol", "timestamp", "prediction", "score_rank", "score_percentile").join(F.broadcast(whole))
+    whole = Window.partitionBy("timestamp")
+    with_context = score_ranks(rows).select(
+        "symbol", "timestamp", "prediction", "score_rank", "score_percentile",
+        F.count("*").over(whole).alias("context_size"), F.max("prediction").over(whole).alias("top_score"), F.percentile("prediction", 0.5).over(whole).alias("median_score"), F.min("prediction").over(whole).alias("bottom_score"),
+    )
+    return with_context.where(F.col("symbol") == symbol)

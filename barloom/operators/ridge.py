@@ -64,11 +64,15 @@ def fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> R
 
 def fit_groups(df: DataFrame, features: list[str], label: str, by: str, alpha: float = 1.0) -> dict[str, Ridge]:
     """One model per value of ``by`` (such as a fold), all from the same two passes."""
-    centre = df.agg(*(F.percentile(f, 0.5).alias(f"m{i}") for i, f in enumerate(features)), F.avg(label).alias("y")).first()
-    if centre is None or centre["y"] is None:
+    first = df.agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(features)), *(F.count_if(F.col(f).isNull()).alias(f"n{i}") for i, f in enumerate(features)), F.avg(label).alias("y")).first()
+    if first is None or first["y"] is None:
         raise ValueError("no rows to fit")
-    at = [0.0 if centre[f"m{i}"] is None else centre[f"m{i}"] for i in range(len(features))]
-    filled = df.where(F.col(label).isNotNull()).select(by, *((F.coalesce(F.col(f), F.lit(m)) - m).alias(f"x{i}") for i, (f, m) in enumerate(zip(features, at, strict=True))), (F.col(label) - centre["y"]).alias("y"))
+    at = [first[f"m{i}"] or 0.0 for i in range(len(features))]
+    # Exact medians cost a pass over all distinct values; only columns with gaps need them.
+    gaps = [i for i in range(len(features)) if first[f"n{i}"]]
+    middle = df.agg(*(F.percentile(features[i], 0.5).alias(f"p{i}") for i in gaps)).first() if gaps else {}
+    fill = [(middle[f"p{i}"] or 0.0) if i in gaps else m for i, m in enumerate(at)]
+    filled = df.where(F.col(label).isNotNull()).select(by, *((F.coalesce(F.col(f), F.lit(v)) - m).alias(f"x{i}") for i, (f, v, m) in enumerate(zip(features, fill, at, strict=True))), (F.col(label) - first["y"]).alias("y"))
     names = [*(f"x{i}" for i in range(len(features))), "y"]
     out = {}
     for row in _moments(filled, names, [by]):
@@ -78,7 +82,7 @@ def fit_groups(df: DataFrame, features: list[str], label: str, by: str, alpha: f
             for j in range(i + 1):
                 p[i, j] = p[j, i] = row[f"p{i}_{j}"]
         means, scale, weights, mean_y = _solve(row["n"], s, p, alpha)
-        out[row[by]] = Ridge(features, at, [float(m + c) for m, c in zip(means, at, strict=True)], scale.tolist(), weights.tolist(), mean_y + centre["y"], alpha)
+        out[row[by]] = Ridge(features, fill, [float(m + c) for m, c in zip(means, at, strict=True)], scale.tolist(), weights.tolist(), mean_y + first["y"], alpha)
     return out
 
 
