@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from barloom.llm.kernels import ranges, text_slices
+from barloom.llm.kernels import column, ranges, text_slices
 from barloom.llm.pretokens import PieceCache
 from barloom.llm.scratch import on_workers
 
@@ -29,7 +29,7 @@ from barloom.llm.scratch import on_workers
 class BytePairs:
     """Exact merges of a rank file (``base64 rank`` lines, every byte included)."""
 
-    def __init__(self, ranks: dict[bytes, int], memo: int = 1 << 20):
+    def __init__(self, ranks: dict[bytes, int], memo: int = 1 << 17):
         import ahocorasick
 
         self.ranks, self.memo_limit = ranks, memo
@@ -167,6 +167,30 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, lis
     return T.StructType([*kept, T.StructField(name, kind)]), [f.name for f in kept]
 
 
+#: Bytes of text encoded at once.
+SLICE = 2 << 20
+
+
+def _id_lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+
+
+def _decoded(key: str, numbers: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of each run of ids; -1 stands for a null id and gives none."""
+    flat, start, size = _flat_bytes(key)
+    if len(numbers) and (numbers.max() >= len(size) or numbers.min() < -1):
+        raise ValueError("a token id is outside the vocabulary")
+    real = np.maximum(numbers, 0)
+    lens = np.where(numbers >= 0, size[real], 0) if len(numbers) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(lens)])[at]
+    blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat[ranges(start[real], lens)].tobytes())])
+    return blob.cast(pa.binary())
+
+
+def _kept(rows: pa.RecordBatch, kept: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(column(rows, c) for c in kept), *more.values()], [*kept, *more])
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids (array<int>) of each whole text.
 
@@ -180,10 +204,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, cache = _loaded(key, shipped.value)
-        for rows, data, offsets in text_slices(batches, text):
-            ids, at = cache.ids(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in kept), lists], [*kept, out])
+        for rows, data, offsets in text_slices(batches, text, SLICE):
+            yield _kept(rows, kept, {out: _id_lists(*cache.ids(data, offsets))})
 
     return df.mapInArrow(run, schema)
 
@@ -199,21 +221,27 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _loaded(key, shipped.value)
-        flat, start, size = _flat_bytes(key)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 rows = batch.slice(lo, 1000)
-                col = rows.column(rows.schema.get_field_index(ids))
+                col = column(rows, ids)
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)).astype(np.int64)
-                values = pa.compute.list_flatten(col)
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                numbers = np.asarray(pa.compute.fill_null(values, -1)).astype(np.int64)
-                if len(numbers) and (numbers.max() >= len(size) or numbers.min() < -1):
-                    raise ValueError("a token id is outside the vocabulary")
-                real = np.maximum(numbers, 0)
-                lens = np.where(numbers >= 0, size[real], 0) if len(numbers) else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(lens)])[at]
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat[ranges(start[real], lens)].tobytes())])
-                yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in kept), blob.cast(pa.binary())], [*kept, out])
+                numbers = np.asarray(pa.compute.fill_null(pa.compute.list_flatten(col), -1)).astype(np.int64)
+                yield _kept(rows, kept, {out: _decoded(key, numbers, np.concatenate([[0], np.cumsum(sizes)]))})
+
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass, so that a task needs one worker and ids move once."""
+    key, shipped = _ship(df, vocabulary)
+    schema, kept = _with(df, ids, T.ArrayType(T.IntegerType(), False))
+    schema, kept = T.StructType([*(f for f in schema.fields if f.name != out), T.StructField(out, T.BinaryType())]), [c for c in kept if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, cache = _loaded(key, shipped.value)
+        for rows, data, offsets in text_slices(batches, text, SLICE):
+            numbers, at = cache.ids(data, offsets)
+            yield _kept(rows, kept, {ids: _id_lists(numbers, at), out: _decoded(key, numbers.astype(np.int64), at)})
 
     return df.mapInArrow(run, schema)

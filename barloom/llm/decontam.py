@@ -38,7 +38,7 @@ WALKS, SAMPLES, PLACES, SPAN = 3, 4, 16, 44
 #: Benchmark symbols handled in one pass over the texts; bounds what is broadcast.
 PASS_SYMBOLS = 1 << 20
 BLANK = 32
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 
 
 @lru_cache(1)
@@ -257,7 +257,7 @@ def matches(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             items = shipped.value
-            for rows, data, offsets in text_slices(batches):
+            for rows, data, offsets in text_slices(batches, limit=2 << 20):
                 symbols, at, where = reduce_texts(data, offsets)
                 found = _find(items, symbols, at, similarity)
                 keys = column(rows, "doc_id").take(pa.array([t for t, *_ in found], pa.int64()))
@@ -282,7 +282,7 @@ def clean(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: st
         shipped = df.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in text_slices(batches, text):
+            for rows, data, offsets in text_slices(batches, text, 2 << 20):
                 symbols, at, _ = reduce_texts(data, offsets)
                 good = np.ones(rows.num_rows, bool)
                 good[[t for t, *_ in _find(shipped.value, symbols, at, similarity)]] = False

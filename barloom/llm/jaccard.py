@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from barloom.llm import scratch
 from barloom.llm.components import components
-from barloom.llm.kernels import column, mix64, ranges, shingle_sets, text_slices
+from barloom.llm.kernels import column, give_back, mix64, ranges, shingle_sets, text_slices
 
 #: Two rows of counters; 8 MB whatever the input.
 SKETCH_BITS = 20
 _PART = 1 << 14
+#: Bytes of text handled at once.
+SLICE = 2 << 20
 #: Bitmap that spares texts a shuffle; 8 MB.
 BITMAP_BITS = 26
 
@@ -50,7 +52,7 @@ def count_sketch(df: DataFrame, k: int, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, any_rows = np.zeros((2, size), np.uint32), False
-        for _, data, offsets in text_slices(batches, text):
+        for _, data, offsets in text_slices(batches, text, SLICE):
             any_rows = True
             tokens, _ = shingle_sets(data, offsets, k)
             for row, slot in enumerate(_slots(tokens)):
@@ -128,7 +130,7 @@ def _prefixes(df: DataFrame, shipped: Broadcast, k: int, t: Fraction) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shipped.value
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             tokens, at = shingle_sets(data, offsets, k)
             orders = _orders(sketch, tokens)
             seen = orders[0] >> np.uint64(32)
@@ -200,6 +202,8 @@ def _shared(reps: DataFrame, buckets: int) -> DataFrame:
                 parts.append((np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["pos"], np.uint32), sets))
         if parts:
             yield from _match(parts)
+        parts.clear()
+        give_back()
 
     packed = reps.mapInArrow(pack, "bucket int, tokens binary, owner binary, pos binary, sets binary")
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share, _SHARED)
@@ -270,7 +274,7 @@ def _sets(df: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield batch.filter(pa.array(near.astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             tokens, at = shingle_sets(data, offsets, k)
             yield pa.RecordBatch.from_pydict({"rep": column(rows, "doc_id"), "n": pa.array(np.diff(at), pa.int64()), "tokens": _lists([tokens[a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())})
 
@@ -311,6 +315,7 @@ def _pair(x: str, y: str) -> list[Column]:
 def _unsettled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of tokens that still hold several components, and each such token's largest one."""
     rows = shared.select("token", "rep", "n", "pos", "key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rows = scratch.write(rows, "labelled")
     best = lambda c, o: F.max_by(c, o).alias(c if c.endswith("_centre") or c == "centre" else {"rep": "centre"}.get(c, f"{c}_centre"))
     own = rows.groupBy("token", "label").agg(F.count("*").alias("m"), best("rep", "key"), best("n", "key"), best("pos", "key"))
     order = F.col("m") * F.lit(1 << 40) + F.pmod(F.xxhash64("label"), F.lit(1 << 40))
@@ -327,7 +332,7 @@ def _second(shared: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
 def _rest(shared: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
     """All remaining pairs between components: rows outside a token's largest one against the others."""
     rows, most = _unsettled(shared, labels)
-    rows = scratch.write(rows.join(most.select("token", "major"), "token"), "unsettled")
+    rows = rows.join(most.select("token", "major"), "token")
     few = rows.where("label <> major").select("token", "rep", "n", "pos", F.col("label").alias("own"))
     every = rows.select("token", F.col("rep").alias("other"), F.col("n").alias("n_other"), F.col("pos").alias("pos_other"), "label", "major")
     pairs = few.join(every, "token").where("own <> label and (label = major or rep < other)").where(_possible(t, "", "_other"))

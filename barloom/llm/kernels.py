@@ -7,8 +7,10 @@ texts laid end to end, and the offsets between them.  Slices hold a few megabyte
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker holds little between batches."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Yield (rows, bytes, offsets); null texts are empty."""
     for batch in batches:
@@ -56,6 +72,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             hi = min(hi, len(col))
             yield batch.slice(lo, hi - lo), raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             lo = hi
+        del batch, col, at, raw
+        give_back()
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

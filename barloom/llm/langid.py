@@ -22,8 +22,10 @@ from barloom.llm.pretokens import LETTER, classes
 from barloom.llm.scratch import on_workers
 
 PROFILE = 300
+#: Bytes of text handled at once; n-gram codes take many times the text.
+SLICE = 1 << 20
 UNDETERMINED = "und"
-#: Profiles travel to every task; this many languages take under 1 GB-hundredth each.
+#: Profiles travel to every task; this many languages take a few megabytes.
 MAX_LANGUAGES = 2000
 
 _BITS = np.uint64(18)
@@ -116,7 +118,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             codes, ends = _grams(*_symbols(data, offsets))
             names = np.array(column(rows, "lang").to_pylist(), object)
             for name in set(names):
@@ -162,7 +164,7 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
-        for rows, data, offsets in text_slices(batches, text):
+        for rows, data, offsets in text_slices(batches, text, SLICE):
             codes, ends = _grams(*_symbols(data, offsets))
             names, scores = [], []
             for i in range(len(offsets) - 1):

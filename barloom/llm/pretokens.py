@@ -98,7 +98,7 @@ class PieceCache:
     emptied when it holds ``limit`` pieces, which bounds memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 1 << 21):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
         self._clear()
 

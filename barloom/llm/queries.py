@@ -63,7 +63,7 @@ def op8_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode and decode every text; the ids and the decoded bytes as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, "text", "ids").select("doc_id", "ids"), ranks, "ids", "decoded")
+    both = bpe.round_trip(docs.select("doc_id", "text"), ranks)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -65,12 +65,19 @@ def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
 atexit.register(release)
 
 
+#: Spark's own default for the bytes of an Arrow batch, and ours: batches wait in the JVM
+#: and in the worker, and the kernels cut them into slices of a few megabytes anyway.
+_BATCH, _DEFAULT_BATCH, _OUR_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20)
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed for them.
+    """Prepare for Python workers: small Arrow batches, and this package on their path.
 
-    On a cluster the package is shipped with ``--py-files``; this only covers
-    workers that share the driver's file system.
+    A batch size that the user chose stays.  On a cluster the package is shipped with
+    ``--py-files``; the path only covers workers that share the driver's file system.
     """
+    if spark.conf.get(_BATCH, _OUR_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH, _OUR_BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

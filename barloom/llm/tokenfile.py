@@ -95,7 +95,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, t
         store, folder = _local(path)
         store.create_dir(folder, recursive=True)
         file, part, sizes, docs, ids_out = uuid.uuid4().hex, None, [], [], None
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=2 << 20):
             if ids_out is None:
                 part = column(rows, "part")[0].as_py()
                 ids_out = store.open_output_stream(f"{folder}/{file}.ids")

@@ -36,6 +36,8 @@ def test_bpe_equals_library_and_round_trips(spark):
         text = TEXTS[r.doc_id] or ""
         assert r.ids == library.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode()
+    fused = bpe.round_trip(frame(spark, TEXTS), RANKS).collect()
+    assert sorted(map(str, fused)) == sorted(map(str, rows)) and fused[0].ids_crc32 == 0
 
 
 def test_bpe_query_on_documents(spark):
