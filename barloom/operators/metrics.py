@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.cross_section import TIME, rank_pct
+from barloom.schema import finite
 
 METRICS = ("ic", "ic_std", "icir", "rank_ic", "rank_ic_std", "rank_icir", "ndcg_at_10", "mae", "r2")
 
@@ -19,7 +20,7 @@ def daily(scored: DataFrame, prediction: str = "prediction", label: str = "label
     """ic, rank_ic and ndcg_at_10 of each date (and slice ``by``).
 
     Rows without a prediction or label take no part.  Dates with fewer than two rows or a
-    constant side have no ic; dates whose ideal gain is not positive no ndcg.  Ties are
+    constant side have no ic; dates whose ideal gain is not positive, or overflows, no ndcg.  Ties are
     ranked by symbol.
     """
     by = [*(by or []), TIME]
@@ -29,7 +30,7 @@ def daily(scored: DataFrame, prediction: str = "prediction", label: str = "label
     gain = F.pow(F.lit(2.0), F.col("y")) - 1
     part = lambda n: F.sum(F.when(F.col(n) <= k, gain / F.log2(F.col(n) + 1)))
     out = rows.groupBy(*by).agg(_corr("p", "y").alias("ic"), _corr("rp", "ry").alias("rank_ic"), part("np").alias("dcg"), part("ny").alias("idcg"), F.sum(F.abs(F.col("p") - F.col("y"))).alias("abs_error"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("sq_error"), F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum(F.col("y") * F.col("y")).alias("sum_y2"))
-    return out.withColumn("ndcg_at_10", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))).drop("dcg", "idcg")
+    return out.withColumn("ndcg_at_10", F.when(F.col("idcg") > 0, finite(F.col("dcg") / F.col("idcg")))).drop("dcg", "idcg")
 
 
 def summary(days: DataFrame, by: list[str] | None = None) -> DataFrame:

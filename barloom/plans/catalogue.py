@@ -210,7 +210,7 @@ daily as (select {by}, case when count(*) > 1 and max(p) <> min(p) and max(y) <>
   from ranked group by {by})"""
 _METRICS = """
     avg(ic) as ic, case when count(ic) > 1 then stddev_pop(ic) else 0 end as ic_std, avg(rank_ic) as rank_ic, case when count(rank_ic) > 1 then stddev_pop(rank_ic) else 0 end as rank_ic_std,
-    avg(case when idcg > 0 then dcg / idcg end) as ndcg_at_10, sum(ae) / sum(n) as mae,
+    avg(case when idcg > 0 and isfinite(dcg / idcg) then dcg / idcg end) as ndcg_at_10, sum(ae) / sum(n) as mae,
     case when sum(sy2) - sum(sy) * sum(sy) / sum(n) > 0 then 1 - sum(se) / (sum(sy2) - sum(sy) * sum(sy) / sum(n)) when sum(se) = 0 then 1 else 0 end as r2"""
 _FINAL = ", ".join(f"round(coalesce({e}, 0), 5) + 0.0 as {n}" for n, e in {c: c for c in ("ic", "ic_std", "rank_ic", "rank_ic_std", "ndcg_at_10", "mae", "r2")}.items()) + ", round(case when ic_std > 0 then coalesce(ic, 0) / ic_std else 0 end, 5) + 0.0 as icir, round(case when rank_ic_std > 0 then coalesce(rank_ic, 0) / rank_ic_std else 0 end, 5) + 0.0 as rank_icir"
 
@@ -228,7 +228,7 @@ register("flagship", flagship, _with(_SCORED, _DAILY(), f"m as (select {_METRICS
 register(
     "xs6_xs8_daily_metrics",
     lambda s, d: rounded(metrics.daily(T.scored(s, d)), ["ic", "rank_ic", "ndcg_at_10"], 5, ("timestamp", "n")),
-    _with(_SCORED, _DAILY()) + "select timestamp, n, round(ic, 5) + 0.0 as ic, round(rank_ic, 5) + 0.0 as rank_ic, round(case when idcg > 0 then dcg / idcg end, 5) + 0.0 as ndcg_at_10 from daily",
+    _with(_SCORED, _DAILY()) + "select timestamp, n, round(ic, 5) + 0.0 as ic, round(rank_ic, 5) + 0.0 as rank_ic, round(case when idcg > 0 and isfinite(dcg / idcg) then dcg / idcg end, 5) + 0.0 as ndcg_at_10 from daily",
 )
 register(
     "wn4_wn18_wn21_primitives",
