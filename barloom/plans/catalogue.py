@@ -136,7 +136,13 @@ _peers = (
     "placed as (select bars.*, i.level_1, close / nullif(lag(close) over (partition by bars.symbol order by timestamp), 0) - 1 as own from bars asof left join industry i on bars.symbol = i.symbol and bars.timestamp >= i.change_date)",
     "peers as (select *, case when count(own) over g > 1 then (coalesce(sum(own) over g, 0) - own) / (count(own) over g - 1) end as peer from placed window g as (partition by timestamp, level_1))",
 )
-_panel("f03_industry_momentum_ag1_jn3", [{f"m{w}": f"lag(1 + peer, 21) {S.P}" for w in (63,)}], {"industry_momentum_63_21": f"({S.full('product(m63)', 'm63', 42)}) - 1"}, 5, _peers, "peers", industry=T.industry)
+# Compounded peer returns reach 1e17 on these tables; their logarithm compares without loss of digits.
+_MOMENTUM = S.query([T.BARS_SQL, *_peers], [{"m63": f"lag(1 + peer, 21) {S.P}"}], {"log_growth": f"ln(case when ({S.full('product(m63)', 'm63', 42)}) > 0 then {S.full('product(m63)', 'm63', 42)} end)"}, 6, "peers")
+register(
+    "f03_industry_momentum_ag1_jn3",
+    lambda s, d: rounded(factor_frame(T.bars(s, d), ["industry_momentum_63_21"], keep=["symbol", "timestamp"], industry=T.industry(s, d)).withColumn("log_growth", F.when(F.col("industry_momentum_63_21") > -1, F.ln(F.col("industry_momentum_63_21") + 1))), ["log_growth"]),
+    _MOMENTUM,
+)
 
 _rng = "(nullif(high - low, 0) + 1e-12)"
 _panel(
