@@ -1,21 +1,22 @@
-"""Benchmark decontamination by embedding edit distance into Hamming distance.
-
-Texts are reduced to lower-case letters and digits with single blanks.  A random walk
-reads a window: at every step it emits the symbol under the pointer, and a random bit
-chosen by step and symbol says whether the pointer moves on (the CGK embedding), so two
-strings a few edits apart emit sequences that differ in few places.  Samples of those
-places, hashed, are compared with the same samples of the benchmark items.
-
-Windows are sized by the items: an item of m symbols belongs to the class w <= m < 2 w, w
-a power of two.  A text is tiled with windows every w/2 symbols, and an item is walked
-from each of its positions, so any copy of it holds a tile that starts in step with one
-of those walks, and the samples lie in the part of the walk that stays inside the copy.
-Each class uses several walks and several samples of each; every match is then verified
-by exact approximate matching of the whole item.
+"""Benchmark decontamination by exact seeds, two cheap filters and exact verification.
+
+Texts are reduced to lower-case letters and digits with single blanks.  An item of m
+symbols that a text holds with at most k edits leaves runs unedited; each run of q symbols
+of an item is a seed, and each place of a text is looked up among the seeds.  q is the
+largest length of which k edits at random places leave a run with probability RECALL
+(never less than m // (k + 1), of which any k edits leave one), so short items and low
+similarities get short seeds.
+
+A seed puts the item at a place of the text.  The place is kept if the text there has
+enough runs of five symbols of the item (what k edits at random leave, less four standard
+deviations), and if up to 64 symbols of the item around the seed are within the edits
+expected of them (bit-parallel edit distance of many places at once).  Kept places are
+verified by exact approximate matching of the whole item.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,12 +34,18 @@ from barloom.llm.scratch import on_workers
 
 #: Shorter items (in symbols) can't be told from chance and match nothing.
 SHORTEST = 16
-#: Walks of each class, samples of each walk, places of each sample, and the steps they span.
-WALKS, SAMPLES, PLACES, SPAN = 3, 4, 16, 44
+#: Share of items with random edits at the similarity asked for that must leave a seed.
+RECALL = 0.99
+#: Symbols of the runs that are counted, and bits of their hashes.
+RUN, _RUN_BITS = 5, 13
+#: Longer seeds hardly save time.
+LONGEST_SEED = 12
+#: Seeds and places handled at once; bounds memory.
+_AT_ONCE = 1 << 16
 #: Benchmark symbols handled in one pass over the texts; bounds what is broadcast.
 PASS_SYMBOLS = 1 << 20
 BLANK = 32
-_FILTER_BITS = 20
+_FILTER_BITS = 21
 
 
 @lru_cache(1)
@@ -72,73 +79,133 @@ def reduce_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return sym[keep], at, where - np.repeat(heads[:-1], np.diff(at))
 
 
-def width_of(m: int) -> int:
-    """The window class of an item of m symbols."""
-    return 1 << (m.bit_length() - 1)
+def allowed_edits(m: int, similarity: float) -> int:
+    return int(m * (1 - similarity) + 1e-9)
 
 
-@lru_cache(256)
-def _walk_bits(width: int, walk: int) -> np.ndarray:
-    return np.random.default_rng([width, walk, 1]).integers(0, 2, (width, 256), dtype=np.int64)
+def seed_length(m: int, similarity: float) -> int:
+    """Symbols of the seeds of an item of m symbols."""
+    gaps = allowed_edits(m, similarity) + 1
+    alive = 1 - (1 - RECALL) ** (1 / gaps)
+    likely = int(math.log(alive) / math.log(similarity)) if 0 < similarity < 1 else m if similarity >= 1 else 1
+    return max(1, min(max(likely, m // gaps), m, LONGEST_SEED))
 
 
-@lru_cache(256)
-def _places(width: int, walk: int) -> list[np.ndarray]:
-    """The steps of each sample: spread over spans that cover the walk."""
-    rng, span = np.random.default_rng([width, walk, 2]), min(SPAN, width)
-    first = np.linspace(0, width - span, SAMPLES).astype(int) if width > span else np.zeros(SAMPLES, int)
-    return [np.sort(a + rng.choice(span, min(PLACES, span), replace=False)) for a in first]
+def fewest_runs(m: int, similarity: float) -> int:
+    """Runs of RUN symbols that an item of m symbols keeps in a text that holds it."""
+    n, s, keep = m - RUN + 1, similarity, similarity**RUN
+    spread = keep * (1 - keep) + 2 * sum(s ** (RUN + j) - keep**2 for j in range(1, RUN)) - (RUN * s ** (RUN - 1)) ** 2 * s * (1 - s)
+    return max(0, n - RUN * allowed_edits(m, s), int(n * keep - 4 * math.sqrt(max(0.0, spread) * max(0, n))))
 
 
-def walk_hashes(symbols: np.ndarray, starts: np.ndarray, width: int, walk: int) -> np.ndarray:
-    """(SAMPLES, len(starts)) hashes of the sampled places of the walk from each start.
+def _hashes(symbols: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length and the hashes of the runs of so many symbols from each place."""
+    h = np.zeros(len(symbols), np.uint64)
+    for q in range(1, min(longest, len(symbols)) + 1):
+        h = h[: len(symbols) - q + 1] * np.uint64(0x9E3779B97F4A7C15)
+        h += symbols[q - 1 :]
+        h += np.uint64(1)
+        yield q, h
 
-    ``symbols`` must go on for ``width`` places after the last start.
-    """
-    bits, places = _walk_bits(width, walk), _places(width, walk)
-    at = starts.astype(np.int64)
-    h = np.zeros((SAMPLES, len(at)), np.uint64)
-    of_step = [[s for s in range(SAMPLES) if j in set(places[s].tolist())] for j in range(width)]
-    for j in range(max(p[-1] for p in places) + 1):
-        sym = symbols[at]
-        for s in of_step[j]:
-            h[s] = (h[s] ^ sym) * np.uint64(0x9E3779B97F4A7C15)
-            h[s] ^= h[s] >> np.uint64(29)
-        at += bits[j][sym]
-    return mix64(h + np.arange(SAMPLES, dtype=np.uint64)[:, None] * np.uint64(0xA0761D6478BD642F))
+
+def _run_codes(h: np.ndarray) -> np.ndarray:
+    return (mix64(h) >> np.uint64(64 - _RUN_BITS)).astype(np.int32)
+
+
+def _filter_bits(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - _FILTER_BITS)
 
 
 @dataclass
 class Items:
-    """Benchmark items as symbols, and per class and walk a sorted table of their samples."""
+    """Benchmark items as symbols, a sorted table of the seeds of each length, and the runs of each item."""
 
     ids: list[int]
     symbols: list[bytes]
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    similarity: float
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    runs: np.ndarray
+    flat: np.ndarray
+    base: np.ndarray
+    size: np.ndarray
+    fewest: np.ndarray
+
+    @property
+    def around(self) -> int:
+        """Symbols by which places may reach out of the texts."""
+        return 2 * int(self.size.max()) + 64
 
     @classmethod
-    def build(cls, ids: list[int], symbols: list[bytes]) -> Items:
-        tables = {}
-        for width in sorted({width_of(len(s)) for s in symbols}):
-            own = [i for i, s in enumerate(symbols) if width_of(len(s)) == width]
-            flat = np.frombuffer(b"".join(symbols[i] + b"\0" * width for i in own), np.uint8)
-            size = np.array([len(symbols[i]) for i in own])
-            base = np.concatenate([[0], np.cumsum(size + width)[:-1]])
-            shifts = np.maximum(1, size - width // 2 + 1)
-            shift = ranges(np.zeros(len(own), np.int64), shifts)
-            item = np.repeat(np.array(own), shifts)
-            for walk in range(WALKS):
-                h = walk_hashes(np.append(flat, np.zeros(width, np.uint8)), np.repeat(base, shifts) + shift, width, walk).ravel()
-                order = np.argsort(h)
-                h = h[order]
+    def build(cls, ids: list[int], symbols: list[bytes], similarity: float = 0.8) -> Items:
+        size = np.array([len(s) for s in symbols], np.int64)
+        base = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        flat = np.frombuffer(b"".join(symbols), np.uint8)
+        length = np.array([seed_length(m, similarity) for m in size.tolist()])
+        runs, tables = np.zeros((len(ids), 1 << _RUN_BITS), bool), {}
+        for q, h in _hashes(flat, max(RUN, int(length.max()))):
+            if q == RUN:
+                n = np.maximum(0, size - RUN + 1)
+                runs[np.repeat(np.arange(len(ids)), n), _run_codes(h)[ranges(base, n)]] = True
+            own = np.flatnonzero(length == q)
+            if len(own):
+                n = size[own] - q + 1
+                at = ranges(base[own], n)
+                seeds = mix64(h[at])
+                order = np.argsort(seeds, kind="stable")
                 filled = np.zeros(1 << _FILTER_BITS, bool)
-                filled[h >> np.uint64(64 - _FILTER_BITS)] = True
-                tables[width, walk] = h, np.tile(item, SAMPLES)[order], np.tile(shift, SAMPLES)[order], filled
-        return cls(ids, symbols, tables)
+                filled[_filter_bits(h[at])] = True
+                item = np.repeat(own, n)
+                tables[q] = seeds[order], item[order], (at - base[item])[order], filled
+        fewest = np.array([fewest_runs(m, similarity) for m in size.tolist()])
+        return cls(ids, symbols, similarity, tables, runs, flat, base, size, fewest)
+
+
+def _enough_runs(items: Items, codes: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the text from each place has enough runs of the item."""
+    order = np.argsort(-items.size[item], kind="stable")
+    item, place = item[order], place[order]
+    n = items.size[item] - RUN + 1
+    count = np.zeros(len(item), np.int32)
+    table, first = items.runs.ravel(), item << _RUN_BITS
+    begin = place + items.around
+    left = np.searchsorted(-n, -np.arange(int(n.max(initial=0))), "left")
+    for j, k in enumerate(left.tolist()):
+        count[:k] += table[first[:k] + codes[begin[:k] + j]]
+    out = np.empty(len(item), bool)
+    out[order] = count >= items.fewest[item]
+    return out
 
 
-def allowed_edits(m: int, similarity: float) -> int:
-    return int(m * (1 - similarity) + 1e-9)
+def _alike(items: Items, padded: np.ndarray, item: np.ndarray, seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether up to 64 symbols of the item around the seed are close to the text there."""
+    s, size = items.similarity, items.size[item]
+    m = np.minimum(64, size)
+    a = np.clip((seed - 16) // 32 * 32, 0, size - m)
+    edits = np.minimum(np.ceil(m * (1 - s) + 3 * np.sqrt(m * s * (1 - s))), np.floor(size * (1 - s) + 1e-9)).astype(np.int64)
+    pieces, which = np.unique(np.stack([item, a, m]), axis=1, return_inverse=True)
+    which = which.ravel()
+    masks = np.zeros((pieces.shape[1], 256), np.uint64)
+    row, head = np.arange(pieces.shape[1]), items.base[pieces[0]] + pieces[1]
+    for j in range(int(m.max(initial=0))):
+        k = row[j < pieces[2]]
+        masks[k, items.flat[head[k] + j]] |= np.uint64(1 << j)
+    masks = masks.ravel()
+    one, top = np.uint64(1), np.uint64(1) << (m - 1).astype(np.uint64)
+    up, down = np.full(len(item), ~np.uint64(0)), np.zeros(len(item), np.uint64)
+    score, best, row = m.copy(), m.copy(), which.astype(np.int64) << 8
+    begin, last = place + a - edits + items.around, len(padded) - 1
+    for j in range(int((m + 2 * edits).max(initial=0))):
+        eq = masks[row + padded[np.minimum(begin + j, last)]]
+        x = eq | down
+        d0 = (((x & up) + up) ^ up) | x
+        ph, mh = down | ~(d0 | up), up & d0
+        score += (ph & top) != 0
+        score -= (mh & top) != 0
+        ph <<= one
+        mh <<= one
+        up, down = mh | ~(d0 | ph), ph & d0
+        np.minimum(best, score, out=best)
+    return best <= edits
 
 
 def best_match(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | None:
@@ -177,46 +244,68 @@ def best_match(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | N
     return distance, end - back, end
 
 
+def _places(items: Items, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item and place of the item in the text, of the seeds that pass both filters."""
+    last = np.searchsorted(at, np.arange(len(symbols)), "right").astype(np.int32) if len(symbols) else np.zeros(0, np.int32)
+    codes, found = np.zeros(len(symbols) + 2 * items.around, np.int32), []
+    padded = np.pad(symbols, items.around)
+    longest = max(items.tables)
+    for q, h in _hashes(symbols, RUN):
+        if q == RUN:
+            codes[items.around : items.around + len(h)] = _run_codes(h)
+    for q, h in _hashes(symbols, longest):
+        if q not in items.tables:
+            continue
+        table, owner, shift, filled = items.tables[q]
+        hit = np.flatnonzero(filled[_filter_bits(h)])
+        h = mix64(h[hit])
+        lo = np.searchsorted(table, h)
+        n = np.searchsorted(table, h, "right") - lo
+        good = (n > 0) & (hit + q <= at[last[hit]])
+        hit, lo, n = hit[good], lo[good], n[good]
+        del h
+        total = np.cumsum(n)
+        cuts = [0, *np.searchsorted(total, np.arange(_AT_ONCE, int(n.sum()), _AT_ONCE), "right").tolist(), len(hit)]
+        for i, k in zip(cuts, cuts[1:], strict=False):
+            rows, who = ranges(lo[i:k], n[i:k]), np.repeat(hit[i:k], n[i:k])
+            item, seed = owner[rows], shift[rows]
+            place = who - seed
+            keep = np.flatnonzero(_enough_runs(items, codes, item, place))
+            for part in range(0, len(keep), 1 << 13):
+                x = keep[part : part + (1 << 13)]
+                x = x[_alike(items, padded, item[x], seed[x] + q // 2, place[x])]
+                found.append(np.stack([last[who[x]] - 1, item[x], place[x] - at[last[who[x]] - 1]]))
+    return tuple(np.unique(np.concatenate(found, 1), axis=1)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def _find(items: Items, symbols: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, begin, end) of the best match of each pair, positions in symbols."""
     if not len(symbols):
         return []
-    pairs = []
-    for width in sorted({w for w, _ in items.tables}):
-        step = width // 2
-        size = np.diff(at)
-        tiles = np.maximum(0, (size - step) // step + 1)
-        starts = ranges(np.zeros(len(size), np.int64), tiles) * step
-        text = np.repeat(np.arange(len(size)), tiles)
-        if not len(starts):
-            continue
-        padded = np.append(symbols, np.zeros(width, np.uint8))
-        for walk in range(WALKS):
-            table, item, shift, filled = items.tables[width, walk]
-            for h in walk_hashes(padded, at[text] + starts, width, walk):
-                hit = np.flatnonzero(filled[h >> np.uint64(64 - _FILTER_BITS)])
-                lo, hi = np.searchsorted(table, h[hit]), np.searchsorted(table, h[hit], "right")
-                rows = ranges(lo, hi - lo)
-                who = np.repeat(hit, hi - lo)
-                pairs.append(np.stack([text[who], item[rows], starts[who] - shift[rows]]))
+    text, item, place = _places(items, symbols, at)
+    if not len(text):
+        return []
+    # Places of a pair that are less than an item apart are verified as one.
+    new = np.ones(len(text), bool)
+    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place) > items.size[item[1:]])
+    first = np.flatnonzero(new)
+    final = np.append(first[1:], len(text)) - 1
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if pairs:
-        for t, i, place in np.unique(np.concatenate(pairs, 1), axis=1).T.tolist():
-            item = items.symbols[i]
-            m = len(item)
-            limit = allowed_edits(m, similarity)
-            known = found.get((t, i))
-            if known and known[0] == 0:
-                continue
-            lo = max(0, place - limit)
-            whole = symbols[at[t] + lo : min(at[t + 1], at[t] + max(0, place + m + limit))].tobytes()
-            match = best_match(item, whole, limit if known is None else known[0] - 1)
-            if match:
-                found[t, i] = match[0], lo + match[1], lo + match[2]
+    for t, i, lo, hi in zip(text[first].tolist(), item[first].tolist(), place[first].tolist(), place[final].tolist(), strict=True):
+        m = len(items.symbols[i])
+        limit = allowed_edits(m, similarity)
+        known = found.get((t, i))
+        if known and known[0] == 0:
+            continue
+        lo = max(0, lo - limit)
+        whole = symbols[at[t] + lo : min(at[t + 1], at[t] + max(0, hi + m + limit))].tobytes()
+        match = best_match(items.symbols[i], whole, limit if known is None else known[0] - 1)
+        if match:
+            found[t, i] = match[0], lo + match[1], lo + match[2]
     return [(t, i, *m) for (t, i), m in found.items()]
 
 
-def passes(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[Items]:
+def passes(benchmark: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "item_id") -> Iterator[Items]:
     """The benchmark in passes of at most PASS_SYMBOLS symbols (or one item, if longer).
 
     Null and short items are left out; equal texts under one id are taken once.
@@ -229,13 +318,13 @@ def passes(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> It
         if len(s) < SHORTEST:
             continue
         if ids and total + len(s) > PASS_SYMBOLS:
-            yield Items.build(ids, symbols)
+            yield Items.build(ids, symbols, similarity)
             ids, symbols, total = [], [], 0
         ids.append(row.i)
         symbols.append(s)
         total += len(s)
     if ids:
-        yield Items.build(ids, symbols)
+        yield Items.build(ids, symbols, similarity)
 
 
 def matches(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -252,7 +341,7 @@ def matches(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
     schema = "doc_id long, item_id long, distance int, similarity double, begin long, end long"
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = spark.createDataFrame([], schema)
-    for items in passes(benchmark):
+    for items in passes(benchmark, similarity):
         shipped = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -278,7 +367,7 @@ def matches(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
 def clean(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``df`` whose text holds no benchmark item, unchanged; nothing is shuffled."""
     on_workers(df.sparkSession)
-    for items in passes(benchmark):
+    for items in passes(benchmark, similarity):
         shipped = df.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

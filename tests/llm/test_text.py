@@ -136,6 +136,25 @@ def test_edited_passages_reach_the_target_recall(spark):
     assert hits / len(items) >= 0.95
 
 
+@pytest.mark.parametrize("symbols", [64, 120, None])
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_recall_reaches_the_stated_similarity(spark, symbols, share):
+    rng = random.Random(7)
+    items = [reduce(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    items = [x[:symbols].strip() for x in items if len(x) >= (symbols or 0)]
+    texts = []
+    for x in items:
+        edited = bytearray(x)
+        for p in sorted(rng.sample(range(len(x)), int(len(x) * share + 1e-9)), reverse=True):
+            kind = rng.randrange(3)
+            edited[p : p + (kind < 2)] = b"" if kind == 0 else bytes([rng.choice(b"abcdefgh ")])
+        texts.append(b"some other words " * rng.randint(1, 5) + bytes(edited) + b" and the rest")
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    known = decontam.Items.build(list(range(len(items))), items)
+    found = {(t, i) for t, i, *_ in decontam._find(known, np.frombuffer(b"".join(texts), np.uint8), at, 0.8)}
+    assert sum((i, i) in found for i in range(len(items))) / len(items) >= 0.97
+
+
 # -- WARC
 
 
