@@ -42,6 +42,8 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: What may stand in a head; any other start tag, and text, ends an open one.
+METADATA = frozenset("title meta link base basefont bgsound style script noscript noframes template head html".split())
 #: End tags do not reach out of these.
 FENCES = {"p": {"table", "td", "th", "body"}, "li": {"ul", "ol", "menu", "dir"}}
 #: As in browsers, deeper elements become siblings.
@@ -81,10 +83,10 @@ def build(html: str) -> Node:
     while at < end:
         m = _TAG.search(html, at)
         if m is None:
-            stack[-1].children.append(unescape(html[at:]))
+            _text(stack, html[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            _text(stack, html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -92,6 +94,8 @@ def build(html: str) -> Node:
         if m[1]:
             _close(stack, tag)
             continue
+        if tag not in METADATA:
+            _end_head(stack)
         if tag in ENDS_P:
             _end_until(stack, {"p"}, FENCES["p"])
         if tag in IMPLIED:
@@ -111,6 +115,18 @@ def build(html: str) -> Node:
     return root
 
 
+def _text(stack: list[Node], source: str) -> None:
+    if _SPACE.sub("", source):
+        _end_head(stack)
+    stack[-1].children.append(unescape(source))
+
+
+def _end_head(stack: list[Node]) -> None:
+    """End an open head, unless a template or noscript in it takes what comes."""
+    if stack[-1].tag == "head":
+        stack.pop()
+
+
 def _end_until(stack: list[Node], tags: set[str], fence: set[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in fence:

@@ -203,6 +203,10 @@ def test_records_round_trip_through_files(spark, tmp_path):
         ("<script>never closed", ""),
         ("<div>" * 3000 + "deep", "deep"),
         ("3 < 4 > 2", "3 < 4 > 2"),
+        ("<html><head><title>t</title><p>Hello", "Hello"),
+        ("<html><head><title>t</title>\n<style>s</style>Hello <b>you</b>", "Hello you"),
+        ("<head><title>t</title><meta name=x><noscript><img alt=n></noscript><template><p>u</template><div>a</div></head><body>b", "a\nb"),
+        ("<head><title>t</title></head><p>a<body><p>b", "a\n\nb"),
     ],
 )
 def test_rendering(source, want):
