@@ -51,8 +51,9 @@ DEEPEST = 250
 #: Cells wider than this are not padded to, so a wide cell does not widen every row.
 WIDEST = 80
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: As the HTML tokenizer reads a tag: a quote opens a value only directly after "=".
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?>[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\r\f>\"'][^ \t\n\r\f>]*)?)?)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?>[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"?|'([^']*)'?|([^ \t\n\r\f>\"'][^ \t\n\r\f>]*))?)?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 

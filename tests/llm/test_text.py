@@ -207,6 +207,10 @@ def test_records_round_trip_through_files(spark, tmp_path):
         ("<html><head><title>t</title>\n<style>s</style>Hello <b>you</b>", "Hello you"),
         ("<head><title>t</title><meta name=x><noscript><img alt=n></noscript><template><p>u</template><div>a</div></head><body>b", "a\nb"),
         ("<head><title>t</title></head><p>a<body><p>b", "a\n\nb"),
+        ("<a title=don't>Hello world</a> It's late <b>x</b>", "Hello world It's late x"),
+        ('<p class="a"">Hello</p>', "Hello"),
+        ("<p a= >b</p><p 'x y'>c</p><p title='d > e' hidden>f</p><p =\"g>h</p><p class=a\"b hidden>i</p>", "b\n\nc\n\nh"),
+        ("<img alt = \"a > 'b'\"/><img alt=c/><br/>d<p" + " a" * 50_000 + ">e", "a > 'b'c/\nd\n\ne"),
     ],
 )
 def test_rendering(source, want):
