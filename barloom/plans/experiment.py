@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from barloom.operators import diagnostics, metrics, models, ridge, splits
 from barloom.operators.dataset import Prepared, Spec, inference_dataset, trim
 from barloom.operators.cross_section import with_label
+from barloom.operators.references import with_industry
 from barloom.sources.control import Tracker, load_artifact, save_artifact
 
 COMPARED = ("ic", "ic_std", "icir", "rank_ic", "rank_ic_std", "rank_icir")
@@ -36,6 +38,10 @@ class Experiment:
     tuning: dict[str, Any] = field(default_factory=dict, hash=False)
     windows: tuple[tuple[str, str, str], ...] = ()
     decay: tuple[int, ...] = (1, 3, 5, 10)
+    selection: dict[str, Any] = field(default_factory=dict, hash=False)
+    profile: str | None = None
+    industry_standard: str | None = None
+    cap_buckets: int = 5
 
     def spec(self, start: str, end: str) -> Spec:
         return Spec(self.features, self.horizon, self.target, self.normalization, start, end)
@@ -58,6 +64,7 @@ def parse(raw: dict[str, Any], name: str = "experiment") -> Experiment:
         raw.get("name", name), raw.get("model", "ridge"), tuple(raw["features"]), (str(train["start"]), str(train["end"])), (str(test["start"]), str(test["end"])), raw.get("group", ""),
         raw.get("model_params", {}), int(raw.get("label_horizon", 5)), raw.get("target", "return"), raw.get("feature_normalization", "none"), raw.get("validation", {}), raw.get("tuning", {}),
         tuple((str(w["name"]), str(w["start"]), str(w["end"])) for w in raw.get("signal_windows", [])), tuple(raw.get("ic_decay_horizons", (1, 3, 5, 10))),
+        selection=raw.get("candidate_selection") or {}, profile=raw.get("research_profile"), industry_standard=raw.get("industry_standard"), cap_buckets=int(raw.get("market_cap_bucket_count", 5)),
     )
     splits.check_windows(out.train[1], out.test[0], raw.get("validation", {}).get("end"), bool(out.tuning.get("enabled")))
     return out
@@ -103,18 +110,77 @@ def _scored(prepared: Prepared, e: Experiment, scorer: Callable[[DataFrame], Dat
     return trim(scorer(frame).withColumn("label", F.col(spec.label)), start, end)
 
 
+def selection_start(data: DataFrame, e: Experiment) -> str:
+    """First day of the selection window: the validation start, else the last fifth of the training dates."""
+    if e.validation.get("start"):
+        return str(e.validation["start"])
+    dates = splits.date_index(data)
+    cut = int(dates.count() * float(e.validation.get("train_fraction", 0.8)))
+    return str(dates.where(F.col("date_idx") == cut).first()["timestamp"].date())
+
+
+def select_candidate(data: DataFrame, before: DataFrame, e: Experiment, trials: list[dict[str, Any]], start: str) -> dict[str, Any]:
+    """The kept trials, each refitted on ``before`` and scored on the window of ``data`` from ``start``, best first."""
+    label, features = e.spec(*e.train).label, list(e.features)
+    window = trim(data, start, e.train[1]).persist()
+    rows, found = window.count(), []
+    for number, t in enumerate(trials, 1):
+        scored = models.fit(before, e.model, features, label, models.parameters(e.model, e.parameters) | t["params"])(window)
+        values = metrics.evaluate(scored, label=label).first().asDict()
+        found.append({"candidate_index": number, "trial_number": t["trial"], "tuning_score": t["score"], "model_params": t["params"], "validation_metrics": values, "selection_rows": rows})
+    window.unpersist()
+    metric, direction, top = e.selection.get("metric", "rank_ic"), e.selection.get("direction", "maximize"), int(e.selection.get("top_k", 5))
+    ranked = [{("selection_signal_metrics" if k == "validation_metrics" else k): v for k, v in c.items()} for c in rerank(found, metric, direction == "minimize", max(1, top))]
+    return {"enabled": True, "config": {"top_k": top, "metric": metric, "direction": direction}, "window": [start, e.train[1]], "candidates": ranked, "selected_candidate_index": ranked[0]["candidate_index"], "selected_metric": metric}
+
+
+def sliced(scored: DataFrame, e: Experiment, prepared: Prepared) -> dict[str, list[dict[str, Any]]]:
+    """Test metrics by year and, where their references are given, by regime, industry and market-cap bucket."""
+    given, keys = {k: v for k, v in prepared.references.items() if v is not None}, ["year_window"]
+    frame = diagnostics.with_year(scored)
+    if "benchmark" in given:
+        frame, keys = diagnostics.with_regime(frame, given["benchmark"]), [*keys, "market_regime"]
+    if "industry" in given:
+        frame, keys = with_industry(frame, given["industry"], e.industry_standard), [*keys, "industry_level_1"]
+    if "fundamentals" in given:
+        caps = inference_dataset(prepared.bars, Spec(("log_total_mkt_cap",), e.horizon, e.target, "none", *e.test), **given)
+        caps = trim(caps, *e.test).select("symbol", "timestamp", "log_total_mkt_cap")
+        frame, keys = diagnostics.with_cap_buckets(frame.join(caps, ["symbol", "timestamp"], "left"), e.cap_buckets), [*keys, "market_cap_bucket"]
+    out: dict[str, list[dict[str, Any]]] = {k: [] for k in keys}
+    for r in diagnostics.slices(frame, keys).orderBy("slice", "bucket").collect():
+        out[r["slice"]].append(r.asDict())
+    return out
+
+
 def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> dict[str, Any]:
-    """Train, validate and test one experiment; the summary is also written below ``root``."""
+    """Train, validate and test one experiment; the summary is also written below ``root``.
+
+    With tuning, trials are drawn and refitted on the days before the selection window,
+    the one that does best on the window gives the parameters, and the final model is
+    fitted on the whole training range.
+    """
     data, features, spec = prepared.get(e.spec(*e.train)), list(e.features), e.spec(*e.train)
-    folds = _folds(data, e.validation)
+    mode = e.validation.get("mode", "walk_forward")
     trials, parameters = [], models.parameters(e.model, e.parameters)
+    selection: dict[str, Any] = {"enabled": False, "candidates": [], "selected_metric": e.selection.get("metric", "rank_ic")}
+    meta = {"feature_columns": features, "feature_normalization": e.normalization, "label_horizon": e.horizon, "target_mode": e.target, "validation_mode": mode, "selection_validation_mode": mode, "research_profile": e.profile, "tuning": {"enabled": False}}
     if e.tuning.get("enabled"):
-        trials = models.tune(data, e.model, features, spec.label, folds, int(e.tuning.get("trials", 10)), e.tuning.get("metric", "rank_ic"), int(e.tuning.get("top", 5)))
-        parameters |= trials[0]["params"]
+        start = selection_start(data, e)
+        before = prepared.get(e.spec(e.train[0], (date.fromisoformat(start) - timedelta(days=1)).isoformat()))
+        trials = models.tune(before, e.model, features, spec.label, _folds(before, e.validation), int(e.tuning.get("trials", 10)), e.tuning.get("metric", "rank_ic"), int(e.tuning.get("top", 5)))
+        selection = select_candidate(data, before, e, trials, start)
+        parameters |= selection["candidates"][0]["model_params"]
+        meta |= {"selection_validation_mode": "holdout", "tuning": {"enabled": True, "validation_mode": mode, "metric": e.tuning.get("metric", "rank_ic"), "trial_records": trials}}
+        n = splits.date_index(data).count()
+        cut = splits.date_index(data).where(F.to_date("timestamp") < F.lit(start).cast("date")).count() - 1
+        folds = [splits.holdout(n, cut, int(e.validation.get("purge", 0)), int(e.validation.get("embargo", 0)))]
+    else:
+        folds = _folds(data, e.validation)
+    meta |= {"model_params": parameters, "candidate_selection": selection}
     validation = metrics.mean_of_folds(validate(data, e.model, features, spec.label, folds, parameters)).first().asDict()
     scorer = models.fit(data, e.model, features, spec.label, parameters)
     home = os.path.join(root, e.name)
-    summary = {"name": e.name, "group": e.group, "model": e.model, "features": features, "validation_metrics": validation, "artifact_path": home, "report_dir": home}
+    summary = {"name": e.name, "group": e.group, "model": e.model, "features": features, "validation_metrics": validation, "artifact_path": home, "report_dir": home, "research_profile": e.profile, "feature_normalization": e.normalization, "training_metadata": meta, "candidate_selection": selection}
     save_artifact(home, scorer.artifact, {k: summary[k] for k in ("name", "model", "features")} | {"label": spec.label, "parameters": parameters})
     scored = _scored(prepared, e, scorer, *e.test).select("symbol", "timestamp", "close", "prediction", "label").persist()
     windows = scored.select("*", F.explode(F.filter(F.array(F.lit("test"), *(F.when(F.to_date("timestamp").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in e.windows)), lambda x: x.isNotNull())).alias("window"))
@@ -122,7 +188,8 @@ def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> di
     summary["signal_test_metrics"] = found.pop("test", dict.fromkeys(metrics.METRICS, 0.0))
     summary["signal_windows"] = found
     summary["ic_decay"] = [r.asDict() for r in diagnostics.ic_decay(scored, list(e.decay)).collect()]
-    summary["years"] = [r.asDict() for r in diagnostics.slices(diagnostics.with_year(scored), ["year_window"]).orderBy("bucket").collect()]
+    summary["slices"] = sliced(scored, e, prepared)
+    summary["years"] = summary["slices"]["year_window"]
     summary["research_diagnostics"] = diagnostics.overfit_probability([t["fold_scores"] for t in trials])
     scored.unpersist()
     with open(os.path.join(home, "summary.json"), "w", encoding="utf-8") as f:

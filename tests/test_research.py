@@ -1,5 +1,6 @@
 """Labels, splits, metrics, models, diagnostics, ingestion, sources and experiments."""
 
+import dataclasses
 import json
 import os
 from datetime import date, datetime, timedelta
@@ -221,6 +222,31 @@ def test_experiment_group(spark, tmp_path):
     prepared.clear()
 
 
+def test_selection_window_chooses_the_parameters(spark, tmp_path, monkeypatch):
+    raw = {"model": "ridge", "features": ["return_5", "close_to_sma_5"], "train": {"start": "2024-01-10", "end": "2024-02-20"}, "signal_test": {"start": "2024-02-25", "end": "2024-03-20"}, "label_horizon": 3, "validation": {"start": "2024-02-10", "train_size": 12, "valid_size": 6}}
+    e = experiment.parse(raw | {"name": "tuned", "tuning": {"enabled": True, "trials": 2}, "candidate_selection": {"metric": "mae", "direction": "maximize"}})
+    bars = panel(spark).persist()
+    index = bars.where("symbol = 'a'").select("timestamp", "close")
+    industry = spark.createDataFrame([(s, "2023-01-01", "x" if s < "d" else "y") for s in "abcdef"], "symbol string, change_date string, industry_level_1 string")
+    given = [{"trial": i, "params": {"alpha": a}, "score": -i, "fold_scores": [0.1, 0.2]} for i, a in enumerate((1e9, 1e-6))]
+    seen = []
+    monkeypatch.setattr(experiment.models, "tune", lambda df, *a, **b: seen.append(df.agg({"timestamp": "max"}).first()[0]) or given)
+    prepared = dataset.Prepared(bars, {"benchmark": index, "industry": industry})
+    out = experiment.run(spark, e, prepared, str(tmp_path))
+    chosen = out["candidate_selection"]
+    scores = {c["candidate_index"]: c["selection_signal_metrics"]["mae"] for c in chosen["candidates"]}
+    best = max(scores, key=scores.get)
+    assert len(set(scores.values())) == 2 and chosen["selected_candidate_index"] == best
+    assert out["training_metadata"]["model_params"]["alpha"] == given[best - 1]["params"]["alpha"]
+    flipped = experiment.select_candidate(prepared.get(e.spec(*e.train)), prepared.get(e.spec("2024-01-10", "2024-02-09")), dataclasses.replace(e, selection={"metric": "mae", "direction": "minimize"}), given, "2024-02-10")
+    assert flipped["selected_candidate_index"] == 3 - best
+    assert str(seen[0].date()) < "2024-02-10"
+    row = experiment.compare(spark, [out]).first()
+    assert row.tuned and row.candidate_metric == "mae" and row.target_mode == "return" and (row.validation_mode, row.selection_validation_mode) == ("walk_forward", "holdout")
+    assert {r["bucket"] for r in out["slices"]["industry_level_1"]} == {"x", "y"} and out["slices"]["market_regime"] and out["years"]
+    prepared.clear()
+
+
 def test_trees_and_context(spark):
     data = dataset.training_dataset(panel(spark, 60), dataset.Spec(("return_5", "close_to_sma_5"), 3))
     score = models.fit(data, "xgboost", ["return_5", "close_to_sma_5"], "future_return_3d", {"maxIter": 2, "maxDepth": 2})
