@@ -32,8 +32,8 @@ from barloom.llm.langid import _lower
 from barloom.llm.pretokens import NUMBER, classes
 from barloom.llm.scratch import on_workers
 
-#: Shorter items (in symbols) can't be told from chance and match nothing.
-SHORTEST = 16
+#: Shorter items (in symbols) match exactly: on word boundaries, and under WHOLE symbols only a whole text.
+SHORTEST, WHOLE = 16, 8
 #: Share of items with random edits at the similarity asked for that must leave a seed.
 RECALL = 0.99
 #: Symbols of the runs that are counted, and bits of their hashes.
@@ -129,6 +129,7 @@ class Items:
     base: np.ndarray
     size: np.ndarray
     fewest: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @property
     def around(self) -> int:
@@ -141,8 +142,15 @@ class Items:
         base = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
         flat = np.frombuffer(b"".join(symbols), np.uint8)
         length = np.array([seed_length(m, similarity) for m in size.tolist()])
+        length[size < SHORTEST] = 0
+        short = {}
         runs, tables = np.zeros((len(ids), 1 << _RUN_BITS), bool), {}
-        for q, h in _hashes(flat, max(RUN, int(length.max()))):
+        for q, h in _hashes(flat, max(SHORTEST, int(length.max()))):
+            if q < SHORTEST and (size == q).any():
+                own = np.flatnonzero(size == q)
+                seeds = mix64(h[base[own]])
+                order = np.argsort(seeds, kind="stable")
+                short[q] = seeds[order], own[order]
             if q == RUN:
                 n = np.maximum(0, size - RUN + 1)
                 runs[np.repeat(np.arange(len(ids)), n), _run_codes(h)[ranges(base, n)]] = True
@@ -157,7 +165,7 @@ class Items:
                 item = np.repeat(own, n)
                 tables[q] = seeds[order], item[order], (at - base[item])[order], filled
         fewest = np.array([fewest_runs(m, similarity) for m in size.tolist()])
-        return cls(ids, symbols, similarity, tables, runs, flat, base, size, fewest)
+        return cls(ids, symbols, similarity, tables, runs, flat, base, size, fewest, short)
 
 
 def _enough_runs(items: Items, codes: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -278,13 +286,44 @@ def _places(items: Items, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return tuple(np.unique(np.concatenate(found, 1), axis=1)) if found else (np.zeros(0, np.int64),) * 3
 
 
+def _find_short(items: Items, symbols: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The first exact match of each pair of a text and a short item."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    edge = np.zeros(len(symbols) + 1, bool)
+    edge[at] = True
+    begins, ends = edge.copy(), edge.copy()
+    begins[1:] |= symbols == BLANK
+    ends[:-1] |= symbols == BLANK
+    for q, h in _hashes(symbols, max(items.short)):
+        if q not in items.short:
+            continue
+        seeds, owner = items.short[q]
+        start = np.flatnonzero(begins[: len(h)] & ends[q : q + len(h)])
+        text = np.searchsorted(at, start, "right") - 1
+        good = start + q <= at[text + 1]
+        if q < WHOLE:
+            rest = at[text + 1] - start - q
+            good &= (start == at[text]) & ((rest == 0) | ((rest == 1) & (symbols[np.minimum(start + q, len(symbols) - 1)] == BLANK)))
+        start, text = start[good], text[good]
+        lo, hi = (np.searchsorted(seeds, mix64(h[start]), side) for side in ("left", "right"))
+        for k in np.flatnonzero(hi > lo).tolist():
+            t, b = int(text[k]), int(start[k])
+            for i in owner[lo[k] : hi[k]].tolist():
+                if items.symbols[i] == symbols[b : b + q].tobytes():
+                    found.setdefault((t, i), (0, b - int(at[t]), b - int(at[t]) + q))
+    return [(t, i, *m) for (t, i), m in found.items()]
+
+
 def _find(items: Items, symbols: np.ndarray, at: np.ndarray, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, begin, end) of the best match of each pair, positions in symbols."""
     if not len(symbols):
         return []
+    short = _find_short(items, symbols, at) if items.short else []
+    if not items.tables:
+        return short
     text, item, place = _places(items, symbols, at)
     if not len(text):
-        return []
+        return short
     # Places of a pair that are less than an item apart are verified as one.
     new = np.ones(len(text), bool)
     new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place) > items.size[item[1:]])
@@ -302,20 +341,20 @@ def _find(items: Items, symbols: np.ndarray, at: np.ndarray, similarity: float)
         match = best_match(items.symbols[i], whole, limit if known is None else known[0] - 1)
         if match:
             found[t, i] = match[0], lo + match[1], lo + match[2]
-    return [(t, i, *m) for (t, i), m in found.items()]
+    return short + [(t, i, *m) for (t, i), m in found.items()]
 
 
-def passes(benchmark: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "item_id") -> Iterator[Items]:
+def passes(benchmark: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "item_id", nameless: bool = False) -> Iterator[Items]:
     """The benchmark in passes of at most PASS_SYMBOLS symbols (or one item, if longer).
 
-    Null and short items are left out; equal texts under one id are taken once.
+    Null and blank items are left out, and those without an id unless ``nameless``; equal texts under one id are taken once.
     """
     ids, symbols, total = [], [], 0
-    slim = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).distinct()
+    slim = benchmark.where(F.col(text).isNotNull() & (F.lit(nameless) | F.col(key).isNotNull())).select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).distinct()
     for row in slim.toLocalIterator():
         raw = np.frombuffer(row.t.encode(), np.uint8)
         s = reduce_texts(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-        if len(s) < SHORTEST:
+        if not s:
             continue
         if ids and total + len(s) > PASS_SYMBOLS:
             yield Items.build(ids, symbols, similarity)
@@ -367,7 +406,7 @@ def matches(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text:
 def clean(df: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``df`` whose text holds no benchmark item, unchanged; nothing is shuffled."""
     on_workers(df.sparkSession)
-    for items in passes(benchmark, similarity):
+    for items in passes(benchmark, similarity, nameless=True):
         shipped = df.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

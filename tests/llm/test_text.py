@@ -155,6 +155,16 @@ def test_recall_reaches_the_stated_similarity(spark, symbols, share):
     assert sum((i, i) in found for i in range(len(items))) / len(items) >= 0.97
 
 
+def test_short_and_nameless_items(spark):
+    rows = [(1, "see: What is PI? now"), (2, "what is pie"), (3, "Yes!"), (4, "yes it is"), (5, "x 今天天气怎么样呢。 y"), (6, "what is pi"), (7, ""), (8, "a nameless passage of some length here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "what is pi"), (2, "yes"), (3, "今天天气怎么样呢"), (None, "nameless passage of some length"), (4, "?!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.begin, r.end) for r in decontam.matches(df, bench).collect()}
+    assert got == {(1, 1, 5, 15), (6, 1, 0, 10), (3, 2, 0, 3), (5, 3, 2, 10)}
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {2, 4, 7}
+    assert decontam.matches(df, bench.where("item_id = 2")).count() == 1
+
+
 # -- WARC
 
 
