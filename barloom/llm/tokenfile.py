@@ -19,6 +19,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,41 @@ from barloom.llm.scratch import new_path, on_workers
 #: Rows above this many partitions would make the manifest more than a few MB.
 MAX_PARTITIONS = 100_000
 
-_LOADED: dict[str, PieceCache] = {}
+
+
+@dataclass
+class _Library:
+    """The tokenizers library's tokenizer, a cache of its pieces, and the strings of its added tokens."""
+
+    tokenizer: object
+    cache: PieceCache
+    added: list[bytes]
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, match_added: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice, and the offsets between its texts; texts that hold an added token go through the library whole."""
+        ids, at = self.cache.ids(data, offsets)
+        held = self._holders(data, offsets) if match_added else []
+        if not held:
+            return ids, at
+        parts, size, done = [], np.diff(at), 0
+        for t in held:
+            own = np.array(self.tokenizer.encode(data[offsets[t] : offsets[t + 1]].tobytes().decode(), add_special_tokens=False).ids, ids.dtype)
+            parts += [ids[done : at[t]], own]
+            size[t], done = len(own), at[t + 1]
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(size)])
+
+    def _holders(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        raw, found = data.tobytes(), set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                t = int(np.searchsorted(offsets, at, "right")) - 1
+                found.add(t)
+                at = raw.find(content, max(at + 1, int(offsets[t + 1]) - len(content) + 1))
+        return sorted(found)
+
+
+_LOADED: dict[str, _Library] = {}
 
 
 def _visible() -> dict[int, str]:
@@ -44,18 +79,19 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _cache(key: str, raw: bytes) -> PieceCache:
+def _library(key: str, raw: bytes) -> _Library:
     """Each distinct piece goes through the tokenizers library's model once."""
     if key not in _LOADED:
         from tokenizers import Tokenizer
 
-        tokenize, visible = Tokenizer.from_buffer(raw).model.tokenize, _visible()
+        whole = Tokenizer.from_buffer(raw)
+        tokenize, visible = whole.model.tokenize, _visible()
 
         def encode(pieces: list[bytes]) -> list[list[int]]:
             return [[t.id for t in tokenize(p.decode("latin-1").translate(visible))] for p in pieces]
 
         _LOADED.clear()
-        _LOADED[key] = PieceCache(encode)
+        _LOADED[key] = _Library(whole, PieceCache(encode), [t.content.encode() for t in whole.get_added_tokens_decoder().values()])
     return _LOADED[key]
 
 
@@ -69,11 +105,12 @@ def _local(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> list[dict]:
+def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, text: str = "text", key: str = "doc_id", partitions: int | None = None, match_added: bool = True) -> list[dict]:
     """Encode every whole text, append ``end_id`` and write the flat files.
 
     ``tokenizer`` is a tokenizers JSON file on the driver that splits by the byte-level
-    pattern; ``path`` a folder that all executors reach (by default one below
+    pattern; the strings of its added tokens inside a text become their ids, as in the
+    library, or are ordinary text unless ``match_added``.  ``path`` is a folder that all executors reach (by default one below
     ``spark.checkpoint.dir``).  A null text is empty and holds only the end id.
     Documents with equal ids stay beside each other, in no fixed order.  Rows with a
     null id come first.  An empty table gives no files and an empty manifest.  Returns
@@ -91,7 +128,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, t
     ordered = slim.repartitionByRange(count, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, kind = _cache(name, shipped.value), np.dtype(f"<u{width}")
+        library, kind = _library(name, shipped.value), np.dtype(f"<u{width}")
         store, folder = _local(path)
         store.create_dir(folder, recursive=True)
         file, part, sizes, docs, ids_out = uuid.uuid4().hex, None, [], [], None
@@ -99,7 +136,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, t
             if ids_out is None:
                 part = column(rows, "part")[0].as_py()
                 ids_out = store.open_output_stream(f"{folder}/{file}.ids")
-            ids, at = cache.ids(data, offsets)
+            ids, at = library.ids(data, offsets, match_added)
             n = len(at) - 1
             ids_out.write(np.insert(ids, at[1:], end_id).astype(kind).tobytes())
             sizes.append(np.diff(at) + 1)
