@@ -1,23 +1,29 @@
-"""Benchmark decontamination by exact seeds, two cheap filters and exact verification.
-
-Texts are reduced to lower-case letters and digits with single blanks.  An item of m
-symbols that a text holds with at most k edits leaves runs unedited; each run of q symbols
-of an item is a seed, and each place of a text is looked up among the seeds.  q is the
-largest length of which k edits at random places leave a run with probability RECALL
-(never less than m // (k + 1), of which any k edits leave one), so short items and low
-similarities get short seeds.
-
-A seed puts the item at a place of the text.  The place is kept if the text there has
-enough runs of five symbols of the item (what k edits at random leave, less four standard
-deviations), and if up to 64 symbols of the item around the seed are within the edits
-expected of them (bit-parallel edit distance of many places at once).  Kept places are
-verified by exact approximate matching of the whole item.
+"""Benchmark decontamination by embedding edit distance into Hamming distance.
+
+Texts are reduced to lower-case letters and digits with single blanks.  A random walk
+reads a window of an item's size: at every step it emits the symbol under the pointer, and
+a random bit chosen by step and symbol says whether the pointer moves on (the CGK
+embedding; here no symbol holds the pointer over two steps).  Two windows a few edits
+apart emit sequences that differ in few places, so samples of the places, hashed, often
+agree.  Edits put the walks out of step sooner or later, and therefore the samples lie in
+the first steps, and every place of a text and of an item begins a window: an item holds
+as many windows as symbols, of which one must agree.  How many steps a sample spans
+follows from item length and similarity: as many as k random edits leave whole for one
+window at least with probability RECALL.  WALKS independent walks repeat this.
+
+Samples are taken while walking: windows whose first steps begin no window of any item
+are dropped at once.  An agreement puts the item at a place of the text.  The place is
+kept if the text there has enough runs of five symbols of the item (what k edits at random
+leave, less four standard deviations), and if up to 64 symbols of the item around the
+window's begin are within the edits expected of them (bit-parallel edit distance of many
+places at once).  Kept places are verified by exact approximate matching of the whole
+item.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,18 +40,19 @@ from barloom.llm.scratch import on_workers
 
 #: Shorter items (in symbols) match exactly: on word boundaries, and under WHOLE symbols only a whole text.
 SHORTEST, WHOLE = 16, 8
-#: Share of items with random edits at the similarity asked for that must leave a seed.
-RECALL = 0.99
+#: Share of items with random edits at the similarity asked for that one walk must find.
+RECALL = 0.9
+#: Independent walks, the share of the steps that a sample holds, and the most steps.
+WALKS, SHARE, LONGEST = 2, 0.8, 24
 #: Symbols of the runs that are counted, and bits of their hashes.
 RUN, _RUN_BITS = 5, 13
-#: Longer seeds hardly save time.
-LONGEST_SEED = 12
-#: Seeds and places handled at once; bounds memory.
-_AT_ONCE = 1 << 16
+#: Windows walked, and places places handled at once; bounds memory.
+_BLOCK, _AT_ONCE, _PART = 1 << 15, 1 << 16, 1 << 13
+#: Step after which windows are dropped at the earliest.
+_EARLY = 8
 #: Benchmark symbols handled in one pass over the texts; bounds what is broadcast.
 PASS_SYMBOLS = 1 << 20
 BLANK = 32
-_FILTER_BITS = 21
 
 
 @lru_cache(1)
@@ -83,12 +90,69 @@ def allowed_edits(m: int, similarity: float) -> int:
     return int(m * (1 - similarity) + 1e-9)
 
 
-def seed_length(m: int, similarity: float) -> int:
-    """Symbols of the seeds of an item of m symbols."""
+def sample_steps(m: int, similarity: float) -> int:
+    """Steps that the samples of an item of m symbols span."""
     gaps = allowed_edits(m, similarity) + 1
     alive = 1 - (1 - RECALL) ** (1 / gaps)
-    likely = int(math.log(alive) / math.log(similarity)) if 0 < similarity < 1 else m if similarity >= 1 else 1
-    return max(1, min(max(likely, m // gaps), m, LONGEST_SEED))
+    # A step reads a new symbol, and a symbol is read for one step (2/3) or two.
+    whole = [1.0, similarity]
+    while len(whole) <= min(m, LONGEST):
+        whole.append(similarity * (2 * whole[-1] + whole[-2]) / 3)
+    longest = max(1, min(m // gaps, LONGEST), *(t for t in range(len(whole)) if whole[t] >= alive))
+    return max(2, longest // 2 * 2)
+
+
+@lru_cache(1)
+def _alphabet() -> np.ndarray:
+    """Symbols as 64 codes: letters, digits and the blank apart, the others hashed."""
+    known = [*range(97, 123), *range(48, 58), BLANK]
+    out = len(known) + np.arange(256) % (64 - len(known))
+    out[known] = range(len(known))
+    return out
+
+
+@lru_cache(16)
+def _walk(walk: int) -> np.ndarray:
+    """For every two steps and every two symbols from the pointer on: how far it moves (two bits), and a hash of what is sampled."""
+    rng = np.random.default_rng([walk, 1])
+    moves, sampled = np.ones((LONGEST, 64), np.int64), rng.random(LONGEST) < SHARE
+    for j in range(LONGEST):
+        moves[j] = rng.integers(0, 2, 64)
+        if j:
+            moves[j][moves[j - 1] == 0] = 1
+    sampled[0] = True
+    random = rng.integers(-(1 << 60), 1 << 60, (LONGEST, 64)) * 4 * sampled[:, None]
+    a, b = np.divmod(np.arange(64 * 64), 64)
+    out = []
+    for j in range(0, LONGEST, 2):
+        second = np.where(moves[j][a], b, a)
+        out.append(random[j][a] + random[j + 1][second] + moves[j][a] + moves[j + 1][second])
+    return np.array(out)
+
+
+def _twos(symbols: np.ndarray) -> np.ndarray:
+    """The two symbols from each place on, as one number; goes on for LONGEST places."""
+    codes = np.pad(_alphabet()[symbols], (0, LONGEST + 1))
+    return codes[:-1] * 64 + codes[1:]
+
+
+def _samples(twos: np.ndarray, at: np.ndarray, walk: int, stops: list[int], keep: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """After the steps of each stop: the stop, the windows, where their pointers stand, their sample hashes, and what ``keep`` says of them.
+
+    Windows of which ``keep`` says 0 by their hashes are dropped.
+    """
+    pointer, h, says = at.copy(), np.zeros(len(at), np.int64), None
+    for j, table in enumerate(_walk(walk)[: stops[-1] // 2]):
+        step = table.take(twos.take(pointer))
+        h += step
+        step &= 3
+        pointer += step
+        if 2 * j + 2 in stops:
+            if keep is not None:
+                says = keep(2 * j + 2, h)
+                left = np.flatnonzero(says)
+                at, pointer, h, says = at[left], pointer[left], h[left], says[left]
+            yield 2 * j + 2, at, pointer, h, says
 
 
 def fewest_runs(m: int, similarity: float) -> int:
@@ -112,18 +176,21 @@ def _run_codes(h: np.ndarray) -> np.ndarray:
     return (mix64(h) >> np.uint64(64 - _RUN_BITS)).astype(np.int32)
 
 
-def _filter_bits(h: np.ndarray) -> np.ndarray:
-    return (h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - _FILTER_BITS)
+def _filter(h: np.ndarray, bits: int) -> np.ndarray:
+    return h.view(np.uint64) >> np.uint64(64 - bits)
 
 
 @dataclass
 class Items:
-    """Benchmark items as symbols, a sorted table of the seeds of each length, and the runs of each item."""
+    """Benchmark items as symbols, by walk the sorted samples of each span and filters of their first steps, and the runs of each item."""
 
     ids: list[int]
     symbols: list[bytes]
     similarity: float
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: By hash: 1 if some sample goes on from here, 2 more if one ends here.
+    filters: dict[tuple[int, int], np.ndarray]
+    stops: list[int]
     runs: np.ndarray
     flat: np.ndarray
     base: np.ndarray
@@ -141,11 +208,11 @@ class Items:
         size = np.array([len(s) for s in symbols], np.int64)
         base = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
         flat = np.frombuffer(b"".join(symbols), np.uint8)
-        length = np.array([seed_length(m, similarity) for m in size.tolist()])
-        length[size < SHORTEST] = 0
+        steps = np.array([sample_steps(m, similarity) for m in size.tolist()])
+        steps[size < SHORTEST] = 0
         short = {}
-        runs, tables = np.zeros((len(ids), 1 << _RUN_BITS), bool), {}
-        for q, h in _hashes(flat, max(SHORTEST, int(length.max()))):
+        runs = np.zeros((len(ids), 1 << _RUN_BITS), bool)
+        for q, h in _hashes(flat, SHORTEST):
             if q < SHORTEST and (size == q).any():
                 own = np.flatnonzero(size == q)
                 seeds = mix64(h[base[own]])
@@ -154,18 +221,24 @@ class Items:
             if q == RUN:
                 n = np.maximum(0, size - RUN + 1)
                 runs[np.repeat(np.arange(len(ids)), n), _run_codes(h)[ranges(base, n)]] = True
-            own = np.flatnonzero(length == q)
-            if len(own):
-                n = size[own] - q + 1
-                at = ranges(base[own], n)
-                seeds = mix64(h[at])
-                order = np.argsort(seeds, kind="stable")
-                filled = np.zeros(1 << _FILTER_BITS, bool)
-                filled[_filter_bits(h[at])] = True
-                item = np.repeat(own, n)
-                tables[q] = seeds[order], item[order], (at - base[item])[order], filled
+        stops = sorted({*steps[steps > 0].tolist()})
+        stops = sorted({*stops, *range(_EARLY, stops[0] if stops else 0, 2)})
+        tables, filters = {}, {}
+        own = np.flatnonzero(steps)
+        start, item = ranges(base[own], size[own]), np.repeat(own, size[own])
+        bits = min(24, max(16, int(len(start) * 8).bit_length()))
+        twos = _twos(flat)
+        for walk in range(WALKS) if len(own) else ():
+            for t, at, pointer, h, _ in _samples(twos, start, walk, stops):
+                inside = pointer <= (base + size)[item]
+                mine = np.flatnonzero(inside & (steps[item] == t))
+                order = mine[np.argsort(h[mine], kind="stable")]
+                tables[walk, t] = h[order], item[order], (at - base[item])[order]
+                filters[walk, t] = np.zeros(1 << bits, np.uint8)
+                filters[walk, t][_filter(h[inside & (steps[item] >= t)], bits)] = 1
+                filters[walk, t][_filter(h[mine], bits)] = 3
         fewest = np.array([fewest_runs(m, similarity) for m in size.tolist()])
-        return cls(ids, symbols, similarity, tables, runs, flat, base, size, fewest, short)
+        return cls(ids, symbols, similarity, tables, filters, stops, runs, flat, base, size, fewest, short)
 
 
 def _enough_runs(items: Items, codes: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -252,37 +325,59 @@ def best_match(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | N
     return distance, end - back, end
 
 
+def _checked(items: Items, codes: np.ndarray, padded: np.ndarray, at: np.ndarray, met: list[np.ndarray]) -> np.ndarray:
+    """Text, item and place (from the text's begin) of the windows that pass both filters."""
+    window, item, seed = np.concatenate(met, 1)
+    place = window - seed
+    order = np.lexsort((seed, place, item))
+    window, item, seed, place = window[order], item[order], seed[order], place[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (np.diff(item) != 0) | (np.diff(place) != 0)
+    first = np.flatnonzero(new)
+    enough = np.repeat(_enough_runs(items, codes, item[first], place[first]), np.diff(np.append(first, len(item))))
+    new[1:] |= np.diff(seed // 32) != 0
+    x = np.flatnonzero(enough & new)
+    x = np.concatenate([x[:0], *(part[_alike(items, padded, item[part], seed[part], place[part])] for part in np.split(x, range(_PART, len(x), _PART)))])
+    text = np.searchsorted(at, window[x], "right") - 1
+    return np.stack([text, item[x], place[x] - at[text]])
+
+
 def _places(items: Items, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, item and place of the item in the text, of the seeds that pass both filters."""
-    last = np.searchsorted(at, np.arange(len(symbols)), "right").astype(np.int32) if len(symbols) else np.zeros(0, np.int32)
-    codes, found = np.zeros(len(symbols) + 2 * items.around, np.int32), []
+    """Text, item and place of the item in the text, of the windows that pass both filters."""
+    codes = np.zeros(len(symbols) + 2 * items.around, np.int32)
     padded = np.pad(symbols, items.around)
-    longest = max(items.tables)
     for q, h in _hashes(symbols, RUN):
         if q == RUN:
             codes[items.around : items.around + len(h)] = _run_codes(h)
-    for q, h in _hashes(symbols, longest):
-        if q not in items.tables:
-            continue
-        table, owner, shift, filled = items.tables[q]
-        hit = np.flatnonzero(filled[_filter_bits(h)])
-        h = mix64(h[hit])
-        lo = np.searchsorted(table, h)
-        n = np.searchsorted(table, h, "right") - lo
-        good = (n > 0) & (hit + q <= at[last[hit]])
-        hit, lo, n = hit[good], lo[good], n[good]
-        del h
-        total = np.cumsum(n)
-        cuts = [0, *np.searchsorted(total, np.arange(_AT_ONCE, int(n.sum()), _AT_ONCE), "right").tolist(), len(hit)]
-        for i, k in zip(cuts, cuts[1:], strict=False):
-            rows, who = ranges(lo[i:k], n[i:k]), np.repeat(hit[i:k], n[i:k])
-            item, seed = owner[rows], shift[rows]
-            place = who - seed
-            keep = np.flatnonzero(_enough_runs(items, codes, item, place))
-            for part in range(0, len(keep), 1 << 13):
-                x = keep[part : part + (1 << 13)]
-                x = x[_alike(items, padded, item[x], seed[x] + q // 2, place[x])]
-                found.append(np.stack([last[who[x]] - 1, item[x], place[x] - at[last[who[x]] - 1]]))
+    found, met, size, twos = [], [], 0, _twos(symbols)
+    for walk in range(WALKS):
+        bits = len(items.filters[walk, items.stops[0]]).bit_length() - 1
+        keep = lambda t, h: items.filters[walk, t].take(_filter(h, bits).view(np.int64))  # noqa: B023, E731
+        ended: dict[int, list[np.ndarray]] = {t: [] for t in items.stops}
+        for block in range(0, len(symbols), _BLOCK):
+            for t, *windows, says in _samples(twos, np.arange(block, min(block + _BLOCK, len(symbols))), walk, items.stops, keep):
+                ends = np.flatnonzero(says == 3)
+                if len(ends):
+                    ended[t].append(np.stack([x[ends] for x in windows]))
+        for t, parts in ended.items():
+            for window, pointer, h in [np.concatenate(parts, 1)] if parts else []:
+                table, owner, shift = items.tables[walk, t]
+                lo = np.searchsorted(table, h)
+                n = np.searchsorted(table, h, "right") - lo
+                good = np.flatnonzero(n)
+                good = good[pointer[good] <= at[np.searchsorted(at, window[good], "right")]]
+                who, lo, n = window[good], lo[good], n[good]
+                total = np.cumsum(n)
+                cuts = np.unique(np.searchsorted(total, np.arange(0, int(n.sum()) + _AT_ONCE, _AT_ONCE), "left"))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    rows = ranges(lo[a:b], n[a:b])
+                    met.append(np.stack([np.repeat(who[a:b], n[a:b]), owner[rows], shift[rows]]))
+                    size += len(rows)
+                    if size >= _AT_ONCE:
+                        found.append(_checked(items, codes, padded, at, met))
+                        met, size = [], 0
+    if met:
+        found.append(_checked(items, codes, padded, at, met))
     return tuple(np.unique(np.concatenate(found, 1), axis=1)) if found else (np.zeros(0, np.int64),) * 3
 
 

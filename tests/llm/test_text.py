@@ -136,25 +136,55 @@ def test_edited_passages_reach_the_target_recall(spark):
     assert hits / len(items) >= 0.95
 
 
+def edited(x, share, rng):
+    """``x`` (bytes or str) with exactly that share of random insertions, deletions and replacements."""
+    other = [x[:0], *("abcdefgh " if isinstance(x, str) else (bytes([c]) for c in b"abcdefgh "))]
+    out = [x[i : i + 1] for i in range(len(x))]
+    for p in rng.sample(range(len(x)), int(len(x) * share + 1e-9)):
+        kind = rng.randrange(3)
+        out[p] = other[0] if kind == 0 else rng.choice(other[1:]) + (out[p] if kind == 2 else other[0])
+    return x[:0].join(out)
+
+
 @pytest.mark.parametrize("symbols", [64, 120, None])
-@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_recall_reaches_the_stated_similarity(spark, symbols, share):
     rng = random.Random(7)
     items = [reduce(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
     items = [x[:symbols].strip() for x in items if len(x) >= (symbols or 0)]
-    texts = []
-    for x in items:
-        edited = bytearray(x)
-        for p in sorted(rng.sample(range(len(x)), int(len(x) * share + 1e-9)), reverse=True):
-            kind = rng.randrange(3)
-            edited[p : p + (kind < 2)] = b"" if kind == 0 else bytes([rng.choice(b"abcdefgh ")])
-        texts.append(b"some other words " * rng.randint(1, 5) + bytes(edited) + b" and the rest")
+    texts = [b"some other words " * rng.randint(1, 5) + edited(x, share, rng) + b" and the rest" for x in items]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     known = decontam.Items.build(list(range(len(items))), items)
     found = {(t, i) for t, i, *_ in decontam._find(known, np.frombuffer(b"".join(texts), np.uint8), at, 0.8)}
     assert sum((i, i) in found for i in range(len(items))) / len(items) >= 0.97
 
 
+def test_matches_equal_brute_force_over_every_pair(spark):
+    rng = random.Random(9)
+    passages = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    items = [(i, reduce(x)) for i, x in passages]
+    rows = [(r.doc_id, r.text) for r in queries.table(spark, SF, "documents").collect()]
+    for n, (_, x) in enumerate(passages):
+        rows.append((10_000 + n, "before it " + edited(x, (0.05, 0.1, 0.15, 0.18)[n % 4], rng) + " after it"))
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), queries.table(spark, SF, "benchmark")).collect()}
+    want = {}
+    for d, t in rows:
+        symbols = reduce(t or "")
+        for i, x in items:
+            if best := decontam.best_match(x, symbols, decontam.allowed_edits(len(x), 0.8)):
+                want[d, i] = best[0]
+    assert len(want) >= len(items) and got == want
+
+
+def test_repeated_rows_and_items(spark):
+    passage = "the quick brown fox jumps over the lazy dog by the river"
+    docs = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, passage), (5, passage), (5, passage.upper()), (6, passage)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.distance) for r in decontam.matches(docs, bench.distinct()).collect())
+    assert got == sorted((d, i, 0) for d in (0, 1, 1) for i in (5, 5, 6))
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [2]
+
+
 def test_short_and_nameless_items(spark):
     rows = [(1, "see: What is PI? now"), (2, "what is pie"), (3, "Yes!"), (4, "yes it is"), (5, "x 今天天气怎么样呢。 y"), (6, "what is pi"), (7, ""), (8, "a nameless passage of some length here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
