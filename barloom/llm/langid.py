@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.kernels import column, text_slices
+from barloom.llm.kernels import column, ranges, text_slices
 from barloom.llm.pretokens import LETTER, classes
 from barloom.llm.scratch import on_workers
 
@@ -25,8 +26,8 @@ PROFILE = 300
 #: Bytes of text handled at once; n-gram codes take many times the text.
 SLICE = 1 << 20
 UNDETERMINED = "und"
-#: Profiles travel to every task; this many languages take a few megabytes.
-MAX_LANGUAGES = 2000
+#: Languages compared in one pass over the texts, whose profiles travel to every task together (10 MB).
+AT_ONCE = 2000
 
 _BITS = np.uint64(18)
 
@@ -92,20 +93,41 @@ def _counted(sorted_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Profiles:
-    """Languages, the n-grams of any profile in ascending order, and their ranks (PROFILE: not in it)."""
+    """Sorted languages and, as postings, the n-grams of their profiles.
+
+    The postings of ``codes[i]`` are ``lang`` and ``rank`` from ``at[i]`` up to ``at[i + 1]``.
+    """
 
     languages: list[str]
     codes: np.ndarray
-    ranks: np.ndarray
-
-    def nearest(self, codes: np.ndarray) -> tuple[int, float]:
-        """The best language of a ranked n-gram list, and 1 - distance / greatest distance."""
+    at: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def build(cls, rows: list[tuple[str, int, int]]) -> Profiles:
+        """From (language, n-gram code, rank) in any order."""
+        languages = sorted({x[0] for x in rows})
+        number = {x: i for i, x in enumerate(languages)}
+        table = np.array(sorted((code, number[name], rank) for name, code, rank in rows), np.int64).reshape(-1, 3)
+        codes, first = np.unique(table[:, 0], return_index=True)
+        return cls(languages, codes.astype(np.uint64), np.append(first, len(table)), table[:, 1], table[:, 2])
+
+    def block(self, lo: int, hi: int) -> Profiles:
+        """The languages from number ``lo`` up to ``hi``."""
+        some = np.flatnonzero((self.lang >= lo) & (self.lang < hi))
+        code = np.repeat(self.codes, np.diff(self.at))[some]
+        codes, first = np.unique(code, return_index=True)
+        return Profiles(self.languages[lo:hi], codes, np.append(first, len(code)), self.lang[some] - lo, self.rank[some])
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """1 - distance / greatest distance of a ranked n-gram list to each language."""
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        rank = np.where((self.codes[at] == codes)[:, None], self.ranks[at], PROFILE)
-        own = np.arange(len(codes))[:, None]
-        far = np.where(rank < PROFILE, np.abs(rank - own), PROFILE).sum(0)
-        best = int(far.argmin())
-        return best, float(1 - far[best] / (PROFILE * len(codes)))
+        own = np.flatnonzero(self.codes[at] == codes)
+        n = self.at[at[own] + 1] - self.at[at[own]]
+        rows = ranges(self.at[at[own]], n)
+        near = PROFILE - np.abs(self.rank[rows] - np.repeat(own, n))
+        return np.bincount(self.lang[rows], near, len(self.languages)) / (PROFILE * len(codes))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
@@ -140,49 +162,57 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     totals = slim.mapInArrow(count, "lang string, code long, m long").groupBy("lang", "code").agg(F.sum("m").alias("m"))
     order = Window.partitionBy("lang").orderBy(F.desc("m"), "code")
     top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
-    rows = top.limit(PROFILE * MAX_LANGUAGES + 1).collect()
-    if len(rows) > PROFILE * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted({r.lang for r in rows})
-    codes = np.array(sorted({r.code for r in rows}), np.uint64)
-    ranks = np.full((len(codes), len(languages)), PROFILE, np.int32)
-    for r in rows:
-        ranks[np.searchsorted(codes, np.uint64(r.code)), languages.index(r.lang)] = r.rank - 1
-    return Profiles(languages, codes, ranks)
+    return Profiles.build([(r.lang, r.code, r.rank - 1) for r in top.select("lang", "code", "rank").toLocalIterator()])
 
 
-def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """Add lang_pred (string) and score (double, 0 to 1) to every row.
+def predict(df: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang_pred", out: str = "score", declared: str | None = None, declared_out: str = "declared_score") -> DataFrame:
+    """Add ``lang`` (string) and ``out`` (double, 0 to 1) to every row.
 
     ``und`` with score 0 when the text is null, has no letter, or nothing was learned.
-    Equal distances go to the language that sorts first.  Columns named lang_pred or
-    score are replaced; every other column and every repeated row is kept.
+    Equal distances go to the language that sorts first.  With ``declared``, a string
+    column, ``declared_out`` is the score of the language it names (null if it is null or
+    was not learned).  Columns already called like the added ones are replaced; every
+    other column and every repeated row is kept.  One pass over the texts compares
+    AT_ONCE languages.
     """
     on_workers(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
-    shipped = df.sparkSession.sparkContext.broadcast(profiles)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
-        for rows, data, offsets in text_slices(batches, text, SLICE):
-            codes, ends = _grams(*_symbols(data, offsets))
-            names, scores = [], []
-            for i in range(len(offsets) - 1):
-                own, m = _counted(np.sort(np.concatenate([c[e[i] : e[i + 1]] for c, e in zip(codes, ends, strict=True)])))
-                if not len(own) or not known.languages:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                best, score = known.nearest(own[np.argsort(-m, kind="stable")[:PROFILE]])
-                names.append(known.languages[best])
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([*(column(rows, f.name) for f in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in kept), "lang_pred", "score"])
-
-    from pyspark.sql import types as T
-
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    added = [T.StructField(lang, T.StringType()), T.StructField(out, T.DoubleType())] + [T.StructField(declared_out, T.DoubleType())] * (declared is not None)
+    names = [f.name for f in added]
+    for first in range(0, max(1, len(profiles.languages)), AT_ONCE):
+        kept = [f for f in df.schema.fields if f.name not in names]
+        shipped = df.sparkSession.sparkContext.broadcast(profiles.block(first, first + AT_ONCE))
+
+        def run(batches: Iterator[pa.RecordBatch], first=first, kept=kept, shipped=shipped) -> Iterator[pa.RecordBatch]:
+            known = shipped.value
+            number = {x: i for i, x in enumerate(known.languages)}
+            for rows, data, offsets in text_slices(batches, text, SLICE):
+                codes, ends = _grams(*_symbols(data, offsets))
+                n = len(offsets) - 1
+                best, score = ([UNDETERMINED] * n, [0.0] * n) if not first else (column(rows, c).to_pylist() for c in names[:2])
+                said = column(rows, declared).to_pylist() if declared else []
+                own_score = [None] * n if not first or not declared else column(rows, declared_out).to_pylist()
+                for i in range(n if known.languages else 0):
+                    own, m = _counted(np.sort(np.concatenate([c[e[i] : e[i + 1]] for c, e in zip(codes, ends, strict=True)])))
+                    if not len(own):
+                        continue
+                    scores = known.scores(own[np.argsort(-m, kind="stable")[:PROFILE]])
+                    top = int(scores.argmax())
+                    if best[i] == UNDETERMINED or scores[top] > score[i]:
+                        best[i], score[i] = known.languages[top], float(scores[top])
+                    if declared and said[i] in number:
+                        own_score[i] = float(scores[number[said[i]]])
+                more = [pa.array(best, pa.string()), pa.array(score, pa.float64())] + [pa.array(own_score, pa.float64())] * (declared is not None)
+                yield pa.RecordBatch.from_arrays([*(column(rows, f.name) for f in kept), *more], [*(f.name for f in kept), *names])
+
+        df = df.mapInArrow(run, T.StructType([*kept, *added]))
+    return df
 
 
 def fold(key: str = "doc_id", folds: int = 5) -> Column:
-    """crc32 of the key as text, modulo ``folds``."""
+    """crc32 of the key as text, modulo ``folds``; null for a null key, which is in no fold."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+
+
+def in_fold(number: int, key: str = "doc_id", folds: int = 5) -> Column:
+    """Whether the key is in that fold; false for a null key."""
+    return F.coalesce(fold(key, folds) == number, F.lit(False))

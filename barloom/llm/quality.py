@@ -24,8 +24,8 @@ from barloom.llm.scratch import on_workers
 CHUNK, WINDOW, STRIDE, EMBED, FILTERS = 512, 8, 2, 4, 32
 PER_CHUNK = CHUNK // STRIDE
 
-#: Bounds of the training sample: labelled rows, and chunks of each.
-MAX_ROWS, CHUNKS_PER_ROW = 4000, 4
+#: Labelled rows of the training sample unless the caller says otherwise.
+MAX_ROWS = 4000
 
 
 @dataclass
@@ -71,32 +71,30 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, owner, np.clip(left, 1, CHUNK)
 
 
-def sample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> list:
-    """At most MAX_ROWS labelled rows, chosen by a hash of the key, with CHUNKS_PER_ROW chunks of each.
+def sample(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_rows: int = MAX_ROWS) -> list:
+    """All chunks of at most ``max_rows`` labelled rows, chosen by a hash of the key.
 
     Only ids are shuffled and only the chosen ids are broadcast; texts stay where they
-    are.  Rows with a null label or key are left out; a key labelled twice counts with
-    its smaller label.
+    are, and the chosen ones come to the driver whole.  Rows with a null label or key are
+    left out; a key labelled twice counts with its smaller label.
     """
     on_workers(df.sparkSession)
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y"))
-    chosen = marked.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(MAX_ROWS)
+    chosen = marked.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches):
             chunks, owner, size = layout(data, offsets)
-            keys, marks, out = column(rows, "k").to_pylist(), column(rows, "y").to_pylist(), []
-            for i, (k, y) in enumerate(zip(keys, marks, strict=True)):
-                own = np.flatnonzero(owner == i)
-                pick = own if len(own) <= CHUNKS_PER_ROW else own[np.sort(np.random.default_rng(abs(k)).choice(len(own), CHUNKS_PER_ROW, replace=False))]
-                out += [(k, y, chunks[j].tobytes(), int(size[j])) for j in pick]
-            yield pa.RecordBatch.from_pydict({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("k", pa.int64()), ("y", pa.int32()), ("chunk", pa.binary()), ("size", pa.int32())))})
+            for lo in range(0, len(chunks), 4096):
+                own = pa.array(owner[lo : lo + 4096])
+                part = chunks[lo : lo + 4096]
+                yield pa.RecordBatch.from_pydict({"k": column(rows, "k").take(own), "y": column(rows, "y").take(own), "chunk": pa.array([x.tobytes() for x in part], pa.binary())})
 
-    return rows.mapInArrow(cut, "k long, y int, chunk binary, size int").collect()
+    return rows.mapInArrow(cut, "k long, y int, chunk binary").collect()
 
 
-def fit(rows: list, epochs: int = 24, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Network:
+def fit(rows: list, epochs: int = 16, batch: int = 128, rate: float = 4e-3, seed: int = 7) -> Network:
     """Train on the rows of ``sample`` with Adam.  Without rows every score is 0.5."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), rng.normal(0, (WINDOW * EMBED) ** -0.5, (WINDOW * EMBED, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)

@@ -32,7 +32,7 @@ def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     net = quality.fit(quality.sample(docs, labels.where(langid.fold() != 0)))
-    return quality.score(docs, net).select("doc_id", (langid.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.score(docs, net).select("doc_id", langid.in_fold(0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,14 +46,14 @@ def op5_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), train=docs.where(~F.coalesce(langid.fold() == 1, F.lit(False))), keep=("doc_id",))
-    return scored.withColumn("held_out", langid.fold() == 1)
+    scored = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), train=docs.where(~langid.in_fold(1)), keep=("doc_id",))
+    return scored.withColumn("held_out", langid.in_fold(1))
 
 
 def op7_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.fit(docs.where(langid.fold() != 0))
-    return langid.predict(docs.select("doc_id", "text"), profiles).select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs.select("doc_id", "text"), profiles).select("doc_id", langid.in_fold(0).alias("held_out"), "lang_pred", "score")
 
 
 def op8_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:

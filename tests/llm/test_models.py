@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import langid, lattice, quality, queries
 
@@ -60,6 +61,18 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
 
 
+def test_language_in_blocks_and_declared(spark, monkeypatch):
+    docs = spark.createDataFrame(queries.table(spark, SF, "documents").limit(60).collect())
+    profiles = langid.fit(docs)
+    plain = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.predict(docs, profiles).collect())
+    monkeypatch.setattr(langid, "AT_ONCE", 1)
+    rows = langid.predict(docs, profiles, declared="lang").collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in rows) == plain
+    assert all(r.declared_score <= r.score and (r.declared_score == r.score or r.lang != r.lang_pred) for r in rows)
+    other = langid.predict(docs.withColumn("lang", F.lit("zz")), profiles, lang="p", out="s", declared="lang", declared_out="d")
+    assert {r.d for r in other.collect()} == {None} and other.columns[-3:] == ["p", "s", "d"]
+
+
 def test_language_odd_rows(spark):
     df = odd(spark)
     profiles = langid.fit(spark.createDataFrame([("the thing", "en"), ("der die das", "de"), (None, "fr"), ("x", None)], "text string, lang string"))
@@ -83,7 +96,7 @@ def test_quality_held_out(spark):
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     good = [r for r in held if labels[r.doc_id] == 1]
-    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.9
+    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.97
     assert np.mean([r.predicted for r in good]) > 0.97
 
 
@@ -99,6 +112,79 @@ def test_quality_odd_rows_and_layout(spark):
     assert quality.sample(odd(spark), nobody) == []
 
 
+def small_network(seed):
+    rng = np.random.default_rng(seed)
+    shape = [(256, quality.EMBED), (quality.WINDOW * quality.EMBED, quality.FILTERS), quality.FILTERS, quality.FILTERS]
+    return quality.Network(*(rng.normal(0, 0.4, s) for s in shape), 0.3)
+
+
+def plain_logit(net, chunk):
+    """The forward pass of one laid-out chunk, filter by filter and window by window."""
+    total = net.offset
+    for f in range(quality.FILTERS):
+        best = max(
+            sum(net.embed[chunk[at + w], e] * net.kernel[w * quality.EMBED + e, f] for w in range(quality.WINDOW) for e in range(quality.EMBED))
+            for at in range(0, quality.CHUNK, quality.STRIDE)
+        )
+        total += max(best + net.bias[f], 0) * net.dense[f]
+    return total
+
+
+def test_quality_forward_equals_plain_loops(spark):
+    net = small_network(1)
+    rng = np.random.default_rng(2)
+    texts = ["", "short", "".join(map(chr, rng.integers(32, 127, 1200)))]
+    want = []
+    for t in texts:
+        raw = t.encode()
+        parts = [raw[i : i + quality.CHUNK + quality.WINDOW] for i in range(0, max(1, len(raw)), quality.CHUNK)]
+        size = [max(1, min(quality.CHUNK, len(raw) - i)) for i in range(0, max(1, len(raw)), quality.CHUNK)]
+        logit = sum(plain_logit(net, list(p.ljust(quality.CHUNK + quality.WINDOW, b"\0"))) * n for p, n in zip(parts, size, strict=True)) / sum(size)
+        want.append(1 / (1 + math.exp(-logit)))
+    got = quality.score(odd(spark, texts), net).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx(want, rel=1e-4)
+
+
+def test_quality_gradients_equal_finite_differences():
+    net = small_network(3)
+    rng = np.random.default_rng(4)
+    x, y, weight = rng.integers(0, 256, (3, quality.CHUNK + quality.WINDOW)).astype(np.uint8), np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.5, 1.0])
+
+    def loss():
+        z = (quality._windows(net.embed[x]) @ net.kernel).reshape(len(x), quality.PER_CHUNK, quality.FILTERS).max(1)
+        p = 1 / (1 + np.exp(-(np.maximum(z + net.bias, 0) @ net.dense + net.offset)))
+        decay = sum((a**2).sum() for a in (net.embed, net.kernel, net.dense)) * 1e-4 / 2
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean() + decay
+
+    grads = quality._gradients(net, x, y, weight, net.offset)
+    for array, grad in zip((net.embed, net.kernel, net.bias, net.dense), grads, strict=False):
+        for at in rng.integers(0, array.size, 12):
+            flat, step = array.reshape(-1), 1e-6
+            old = flat[at]
+            flat[at] = old + step
+            up = loss()
+            flat[at] = old - step
+            down = loss()
+            flat[at] = old
+            assert grad.reshape(-1)[at] == pytest.approx((up - down) / (2 * step), abs=2e-5)
+    net.offset += 1e-6
+    up = loss()
+    net.offset -= 2e-6
+    assert grads[4][0] == pytest.approx((up - loss()) / 2e-6, abs=2e-5)
+
+
+def test_quality_sample_takes_every_chunk_and_clashing_names(spark):
+    texts = [(i, f"text {i} " * (400 if i == 3 else 1)) for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("k", "y", "chunk", "score")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(None, 1), (5, 0), (7, None)], "doc_id long, quality int").withColumn("k", F.lit(9)).withColumn("y", F.lit(9))
+    rows = quality.sample(docs, labels)
+    assert sorted({(r.k, r.y) for r in rows}) == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 0)]
+    assert sum(r.k == 3 for r in rows) == -(-len(texts[3][1]) // quality.CHUNK)
+    assert len({r.k for r in quality.sample(docs, labels, max_rows=2)}) == 2
+    scored = quality.score(docs, quality.fit(rows, epochs=1))
+    assert scored.count() == 8 and scored.columns[-1] == "score" and {r.k for r in scored.collect()} == {"clash"}
+
+
 # -- lattice
 
 
