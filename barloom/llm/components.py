@@ -19,6 +19,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links costs one row per task.  Links with a null end, loops and repeated links do
     no harm; an empty table gives an empty result.
     """
+    with scratch.scope() as around:
+        return _contract(links, a, b, around)
+
+
+def _contract(links: DataFrame, a: str, b: str, around: scratch.Tables) -> DataFrame:
     ends = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
     edges = scratch.write(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
@@ -36,4 +41,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = scratch.write(moved(labels, "label"), "labels")
         edges = moved(moved(edges, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         edges = scratch.write(edges.where("a < b").distinct(), "edges")
-    return labels
+    return scratch.write(labels, "labels", around)

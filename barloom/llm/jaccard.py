@@ -5,13 +5,16 @@ tokens of each, under *every* global order of tokens.  Order 1 (rarest first) ge
 candidates; orders 2 and 3 (other shuffles inside bands of rarity) must agree before a
 candidate's sets are intersected.
 
-Scale: tokens are ordered by a count sketch of fixed size, so the only corpus-wide
-state on the driver is a constant few megabytes.  Equal sets collapse to one
-representative before any token is shuffled.  A token shared by m representatives is
-first compared against one centre (the set whose rarest tokens are most common), which
-joins a large group of near copies with m comparisons; afterwards only pairs whose
-components still differ are compared, minority against the rest, so no pair that could
-join two components is lost and pairs inside a component are never listed.
+Scale: tokens are ordered by a count sketch of bounded size, so the only corpus-wide
+state on the driver is a few megabytes.  Equal sets collapse to one representative before
+any token is shuffled.  A token shared by m representatives is first compared against one
+centre (the set whose rarest tokens are most common), which joins a large group of near
+copies with m comparisons; afterwards only pairs whose components still differ are
+compared, minority against the rest, so no pair that could join two components is lost
+and pairs inside a component are never listed.  Tokens of very many sets are dealt to
+several tasks, each with a centre of its own, and where a token keeps many components
+apart, pairs must share a token of the second order as well before they are listed.
+Fingerprints of very many texts are looked up in a broadcast list instead of a join.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,34 +36,46 @@ from barloom.llm import scratch
 from barloom.llm.components import components
 from barloom.llm.kernels import column, give_back, mix64, ranges, shingle_sets, text_slices
 
-#: Two rows of counters; 8 MB whatever the input.
-SKETCH_BITS = 20
+#: Two rows of counters, 8 MB for up to 512 MB of input and at most 32 MB.
+SKETCH_BITS, MOST_BITS, _BYTES_A_SLOT = 20, 22, 512
 _PART = 1 << 14
+#: Prefix tokens that one task matches at once, and sets of a token that go to one task.
+BUCKET, HOT = 1 << 22, 1 << 18
+#: Sets outside a token's largest component above which its pairs are listed by two tokens.
+CROWD = 1000
 #: Bytes of text handled at once.
 SLICE = 2 << 20
 #: Bitmap that spares texts a shuffle; 8 MB.
 BITMAP_BITS = 26
 
 
-def _slots(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    return tokens & mask, (tokens >> np.uint64(SKETCH_BITS)) & mask
+def _slots(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return tokens & mask, (tokens >> np.uint64(bits)) & mask
 
 
-def count_sketch(df: DataFrame, k: int, text: str = "text") -> np.ndarray:
-    """In how many texts each token hash occurs, never too low, as a (2, 2^20) table."""
-    size = 1 << SKETCH_BITS
+def sketch_bits(df: DataFrame) -> int:
+    """Binary logarithm of the counters for a table of this estimated size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return SKETCH_BITS if size >> 60 else min(MOST_BITS, max(SKETCH_BITS, (size // _BYTES_A_SLOT).bit_length()))  # over an exabyte: not known
+
+
+def count_sketch(df: DataFrame, k: int, text: str = "text", bits: int | None = None) -> np.ndarray:
+    """In how many texts each token hash occurs, never too low, as a (2, 2^bits) table."""
+    bits = bits or sketch_bits(df)
+    size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, any_rows = np.zeros((2, size), np.uint32), False
         for _, data, offsets in text_slices(batches, text, SLICE):
             any_rows = True
             tokens, _ = shingle_sets(data, offsets, k)
-            for row, slot in enumerate(_slots(tokens)):
+            for row, slot in enumerate(_slots(tokens, bits)):
                 table[row] += np.bincount(slot.astype(np.int64), minlength=size).astype(np.uint32)
         if any_rows:
             flat = table.reshape(-1, _PART)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(len(flat)), pa.int32()), "counts": pa.array([x.tobytes() for x in flat], pa.binary())})
+            some = np.flatnonzero(flat.any(1))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "counts": pa.array([flat[i].tobytes() for i in some], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = None, None
@@ -84,10 +100,16 @@ def count_sketch(df: DataFrame, k: int, text: str = "text") -> np.ndarray:
 
 
 def _estimate(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    a, b = _slots(tokens)
+    a, b = _slots(tokens, sketch.shape[1].bit_length() - 1)
     return np.minimum(sketch[0][a], sketch[1][b])
 
 
+def _spread(sketch: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Over how many tasks each token's sets are dealt; counts near the mean of all counters are noise."""
+    seen = _estimate(sketch, tokens).astype(np.int64) - 2 * int(sketch.mean())
+    return np.maximum(1, -(-seen // HOT))
+
+
 def prefix_length(n: int, t: Fraction) -> int:
     return n - -(-t.numerator * n // t.denominator) + 1
 
@@ -162,23 +184,28 @@ def _prefixes(df: DataFrame, shipped: Broadcast, k: int, t: Fraction) -> DataFra
 _SHARED = "token long, rep long, n long, pos int, key long, centre long, n_centre long, pos_centre int, key_centre long"
 
 
-def _shared(reps: DataFrame, buckets: int) -> DataFrame:
+def _shared(reps: DataFrame, buckets: int, tasks: int, shipped: Broadcast) -> DataFrame:
     """A row for each prefix token that several representatives hold, with the token's centre.
 
     Tokens travel as packed arrays, one row per bucket and batch of sets, and are sorted
-    and matched inside their bucket.
+    and matched inside their bucket.  A token of very many sets has several buckets, with
+    a centre in each, and keeps its sets even where they are alone in one.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                rows = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, 1 << 14):
+                rows = batch.slice(lo, 1 << 14)
                 col = column(rows, "prefix")
                 size = np.asarray(pc.list_value_length(col)).astype(np.int64)
                 tokens = np.asarray(pc.list_flatten(col)).view(np.uint64)
                 owner = np.repeat(np.arange(len(size), dtype=np.uint16), size)
                 pos = ranges(np.zeros(len(size), np.int64), size).astype(np.uint32)
+                spread = _spread(shipped.value, tokens)
                 bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                many = np.flatnonzero(spread > 1)
+                share = mix64(np.asarray(column(rows, "rep")).astype(np.int64).view(np.uint64))[owner[many]] % spread[many].astype(np.uint64)
+                bucket[many] = (bucket[many] + share.astype(np.int64)) % buckets
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 sets = np.stack([np.asarray(column(rows, c)).astype(np.int64) for c in ("rep", "n", "score")])
@@ -195,27 +222,27 @@ def _shared(reps: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 if r["bucket"] != held and parts:
-                    yield from _match(parts)
+                    yield from _match(parts, shipped.value)
                     parts = []
                 held = r["bucket"]
                 sets = np.frombuffer(r["sets"], np.int64).reshape(3, -1)[:, np.frombuffer(r["owner"], np.uint16)]
                 parts.append((np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["pos"], np.uint32), sets))
         if parts:
-            yield from _match(parts)
+            yield from _match(parts, shipped.value)
         parts.clear()
         give_back()
 
     packed = reps.mapInArrow(pack, "bucket int, tokens binary, owner binary, pos binary, sets binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share, _SHARED)
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(share, _SHARED)
 
 
-def _match(parts: list) -> Iterator[pa.RecordBatch]:
+def _match(parts: list, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
     tokens, pos, sets = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], 1)
     order = np.argsort(tokens, kind="stable")
     tokens, pos, (rep, n, score) = tokens[order], pos[order], sets[:, order]
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     size = np.diff(np.append(first, len(tokens)))
-    some = size > 1
+    some = (size > 1) | (_spread(sketch, tokens[first]) > 1)
     first, size = first[some], size[some]
     if not len(first):
         return
@@ -319,7 +346,7 @@ def _unsettled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     best = lambda c, o: F.max_by(c, o).alias(c if c.endswith("_centre") or c == "centre" else {"rep": "centre"}.get(c, f"{c}_centre"))
     own = rows.groupBy("token", "label").agg(F.count("*").alias("m"), best("rep", "key"), best("n", "key"), best("pos", "key"))
     order = F.col("m") * F.lit(1 << 40) + F.pmod(F.xxhash64("label"), F.lit(1 << 40))
-    most = own.withColumn("order", order).groupBy("token").agg(F.count("*").alias("several"), F.max_by("label", "order").alias("major"), best("centre", "order"), best("n_centre", "order"), best("pos_centre", "order"))
+    most = own.withColumn("order", order).groupBy("token").agg(F.count("*").alias("several"), (F.sum("m") - F.max("m")).alias("outside"), F.max_by("label", "order").alias("major"), best("centre", "order"), best("n_centre", "order"), best("pos_centre", "order"))
     return rows, most.where("several > 1").drop("several")
 
 
@@ -329,14 +356,22 @@ def _second(shared: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
     return rows.join(most, "token").where("label <> major").where(_possible(t, "", "_centre")).select(*_pair("rep", "centre")).distinct()
 
 
-def _rest(shared: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
-    """All remaining pairs between components: rows outside a token's largest one against the others."""
+def _rest(shared: DataFrame, labels: DataFrame, filters: DataFrame, t: Fraction) -> DataFrame:
+    """All remaining pairs between components: rows outside a token's largest one against the others.
+
+    Where more than CROWD are outside, the pairs must share a token under the second order too.
+    """
     rows, most = _unsettled(shared, labels)
-    rows = rows.join(most.select("token", "major"), "token")
-    few = rows.where("label <> major").select("token", "rep", "n", "pos", F.col("label").alias("own"))
-    every = rows.select("token", F.col("rep").alias("other"), F.col("n").alias("n_other"), F.col("pos").alias("pos_other"), "label", "major")
-    pairs = few.join(every, "token").where("own <> label and (label = major or rep < other)").where(_possible(t, "", "_other"))
-    return pairs.select(*_pair("rep", "other")).distinct()
+    rows = rows.join(most.select("token", "major", "outside"), "token")
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        few = rows.where("label <> major").select(*on, "rep", "n", "pos", F.col("label").alias("own"))
+        every = rows.select(*on, F.col("rep").alias("other"), F.col("n").alias("n_other"), F.col("pos").alias("pos_other"), "label", "major")
+        met = few.join(every, on).where("own <> label and (label = major or rep < other)").where(_possible(t, "", "_other"))
+        return met.select(*_pair("rep", "other"))
+
+    crowded = rows.where(F.col("outside") > CROWD).join(filters.select("rep", F.explode("p2").alias("second")), "rep")
+    return pairs(rows.where(F.col("outside") <= CROWD), ["token"]).unionByName(pairs(crowded, ["token", "second"])).distinct()
 
 
 def classes(df: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -352,22 +387,30 @@ def classes(df: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), te
     """
     spark = df.sparkSession
     scratch.on_workers(spark)
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shipped = spark.sparkContext.broadcast(count_sketch(docs, k))
-    packed = scratch.write(_prefixes(docs, shipped, k, threshold), "prefixes")
-    filters = packed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "p2", "p3")
-
-    reps = packed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("prefix").alias("prefix"))
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = scratch.write(_shared(reps.select("rep", "n", "score", "prefix"), buckets), "shared")
-
-    first = shared.where("rep <> centre").where(_possible(threshold, "", "_centre"))
-    first = first.groupBy("rep").agg(F.max_by("centre", "key_centre").alias("centre")).select(*_pair("rep", "centre")).distinct()
-    links = _links(first, docs, filters, k, threshold)
-    for more in (_second, _rest):
-        links = links.unionByName(_links(more(shared, components(links), threshold), docs, filters, k, threshold))
-    labels = components(links)
-    members = packed.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    named = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("high", "low", F.coalesce("label", "rep").alias("label"))
-    out = packed.select("doc_id", "n", "high", "low").join(named, ["high", "low"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    with scratch.scope() as around:
+        docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        shipped = spark.sparkContext.broadcast(count_sketch(docs, k))
+        packed = scratch.write(_prefixes(docs, shipped, k, threshold), "prefixes")
+        filters = packed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), "p2", "p3")
+
+        reps = packed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("score").alias("score"), F.first("prefix").alias("prefix"))
+        rows, tokens = packed.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * (1 - threshold.numerator / threshold.denominator) + 1), F.lit(0.0))).first()
+        tasks = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        shared = scratch.write(_shared(reps.select("rep", "n", "score", "prefix"), max(tasks, int(tokens) // BUCKET), tasks, shipped), "shared")
+
+        first = shared.where("rep <> centre").where(_possible(threshold, "", "_centre"))
+        first = first.groupBy("rep").agg(F.max_by("centre", "key_centre").alias("centre")).select(*_pair("rep", "centre")).distinct()
+        links = _links(first, docs, filters, k, threshold)
+        links = links.unionByName(_links(_second(shared, components(links), threshold), docs, filters, k, threshold))
+        links = links.unionByName(_links(_rest(shared, components(links), filters, threshold), docs, filters, k, threshold))
+        labels = components(links)
+        members = packed.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+        named = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("high", "low", "m", F.coalesce("label", "rep").alias("label"))
+        named = scratch.write(named, "classes", around)
+        texts = scratch.write(packed.select("doc_id", F.col("n").alias("n_shingles"), "high", "low"), "texts", around)
+    # Of the fingerprints that more than a task's share of the texts have, there are fewer than tasks.
+    hot = named.where(F.col("m") > max(1, rows // tasks)).select("high", "low", F.col("label").alias("often"))
+    met = texts.where("n_shingles > 0").join(F.broadcast(hot), ["high", "low"], "left")
+    rest = met.where("often is null").drop("often").join(named.select("high", "low", "label"), ["high", "low"], "left")
+    parts = [texts.where("n_shingles = 0").withColumn("label", F.col("doc_id")), met.where("often is not null").withColumnRenamed("often", "label"), rest]
+    return reduce(DataFrame.unionByName, (x.select("doc_id", "n_shingles", F.col("label").alias("component_id")) for x in parts))
