@@ -1,13 +1,16 @@
 """Corpus pipeline over ``documents``: five operators, each stage written and read again.
 
 1. quality     the byte network; documents it gives less than 0.3 go
-2. language    rank-order profiles; documents without a letter, and those of 200 or more
-               characters in another language than declared, go
+2. language    rank-order profiles; documents without a letter go, and those nearer to
+               another language's profile than to their declared one's by more than MARGIN
 3. near        n-gram Jaccard classes (five words, 0.8); the smallest id of each stays
 4. benchmark   documents that hold a benchmark item (0.8) go
 5. tokens      byte-level BPE ids and the round trip, as digests
 
-Rows with a null id are never merged with others; rows that repeat an id count as one.
+Columns keep their names and values whatever they are called.  Rows with a null id are
+never merged with others.  Rows that repeat an id count as one document in the third
+stage: where it stays, each of its different texts does, repeats of a text once.  An empty
+table passes through every stage.
 """
 
 from __future__ import annotations
@@ -23,51 +26,44 @@ from barloom.llm import queries as llm
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_done: list = []
+#: Least quality score, and the difference of language scores (0 to 1) that decides.
+QUALITY, MARGIN = 0.3, 0.05
 
 
-def _stage(step: Stage) -> Stage:
-    """Delete the scratch tables of the stage before, whose result is written by now."""
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not use."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
 
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release(_done)
-        before = scratch.live()
-        out = step(spark, docs, sf_dir)
-        _done[:] = [x for x in scratch.live() if x not in before]
-        return out
 
-    return run
-
-
-@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = llm.table(spark, sf_dir, "labels").select("doc_id", "quality")
     net = quality.fit(quality.sample(docs, labels.where(langid.fold() != 0)))
-    return quality.score(docs, net, out="_quality").where(F.col("_quality") >= 0.3).select(docs.columns)
+    score = _free(docs, "quality")
+    return quality.score(docs, net, out=score).where(F.col(score) >= QUALITY).select(docs.columns)
 
 
-@_stage
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.fit(docs.where(langid.fold() != 0))
-    named = langid.predict(docs.select("*", F.col("text").alias("_text")), profiles, text="_text")
-    other = (F.col("lang_pred") != F.col("lang")) & (F.char_length("text") >= 200)
-    return named.where(F.col("lang_pred") != langid.UNDETERMINED).where(~F.coalesce(other, F.lit(False))).select(docs.columns)
+    best, score, own = (_free(docs, c) for c in ("best", "best_score", "own_score"))
+    named = langid.predict(docs, profiles, lang=best, out=score, declared="lang", declared_out=own)
+    other = F.coalesce(F.col(score) - F.col(own) > MARGIN, F.lit(False))
+    return named.where((F.col(best) != langid.UNDETERMINED) & ~other).select(docs.columns)
 
 
-@_stage
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.classes(docs, k=5, threshold=Fraction(4, 5))
-    first = classes.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    with scratch.scope() as around:
+        classes = jaccard.classes(docs, k=5, threshold=Fraction(4, 5))
+        first = scratch.write(classes.where("doc_id = component_id").select("doc_id").distinct(), "first", around)
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
-@_stage
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.clean(docs, llm.table(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
-@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return llm.bpe_digests(docs)
 
@@ -86,7 +82,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order to ``documents``."""
-    docs = llm.table(spark, sf_dir, "documents")
+    docs, before = llm.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch.scope() as around:
+            after = around if name == STAGES[-2][0] else []
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}", after)
+        scratch.release(before)
+        before = [] if after is around else after
     return STAGES[-1][1](spark, docs, sf_dir)
