@@ -1,13 +1,17 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
-Vectors are ordered by id and cut into document-range blocks.  A block keeps, for every
-term (dimension), the largest and smallest weight it holds, and a forward index of its
-vectors.  For a query the terms' maxima sum to an upper bound of any score in the block;
-blocks are scored from the highest bound down until the bound falls below the query's
-k-th best score.
-
-Blocks are gathered into shards and queries into chunks, both of bounded size; one task
-handles a chunk against a shard, so neither side is ever broadcast or collected.
+Vectors are put in order of a cheap similarity key (the signs of fixed projections) and
+cut into shards; inside a shard, splits at the median of the widest term make document
+ranges of alike vectors: blocks of LEAF vectors inside super-blocks of SUPER.  Of each
+the largest and smallest weight of every term is kept.  For a query the terms' maxima sum
+to an upper bound of any score in the block.  Super-blocks are taken from the highest
+bound down, blocks in them whose bound reaches the query's k-th best score so far are
+scored through their forward index, and the query ends where the bounds fall below it.
+
+Round 1 searches each query's own shard, where it stands beside its likes, which needs no
+shuffle and gives a first k-th score.  Round 2 sends only the super-blocks' maxima to the
+queries.  Round 3 sends the queries, with their k-th scores, to the shards that still have
+a super-block at or above it; blocks move once.  Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, Window
@@ -24,11 +27,15 @@ from pyspark.sql import functions as F
 from barloom.llm import scratch
 from barloom.llm.kernels import column
 
-BLOCK, SHARD, CHUNK = 128, 1 << 15, 1 << 10
+#: Vectors in a block, a super-block and a shard; queries that travel together; shards whose maxima do.
+LEAF, SUPER, SHARD, CHUNK, GROUP = 2, 128, 1 << 15, 1 << 10, 32
+#: Projections of the similarity key.
+_SIGNS = 24
 
 #: Sums below this are exact in float64.
 _EXACT = float(1 << 53)
 _LONG = 2**63 - 1
+_NONE = np.iinfo(np.int64).min
 
 
 def usable(vector: str) -> Column:
@@ -45,6 +52,98 @@ def weights(vectors: pa.Array, scale: float) -> np.ndarray:
     return out
 
 
+def similarity_key(x: np.ndarray) -> np.ndarray:
+    """Signs of fixed projections as a number whose neighbours differ in few signs."""
+    if not x.shape[1]:
+        return np.zeros(len(x), np.int64)
+    planes = np.concatenate([np.random.default_rng(d).choice([-1.0, 1.0], (1, _SIGNS)) for d in range(x.shape[1])])
+    with np.errstate(all="ignore"):
+        signs = (x @ planes > 0).astype(np.int64)
+    # Gray code: bit i is the parity of the signs up to i.
+    return (np.cumsum(signs, axis=1) & 1) @ (1 << np.arange(_SIGNS - 1, -1, -1))
+
+
+def ranges_of_alike(x: np.ndarray) -> np.ndarray:
+    """An order of the vectors in which each range of LEAF, and of SUPER, holds alike ones."""
+    out: list[np.ndarray] = []
+    todo = [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF or not x.shape[1]:
+            out.append(rows)
+            continue
+        part = x[rows]
+        term = int((part.max(0) - part.min(0)).argmax())
+        # Cut at the largest power of two blocks, so that every range but the last is full.
+        unit = LEAF
+        while unit * 2 < len(rows):
+            unit *= 2
+        order = rows[np.argpartition(part[:, term], unit - 1)]
+        todo += [order[unit:], order[:unit]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Shard:
+    """Vectors in blocks and super-blocks, with the largest and smallest weights of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.most, self.least = _limits(x, LEAF)
+        self.super_most, self.super_least = _limits(x, SUPER)
+
+    def search(self, queries: np.ndarray, names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> int:
+        """Improve each query's best ``ids`` and ``scores`` (best first, -inf where free) and return how many blocks were scored.
+
+        A vector of the query's own name takes no part; ties go to the smaller id.
+        """
+        d = max(queries.shape[1], self.x.shape[1])
+        queries = _widen(queries, d)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        bound = up @ _widen(self.super_most, d).T + down @ _widen(self.super_least, d).T
+        order = np.argsort(-bound, axis=1, kind="stable")
+        active, scored, k = np.arange(len(queries)), 0, ids.shape[1]
+        for r in range(bound.shape[1]):
+            block = order[active, r]
+            alive = bound[active, block] >= scores[active, -1]
+            active, block = active[alive], block[alive]
+            if not len(active):
+                break
+            by_block = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.diff(block[by_block], prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                rows, number = active[by_block[lo:hi]], int(block[by_block[lo]])
+                first, last = number * SUPER // LEAF, min(len(self.most), (number + 1) * SUPER // LEAF)
+                near = up[rows] @ _widen(self.most[first:last], d).T + down[rows] @ _widen(self.least[first:last], d).T >= scores[rows, -1:]
+                scored += int(near.sum())
+                some = np.flatnonzero(near.any(0))
+                at = (first * LEAF + some[:, None] * LEAF + np.arange(LEAF)).ravel()
+                at = at[at < len(self.ids)]
+                if not len(at):
+                    continue
+                s = queries[rows] @ _widen(self.x[at], d).T
+                s[self.ids[at] == names[rows, None]] = -np.inf
+                hit = np.flatnonzero((s >= scores[rows, -1:]).any(1))
+                if not len(hit):
+                    continue
+                rows, s = rows[hit], s[hit]
+                s = np.concatenate([scores[rows], s], 1)
+                i = np.concatenate([ids[rows], np.broadcast_to(self.ids[at], (len(rows), len(at)))], 1)
+                best = np.lexsort((i, -s))[:, :k]
+                scores[rows], ids[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
+        return scored
+
+
+def _limits(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.arange(0, len(x), size)
+    if not len(x) or not x.shape[1]:
+        return (np.zeros((len(first), x.shape[1])),) * 2
+    return np.maximum.reduceat(x, first), np.minimum.reduceat(x, first)
+
+
+def _widen(x: np.ndarray, d: int) -> np.ndarray:
+    return x if x.shape[1] == d else np.pad(x, ((0, 0), (0, d - x.shape[1])))
+
+
 def _pack(x: np.ndarray) -> bytes:
     small = not x.size or np.abs(x).max() < 1 << 24
     return (b"f" if small else b"d") + x.astype(np.float32 if small else np.float64).tobytes()
@@ -55,73 +154,27 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return x.astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _widen(x: np.ndarray, d: int) -> np.ndarray:
-    return x if x.shape[1] == d else np.pad(x, ((0, 0), (0, d - x.shape[1])))
+def _wide(largest: float, length: int) -> bool:
+    """Whether scores of such weights may be too large for exact sums in float64."""
+    return largest * largest * max(1, length) >= _EXACT
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Best k (ids, scores, filled places) of each query among ``blocks`` of (ids, vectors), and how many blocks were scored.
+_TABLE = "shard long, kind int, n int, ids binary, x binary, y binary, best binary, scores binary"
+_KINDS = dict(zip("shard kind n ids x y best scores".split(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True))
+_VECTORS, _MAXIMA, _QUERIES = 0, 1, 2
+
+
+def _row(shard: int, kind: int, n: int, *parts: bytes | None) -> pa.RecordBatch:
+    values = [shard, kind, n, *parts, *[None] * (5 - len(parts))]
+    return pa.RecordBatch.from_pydict({c: pa.array([v], t) for (c, t), v in zip(_KINDS.items(), values, strict=True)})
+
+
+def _queries(r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(r["ids"], np.int64), _unpack(r["x"], r["n"]), np.frombuffer(r["best"], np.int64).reshape(-1, k).copy(), np.frombuffer(r["scores"]).reshape(-1, k).copy()
 
-    Scores are exact; one beyond a 64-bit integer is cut to
-    its range.  Ties go to the smaller id.
-    """
-    d = max([queries.shape[1], *(x.shape[1] for _, x in blocks)])
-    queries, blocks = _widen(queries, d), [(i, _widen(x, d)) for i, x in blocks]
-    big = max([1.0, *(float(np.abs(x).max()) for _, x in blocks if x.size)]) * max(1.0, float(np.abs(queries).max()) if queries.size else 1.0) * max(1, d)
-    if big >= _EXACT:
-        return _search_wide(queries, query_ids, blocks, k)
-    most, least = np.stack([x.max(0) for _, x in blocks]), np.stack([x.min(0) for _, x in blocks])
-    bound = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
-    order = np.argsort(-bound, axis=1)
-    n = len(queries)
-    score, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    active, scored = np.arange(n), 0
-    for r in range(len(blocks)):
-        block = order[active, r]
-        alive = bound[active, block] >= score[active, -1]
-        active, block = active[alive], block[alive]
-        if not len(active):
-            break
-        scored += len(active)
-        by_block = np.argsort(block, kind="stable")
-        edges = np.flatnonzero(np.diff(block[by_block], prepend=-1, append=-1))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            rows = active[by_block[lo:hi]]
-            own, x = blocks[block[by_block[lo]]]
-            s = queries[rows] @ x.T
-            s[own == query_ids[rows, None]] = -np.inf
-            some = np.flatnonzero((s >= score[rows, -1:]).any(1))
-            if not len(some):
-                continue
-            rows, s = rows[some], s[some]
-            s = np.concatenate([score[rows], s], 1)
-            i = np.concatenate([ids[rows], np.broadcast_to(own, (len(rows), len(own)))], 1)
-            best = np.lexsort((i, -s))[:, :k]
-            score[rows], ids[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-    filled = ~np.isinf(score)
-    return ids, np.where(filled, score, 0).astype(np.int64), filled, scored
-
-
-def _search_wide(queries: np.ndarray, query_ids: np.ndarray, blocks: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The same in integers of any size, for weights that float64 can't sum exactly."""
-    whole = lambda x: [[int(v) for v in row] for row in x]
-    ids, score, filled = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), bool)
-    cut = lambda s: max(-_LONG - 1, min(_LONG, s))
-    rows = [(own, whole(x)) for own, x in blocks]
-    limits = [([max(c) for c in zip(*x, strict=True)], [min(c) for c in zip(*x, strict=True)]) for _, x in rows]
-    scored = 0
-    for n, (q, name) in enumerate(zip(whole(queries), query_ids, strict=True)):
-        bounds = [cut(sum(w * (hi if w > 0 else lo) for w, hi, lo in zip(q, *limit, strict=True))) for limit in limits]
-        best: list[tuple[int, int]] = []
-        for b in sorted(range(len(rows)), key=lambda b: -bounds[b]):
-            if len(best) == k and bounds[b] < -best[-1][0]:
-                break
-            scored += 1
-            best += [(-cut(sum(w * v for w, v in zip(q, x, strict=True))), int(i)) for i, x in zip(*rows[b], strict=True) if i != name]
-            best = sorted(best)[:k]
-        for j, (s, i) in enumerate(best):
-            ids[n, j], score[n, j], filled[n, j] = i, -s, True
-    return ids, score, filled, scored
+
+def _query_row(shard: int, names: np.ndarray, x: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return _row(shard, _QUERIES, len(names), names.tobytes(), _pack(x), None, ids.tobytes(), scores.tobytes())
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -132,43 +185,164 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, key
     part; an empty vector scores 0 with everything; of two lengths the shorter is padded
     with zeros.  A query id that repeats is asked once, with its smallest vector;
     repeated candidate rows are listed as often as they came.  Ties go to the smaller
-    id.  No usable query gives an empty result.
+    id.  A score beyond a 64-bit integer is cut to its range.  No usable query gives an
+    empty result.
     """
     spark = df.sparkSession
     scratch.on_workers(spark)
     rows = df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    n, n_asked = rows.agg(F.count("*"), F.count_if("q")).first()
-    shards, chunks = max(1, -(-n // SHARD)), max(1, -(-n_asked // CHUNK))
+    n, longest, largest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))).first()
+    if _wide((largest or 0.0) * abs(scale) + 1, longest or 0):
+        return _top_k_wide(rows, k, scale)
+    shards = max(1, -(-n // SHARD))
+    both = rows.select("id", "v", F.lit(False).alias("asked")).unionByName(rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("asked", F.lit(True)))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
                 x = weights(column(part, "v"), scale)
-                yield pa.RecordBatch.from_pydict({"part": column(part, "part").slice(0, 1), "n": pa.array([len(x)], pa.int32()), "ids": [np.asarray(column(part, "id")).tobytes()], "x": [_pack(x)]})
+                size = np.asarray(pa.compute.list_value_length(column(part, "v")))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(similarity_key(x)), "id": column(part, "id"), "asked": column(part, "asked"), "x": pa.array([x[i, : size[i]].astype("<f8").tobytes() for i in range(len(x))], pa.binary())})
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bool, bytes]] = []
+
+        def done(number: int) -> Iterator[pa.RecordBatch]:
+            asked = np.array([a for _, a, _ in held])
+            ids = np.array([i for i, _, _ in held], np.int64)
+            x = np.zeros((len(held), max(len(v) for _, _, v in held) // 8))
+            for at, (_, _, v) in enumerate(held):
+                x[at, : len(v) // 8] = np.frombuffer(v, "<f8")
+            order = ranges_of_alike(x[~asked])
+            own = Shard(ids[~asked][order], x[~asked][order])
+            yield _row(number, _VECTORS, len(own.ids), own.ids.tobytes(), _pack(own.x))
+            yield _row(number, _MAXIMA, len(own.super_most), None, _pack(own.super_most), _pack(own.super_least))
+            for lo in range(0, int(asked.sum()), CHUNK):
+                names, q = ids[asked][lo : lo + CHUNK], x[asked][lo : lo + CHUNK]
+                best, scores = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf)
+                own.search(q, names, best, scores)
+                yield _query_row(number, names, q, best, scores)
 
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = number = None
         for batch in batches:
-            if batch.num_rows:
-                x = weights(column(batch, "v"), scale)
-                yield pa.RecordBatch.from_pydict({"part": column(batch, "part").slice(0, 1), "n": pa.array([len(x)], pa.int32()), "ids": [np.asarray(column(batch, "id")).tobytes()], "x": [_pack(x)]})
-
-    kind = "part int, n int, ids binary, x binary"
-    indexed = rows.select("id", "v").repartitionByRange(shards, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()).mapInArrow(blocks, kind)
-    packed = asked.repartition(chunks).withColumn("part", F.spark_partition_id()).mapInArrow(chunk, kind)
-    left = indexed.select(F.pmod("part", F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "n", "ids", "x")
-    right = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("part", F.lit(chunks)).alias("chunk"), "n", "ids", "x")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        of = lambda t: [(np.frombuffer(i, np.int64), _unpack(x, m)) for m, i, x in zip(t["n"], t["ids"], t["x"], strict=True)]
-        found = []
-        for ids, x in of(b) if len(a) else []:
-            best, score, found_at, _ = search(x, ids, of(a), k)
-            some = found_at
-            found.append(pd.DataFrame({"query_id": np.repeat(ids, k)[some.ravel()], "vec_id": best[some], "score": score[some]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    near = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(run, "query_id long, vec_id long, score long")
+            if part is None and batch.num_rows:
+                part = number = column(batch, "part")[0].as_py() << 32
+            for i, a, v in zip(column(batch, "id").to_pylist(), column(batch, "asked").to_pylist(), column(batch, "x").to_pylist(), strict=True):
+                held.append((i, a, v))
+                if len(held) >= 2 * SHARD:
+                    yield from done(number)
+                    held, number = [], number + 1
+        if held:
+            yield from done(number)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which queries of other shards some super-block of a shard may still concern."""
+        maxima: list[tuple[int, np.ndarray, np.ndarray]] = []
+        group = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["group"] != group:
+                    maxima, group = [], r["group"]
+                if r["kind"] == _MAXIMA:
+                    maxima.append((r["shard"], _unpack(r["x"], r["n"]), _unpack(r["y"], r["n"])))
+                    continue
+                names, q, best, scores = _queries(r, k)
+                for number, most, least in maxima:
+                    if number == r["shard"]:
+                        continue
+                    d = max(q.shape[1], most.shape[1])
+                    x = _widen(q, d)
+                    bound = (np.maximum(x, 0) @ _widen(most, d).T + np.minimum(x, 0) @ _widen(least, d).T).max(1)
+                    on = np.flatnonzero(bound >= scores[:, -1])
+                    if len(on):
+                        yield _query_row(number, names[on], q[on], best[on], scores[on])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == _VECTORS:
+                    at = Shard(np.frombuffer(r["ids"], np.int64), _unpack(r["x"], r["n"]))
+                    continue
+                names, q, best, scores = _queries(r, k)
+                # Only what this shard adds; the bar is the k-th score so far.
+                ids, found = np.full_like(best, np.iinfo(np.int64).max), np.repeat(scores[:, -1:], k, 1)
+                at.search(q, names, ids, found)
+                yield _found(names, ids, found)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                names, _, best, scores = _queries(r, k)
+                yield _found(names, best, scores)
+
+    def _found(names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        real = (ids != np.iinfo(np.int64).max) & np.isfinite(scores)
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(names, k)[real.ravel()]), "vec_id": pa.array(ids[real]), "score": pa.array(scores[real].astype(np.int64))})
+
+    answer = "query_id long, vec_id long, score long"
+    placed = both.mapInArrow(keyed, "key long, id long, asked boolean, x binary").repartitionByRange(shards, "key", "id").sortWithinPartitions("key", "id").withColumn("part", F.spark_partition_id())
+    table = scratch.write(placed.mapInArrow(shard, _TABLE), "shards")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = -(-2 * shards // GROUP)
+    maxima = table.where(F.col("kind") == _MAXIMA).withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)))
+    asked = table.where(F.col("kind") == _QUERIES)
+    packs = asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    left = maxima.unionByName(packs).repartition(min(tasks, groups), "group").sortWithinPartitions("group", "kind").mapInArrow(compare, _TABLE)
+    wanted = scratch.write(left, "wanted")
+    rest = table.where(F.col("kind") == _VECTORS).unionByName(wanted).repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(search, answer)
+    near = asked.mapInArrow(listed, answer).unionByName(rest)
+    return _ranked(near, k)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _top_k_wide(rows: DataFrame, k: int, scale: float) -> DataFrame:
+    """The same for weights that float64 can't sum exactly, in integers of any size.
+
+    Queries meet every vector in bounded chunks, without bounds: such weights mean a scale
+    or data that are out of the ordinary, and right results come first.
+    """
+    spark = rows.sparkSession
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    count = max(1, -(-asked.count() // CHUNK))
+    packed = asked.select((F.pmod(F.xxhash64("id"), F.lit(count))).cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "v")
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // count)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    against = rows.select(spread.alias("chunk"), F.lit(1).alias("kind"), "id", "v").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)))
+    both = packed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).unionByName(against)
+    cut = lambda s: max(-_LONG - 1, min(_LONG, s))
+    whole = lambda v: [int(x) for x in np.floor(np.array(v, float) * scale)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = {}, None
+
+        def done() -> pa.RecordBatch:
+            out = [(q, i, -s) for q, (_, best) in held.items() for s, i in best]
+            return pa.RecordBatch.from_pydict({c: pa.array([r[j] for r in out], pa.int64()) for j, c in enumerate(("query_id", "vec_id", "score"))})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["chunk"], r["slice"]) != at:
+                    if held:
+                        yield done()
+                    held, at = {}, (r["chunk"], r["slice"])
+                v = whole(r["v"])
+                if r["kind"] == 0:
+                    held[r["id"]] = v, []
+                    continue
+                for q, (x, best) in held.items():
+                    if q != r["id"]:
+                        best.append((-cut(sum(a * b for a, b in zip(x, v, strict=False))), r["id"]))
+                        if len(best) > 4 * k:
+                            best.sort()
+                            del best[k:]
+        if held:
+            yield done()
+
+    near = both.repartition("chunk", "slice").sortWithinPartitions("chunk", "slice", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
+    return _ranked(near, k)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def run(spark, rows, k=5):
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:
-        for name, size in (("BLOCK", 4), ("SHARD", 64), ("CHUNK", 3)):
+        for name, size in (("SUPER", 8), ("SHARD", 64), ("CHUNK", 3), ("GROUP", 2)):
             monkeypatch.setattr(topk, name, size)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(400)]
@@ -43,9 +44,33 @@ def test_few_rows_huge_weights_and_empty(spark):
     assert run(spark, rows) == brute(rows, 5)
 
 
+def search(x, queries, names, k):
+    order = topk.ranges_of_alike(x)
+    shard = topk.Shard(np.arange(len(x))[order], x[order])
+    ids, scores = np.full((len(queries), k), np.iinfo(np.int64).max), np.full((len(queries), k), -np.inf)
+    return ids, scores, shard.search(queries, names, ids, scores), len(shard.most)
+
+
 def test_bounds_stop_the_search():
     rng = np.random.default_rng(2)
-    blocks = [(np.arange(b * 100, b * 100 + 100), np.floor(rng.normal(0, 5, (100, 4)) + 60 * (b == 3))) for b in range(10)]
+    x = np.concatenate([np.floor(rng.normal(0, 5, (128, 4)) + 60 * (b == 3)) for b in range(10)])
     queries = np.full((6, 4), 7.0)
-    ids, score, filled, scored = topk.search(queries, np.full(6, -1), blocks, 5)
-    assert filled.all() and scored == 6 and (ids // 100 == 3).all()
+    ids, _, scored, blocks = search(x, queries, np.full(6, -1), 5)
+    assert (ids // 128 == 3).all() and scored <= 6 * 64 < 6 * blocks / 5
+
+
+def test_fewer_blocks_are_scored_than_there_are_on_the_vectors_of_a_fixture():
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    x = np.floor(256 * np.array([v for v in table["embedding"] if v is not None], float))
+    ids, scores, scored, blocks = search(x, x[::50], np.arange(0, len(x), 50), 5)
+    assert scored < 0.95 * blocks * len(x[::50])
+    whole = x[::50] @ x.T
+    whole[np.arange(len(whole)), np.arange(0, len(x), 50)] = -np.inf
+    assert (scores == -np.sort(-whole, 1)[:, :5]).all()
+
+
+def test_ranges_hold_every_vector_once():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 127, 129, 1000):
+        assert sorted(topk.ranges_of_alike(rng.normal(0, 1, (n, 3))).tolist()) == list(range(n))
+    assert sorted(topk.ranges_of_alike(np.zeros((9, 0))).tolist()) == list(range(9))
