@@ -37,11 +37,11 @@ def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit a replica of the pages' archives in which some records were damaged and some lost."""
-    first = warc.archive(table(spark, sf_dir, "pages"))
+    record = lambda html: F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), html), 256)
     damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
-    second = first.where(~F.coalesce(F.col("page_id") % 97 == 17, F.lit(False))).withColumn("html", damaged)
-    payload = warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
-    return warc.audit(warc.leaves(first, payload), warc.leaves(second, payload))
+    first = warc.archive(table(spark, sf_dir, "pages"), keep=("page_id",), digest=record(F.col("html")), other=record(damaged))
+    second = first.where(~F.coalesce(F.col("page_id") % 97 == 17, F.lit(False)))
+    return warc.audit(warc.leaves(first, F.col("digest")), warc.leaves(second, F.col("other")))
 
 
 def op6_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ with bodies as (
   select page_id, url, coalesce(html, '') as body, case when page_id % 97 = 5 then '?' || substr(coalesce(html, ''), 2) else coalesce(html, '') end as other
   from pages),
 records as (
-  select coalesce(floor(page_id / 1024)::bigint, -1) as archive, page_id, url, sha256(body) as h, {_RECORD.format(body="body")} as a, {_RECORD.format(body="other")} as b
+  select coalesce(floor(page_id / 1024)::bigint, -1 - ('0x' || sha256(body)[1:8])::bigint % 4096) as archive, page_id, url, sha256(body) as h, {_RECORD.format(body="body")} as a, {_RECORD.format(body="other")} as b
   from bodies),
 placed as (
   select *, strlen(a)::bigint as n_bytes,

@@ -11,8 +11,11 @@ sixteen nodes.
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from barloom.llm import scratch
 
 RANGE_BYTES, FANOUT = 1 << 20, 16
+#: Archives of the pages without an id.
+NAMELESS = 4096
 CRLF = "\r\n"
 
 
@@ -35,62 +40,75 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit(CRLF + CRLF)).cast("binary")
 
 
-def archive(pages: DataFrame, per_archive: int = 1024) -> DataFrame:
-    """archive, byte_offset, n_bytes, page_id, url, html: pages laid out as WARC archives.
+def archive(pages: DataFrame, per_archive: int = 1024, keep: tuple[str, ...] = ("page_id", "url", "html"), **computed: Column) -> DataFrame:
+    """archive, byte_offset, n_bytes, the ``keep`` and ``computed`` columns: pages laid out as WARC archives.
 
-    An archive holds the pages of ``per_archive`` consecutive ids (null ids make archive
-    -1), in order of id, then url and html; equal pages stand beside each other.
+    An archive holds the pages of ``per_archive`` consecutive ids, in order of id, then
+    url and the body's SHA-256; equal pages stand beside each other.  Pages without an id
+    are dealt by their body's digest to NAMELESS archives with negative numbers.  What is
+    ``computed`` is so before pages move, so digests travel instead of bodies unless html
+    is kept.
     """
+    body = F.sha2(F.coalesce("html", F.lit("")), 256)
     size = F.octet_length(record_bytes(F.col("page_id"), F.col("url"), F.col("html"))).cast("long")
-    rows = pages.select("page_id", "url", "html").withColumn("archive", F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).cast("long")).withColumn("n_bytes", size)
-    before = Window.partitionBy("archive").orderBy("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("archive", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).cast("long").alias("byte_offset"), "n_bytes", "page_id", "url", "html")
+    number = F.coalesce(F.floor(F.col("page_id") / per_archive), -1 - F.conv(F.substring("_body", 1, 8), 16, 10).cast("long") % NAMELESS).cast("long")
+    rows = pages.select("page_id", "url", "html", size.alias("n_bytes"), body.alias("_body"), *(c.alias(n) for n, c in computed.items()))
+    rows = rows.select(number.alias("archive"), "n_bytes", "_body", F.col("page_id").alias("_id"), F.col("url").alias("_url"), *keep, *computed)
+    before = Window.partitionBy("archive").orderBy("_id", "_url", "_body").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("archive", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).cast("long").alias("byte_offset"), "n_bytes", *keep, *computed)
 
 
-def parse(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, body) of each record of a plain or gzipped WARC file, offsets in the plain bytes."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+def parse(stream: BinaryIO) -> Iterator[tuple[int, int, dict[str, str], bytes, str]]:
+    """(offset, length, headers, body, SHA-256) of each record of a WARC stream, one record in memory at a time.
+
+    Records begin at lines that begin with WARC/; other lines between them are skipped.
+    """
     at = 0
-    while (begin := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", begin)
-        if end < 0:
-            return
-        lines = raw[begin:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    while line := stream.readline(1 << 16):
+        begin, at = at, at + len(line)
+        if not line.startswith(b"WARC/"):
+            continue
+        digest, headers = hashlib.sha256(line), {}
+        while line := stream.readline(1 << 16):
+            at += len(line)
+            digest.update(line)
+            if not line.strip():
+                break
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[key.strip().lower()] = value.strip()
         number = re.fullmatch(r"\d+", headers.get("content-length", ""))
-        size = int(number[0]) if number else 0
-        stop = min(len(raw), end + 4 + size + 4)
-        yield begin, stop - begin, headers, raw[end + 4 : end + 4 + size]
-        at = stop
+        body = stream.read(int(number[0])) if number else b""
+        end = stream.read(4)
+        digest.update(body + end)
+        at += len(body) + len(end)
+        yield begin, at - begin, headers, body, digest.hexdigest()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """archive (file name), byte_offset, n_bytes, url, body, digest of the records below ``path``.
 
-    Files are whole tasks; a record is cut off where its file ends.
+    Files are plain or gzipped, offsets those of the plain bytes.  A task holds a file as
+    stored (2 GB at most) and one unpacked record.  A record is cut off where its file ends.
     """
     scratch.on_workers(spark)
-    import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.to_pylist():
-                raw = file["content"]
-                plain = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                for at, size, headers, body in parse(plain):
+            for i in range(batch.num_rows):
+                name, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer()
+                stored = io.BufferedReader(pa.BufferReader(raw))
+                for at, size, headers, body, digest in parse(gzip.open(stored) if raw[:2].to_pybytes() == b"\x1f\x8b" else stored):
                     yield pa.RecordBatch.from_pydict({
-                        "archive": [file["path"]], "byte_offset": pa.array([at], pa.int64()), "n_bytes": pa.array([size], pa.int64()),
-                        "url": pa.array([headers.get("warc-target-uri")], pa.string()), "body": pa.array([body], pa.binary()),
-                        "digest": [hashlib.sha256(plain[at : at + size]).hexdigest()],
+                        "archive": [name], "byte_offset": pa.array([at], pa.int64()), "n_bytes": pa.array([size], pa.int64()),
+                        "url": pa.array([headers.get("warc-target-uri")], pa.string()), "body": pa.array([body], pa.binary()), "digest": [digest],
                     })
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, byte_offset long, n_bytes long, url string, body binary, digest string")
 
 
-def leaves(records: DataFrame, payload: Column) -> DataFrame:
+def leaves(records: DataFrame, digest: Column) -> DataFrame:
     """archive, byte_offset, n_bytes, digest of each record."""
-    return records.select("archive", "byte_offset", "n_bytes", F.sha2(payload, 256).alias("digest"))
+    return records.select("archive", "byte_offset", "n_bytes", digest.alias("digest"))
 
 
 def _above(nodes: DataFrame, node: Column, order: str, label: Column) -> DataFrame:
