@@ -170,6 +170,8 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
 
 _COUNTED = "bucket int, words binary, counts binary"
 _ALL = -1
+#: Numbers of the totals that share a bucket; parts of them meet in buckets -1, -2 and so on.
+_PART = 128
 
 
 def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -177,7 +179,7 @@ def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _count(df: DataFrame, shipped: Broadcast, buckets: int, rounds: int) -> DataFrame:
-    """Merged word counts by bucket; bucket -1 holds [tokens, texts, expected piece counts]."""
+    """Merged word counts by bucket; the negative ones hold parts of [tokens, texts, expected piece counts]."""
     names, kinds = ["bucket", "words", "counts"], [pa.int32(), pa.binary(), pa.binary()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +196,13 @@ def _count(df: DataFrame, shipped: Broadcast, buckets: int, rounds: int) -> Data
             at = np.searchsorted(owner[order], np.arange(buckets + 1))
             yield _batch(names, kinds, [(b, first[order[at[b] : at[b + 1]]].tobytes(), sums[order[at[b] : at[b + 1]]].astype(np.int64).tobytes()) for b in range(buckets) if at[b] < at[b + 1]])
         if whole[1]:
-            yield _batch(names, kinds, [(_ALL, b"", whole.tobytes())])
+            yield _batch(names, kinds, [(_ALL - i // _PART, b"", whole[i : i + _PART].tobytes()) for i in range(0, len(whole), _PART) if whole[i : i + _PART].any()])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, sums, size = None, [], [], 0
 
         def done() -> pa.RecordBatch:
-            if held == _ALL:
+            if held <= _ALL:
                 return _batch(names, kinds, [(held, b"", np.sum(sums, 0).tobytes())])
             k, s = _merge(np.concatenate(keys), np.concatenate(sums))
             return _batch(names, kinds, [(held, k.tobytes(), s.tobytes())])
@@ -211,7 +213,7 @@ def _count(df: DataFrame, shipped: Broadcast, buckets: int, rounds: int) -> Data
                     if held is not None:
                         yield done()
                     held, keys, sums, size = r["bucket"], [], [], 0
-                if held == _ALL:
+                if held <= _ALL:
                     sums = [np.sum([*sums, np.frombuffer(r["counts"])], 0)]
                     continue
                 keys.append(np.frombuffer(r["words"], np.uint64))
@@ -253,17 +255,22 @@ def score(df: DataFrame, vocabulary: str, train: DataFrame | None = None, text:
     lower-cased A-Z and cut at ASCII white space; one end mark follows the words.  A null
     or empty text is the end mark alone.  Repeated rows are scored each; an empty ``df``
     gives an empty result; an empty ``train`` leaves the vocabulary's own weights and
-    known words nowhere.  ``keep`` columns must not bear the names above.  ``buckets`` is
-    the number of word groups; more make smaller tasks.
+    known words nowhere.  ``keep`` columns must not bear the names above, which raises
+    ValueError.  ``buckets`` is the number of word groups; more make smaller tasks.
+    ``rounds=0`` leaves the vocabulary's own weights as they are.
     """
+    if clash := {c.lower() for c in keep} & {"n_tokens", "n_known", "train_tokens", "base_score", "score"}:
+        raise ValueError(f"columns to keep have names of results: {', '.join(sorted(clash))}")
     spark: SparkSession = df.sparkSession
     scratch.on_workers(spark)
     buckets = buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = Pieces(*Pieces.read(vocabulary))
     source = (df if train is None else train).select(F.col(text).alias("text"))
     counted = scratch.write(_count(source, spark.sparkContext.broadcast(pieces), buckets, rounds), "words")
-    whole = [np.frombuffer(r.counts) for r in counted.where(F.col("bucket") == _ALL).collect()]
-    total = np.sum(whole, 0) if whole else np.zeros(2 + len(pieces.names))
+    total = np.zeros(2 + len(pieces.names))
+    for r in counted.where(F.col("bucket") <= _ALL).collect():
+        at = (_ALL - r.bucket) * _PART
+        total[at : at + _PART] = np.frombuffer(r.counts)
     n_train, n_texts = int(total[0]), int(total[1])
     if rounds and n_texts:
         w = total[2:] + PRIOR * np.exp(pieces.log_weight)

@@ -237,3 +237,43 @@ def test_lattice_empty(spark):
     one = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     (row,) = lattice.score(one, MODEL, train=df, keep=("doc_id",)).collect()
     assert row.n_known == 0 and row.train_tokens == 0 and row.score < 0
+
+
+def plain_counts(words, table):
+    """Expected piece counts over all segmentations, by forward and backward sums."""
+    out = Counter()
+    for word, times in words.items():
+        n = len(word)
+        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        arcs = [(i, j, word[i:j]) for i in range(n) for j in range(i + 1, n + 1) if word[i:j] in table]
+        for i, j, piece in arcs:
+            a[j] += a[i] * table[piece]
+        for i, j, piece in reversed(arcs):
+            b[i] += table[piece] * b[j]
+        for i, j, piece in arcs:
+            out[piece] += times * a[i] * table[piece] * b[j] / a[n]
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_lattice_score_of_texts_equals_brute_force(spark, rounds):
+    texts = ["the cat sat on the mat", "the dog", None, "a cat and a dog sat", "Zebra 12", "", "the the the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t for i, t in enumerate(texts) if fold(i) != 1]
+    cut = lambda t: ["▁".encode() + w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]
+    names, log_weight = lattice.Pieces.read(MODEL)
+    table = dict(zip(names, np.exp(log_weight), strict=True))
+    words = Counter(w for t in train for w in cut(t))
+    if rounds:
+        counted = plain_counts(words, table)
+        table = {p: w * lattice.PRIOR + counted[p] for p, w in table.items()}
+        whole = sum(table.values())
+        table = {p: w / whole for p, w in table.items()}
+    tokens = sum(words.values()) + len(train)
+    end = len(train) / tokens
+    rows = lattice.score(df, MODEL, train=df.where(langid.fold() != 1), keep=("doc_id",), rounds=rounds, buckets=3).collect()
+    for r in rows:
+        own = cut(texts[r.doc_id])
+        assert r.score == pytest.approx(sum(math.log10(brute_word(w, table)) + math.log10(1 - end) for w in own) + math.log10(end), rel=1e-9)
+    with pytest.raises(ValueError, match="score"):
+        lattice.score(df.withColumn("Score", F.lit(1)), MODEL, keep=("Score",))

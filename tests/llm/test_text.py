@@ -235,6 +235,22 @@ def test_records_round_trip_through_files(spark, tmp_path):
         assert sorted((r.byte_offset, r.n_bytes, bytes(r.body)) for r in read if r.archive.endswith(name)) == sorted(want)
 
 
+def test_audit_of_pages_without_ids_and_repeated_pages(spark):
+    rows = [(i, f"u{i}", f"<p>{i}</p>") for i in range(40)] + [(None, f"n{i}", f"<p>{i}</p>") for i in range(40)] + [(7, "u7", "<p>7</p>")] * 3 + [(None, None, None)] * 2 + [(8, "u8", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit("clash")).withColumn("_body", F.lit("clash"))
+    sha = lambda c: F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), c), 256)
+    placed = warc.archive(pages, per_archive=16, keep=("page_id", "url"), digest=sha(F.col("html")), other=sha(F.when(F.col("url") == "n3", "bad").otherwise(F.col("html"))))
+    found = placed.collect()
+    assert len(found) == len(rows) and len({r.archive for r in found if r.page_id is None}) > 20 and all((r.archive < 0) == (r.page_id is None) for r in found)
+    for number in {r.archive for r in found}:
+        at = 0
+        for r in sorted((r for r in found if r.archive == number), key=lambda r: r.byte_offset):
+            assert r.byte_offset == at
+            at += r.n_bytes
+    bad = warc.audit(warc.leaves(placed, F.col("digest")), warc.leaves(placed.where("url is null or url <> 'n4'"), F.col("other"))).collect()
+    assert sorted(r.state for r in bad) == ["changed", "missing"]
+
+
 # -- HTML
 
 
@@ -262,6 +278,17 @@ def test_records_round_trip_through_files(spark, tmp_path):
         ("<a title=don't>Hello world</a> It's late <b>x</b>", "Hello world It's late x"),
         ('<p class="a"">Hello</p>', "Hello"),
         ("<p a= >b</p><p 'x y'>c</p><p title='d > e' hidden>f</p><p =\"g>h</p><p class=a\"b hidden>i</p>", "b\n\nc\n\nh"),
+        ('<p>x <a title="oops>link</a> y</p>', "x"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>1<td>2<td>3</table>", "ab    c\n      d\n1  2  3"),
+        ("<table><tr><td colspan=999>a<td>b</table>", "a  b"),
+        ("<div style='visibility:hidden'>a <b style='visibility:visible'>shown</b> c<p>d</div>e", "shown\n\ne"),
+        ("<table><tr><td style='visibility: hidden'>aa<td>b<tr><td>cc<td>d</table>", "    b\ncc  d"),
+        ("<style>.h, p .q {display:none} /* .r{display:none} */</style><p class='x h'>no</p><p>yes <i class=q>no</i></p><i class=q>q</i> <i class=r>r</i>", "yes\n\nq r"),
+        ("<style>.h{display:none} #k.h{display:block} @media print{.r{display:none}} @media screen{.s{visibility:hidden}}</style><p class=h id=k>k</p><p class=r>r</p><p class=s>s</p><p class=h style='display:block'>t</p>", "k\n\nr\n\nt"),
+        ("<style>.h{display:none!important}</style><p class=h style='display:block'>no</p><p hidden style='display:block'>yes", "yes"),
+        ("<p style='content:\"x\";display : NONE ;'>a</p><pre>b <i style='visibility:hidden'>c</i>\nd</pre>", "b\nd"),
         ("<img alt = \"a > 'b'\"/><img alt=c/><br/>d<p" + " a" * 50_000 + ">e", "a > 'b'c/\nd\n\ne"),
     ],
 )
