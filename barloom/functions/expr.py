@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ class Node:
     inputs: tuple[Node, ...] = field(default=(), compare=False, repr=False)
     window: bool = field(default=False, compare=False)
 
-    @property
+    @cached_property
     def depth(self) -> int:
         return max((n.depth for n in self.inputs), default=0) + self.window
 
