@@ -26,8 +26,10 @@ def _experiment(a: argparse.Namespace) -> None:
     from barloom.plans import experiment
     from barloom.sources.bars import load
 
+    if bool(a.spec) == bool(a.group):
+        raise SystemExit("give experiment files or one --group file")
     spark = session("experiment")
-    specs = [experiment.load(p) for p in a.spec]
+    specs = experiment.load_group(a.group, a.profiles) if a.group else [experiment.load(p, root=a.profiles) for p in a.spec]
     prepared = Prepared(load(spark, a.bars, kind=a.provider), _references(spark, a.references))
     if a.backfill:
         out = [experiment.backfill(prepared, e, os.path.join(a.out, e.name)) for e in specs]
@@ -36,6 +38,62 @@ def _experiment(a: argparse.Namespace) -> None:
     print(json.dumps(out, default=str, indent=2))
 
 
+def _train(a: argparse.Namespace) -> None:
+    from barloom.operators.dataset import Prepared
+    from barloom.plans import experiment
+    from barloom.sources import bars as sources
+
+    if a.list_features:
+        for f in REGISTRY.listed():
+            if not a.feature_family or f.family in a.feature_family:
+                print(f"{f.name}\t{f.family}\t{f.kind}\t{f.lookback}\t{','.join(f.tags)}")
+        return
+    if not a.feature or not a.artifact_path or not a.bars:
+        raise SystemExit("training needs --feature, --artifact-path and --bars")
+    spark = session("train")
+    parameters = {k: experiment.coerce(v) for k, _, v in (x.partition("=") for x in a.model_param)}
+    symbols = a.symbols or ([r.symbol for r in sources.universe(spark.read.csv(a.universe, header=True)).collect()] if a.universe else None)
+    bars = sources.load_batch(spark, a.bars, symbols, kind=a.provider) if symbols else sources.load(spark, a.bars, kind=a.provider)
+    validation = {"mode": a.validation_mode, "purge": a.purge_size, "embargo": a.embargo_size, "expanding": a.wf_expanding} | {k: v for k, v in (("train_size", a.wf_train_size), ("valid_size", a.wf_valid_size), ("step", a.wf_step_size), ("start", a.valid_start_date), ("end", a.valid_end_date), ("train_end", a.train_end_date)) if v is not None}
+    tuning = {"enabled": True, "trials": a.trials, "metric": a.tune_metric, "top": a.keep_top_trials} if a.trials else {}
+    target = {"future_return": "return", "cross_sectional_rank": "rank"}[a.target_mode]
+    e = experiment.Experiment(os.path.basename(a.artifact_path.rstrip("/")), a.model, tuple(a.feature), (a.start_date, a.end_date), ("", ""), parameters=parameters, horizon=a.label_horizon, target=target, normalization=a.normalization, validation=validation, tuning=tuning)
+    meta, _ = experiment.train(e, Prepared(bars, _references(spark, a.references)), a.artifact_path)
+    print(json.dumps(meta, default=str, indent=2))
+
+
+def _sync_bars(a: argparse.Namespace) -> int:
+    from datetime import date
+
+    from barloom.plans import sync
+    from barloom.sources.bars import universe
+
+    spark = session("sync-bars")
+    names = a.symbols or [r.symbol for r in universe(spark.read.csv(a.universe, header=True)).orderBy("seq").collect()]
+    out = sync.sync_bars(spark, names, sync.named(a.fetch), a.target, date.fromisoformat(a.start_date), date.fromisoformat(a.end_date), a.adjust, lookback_days=a.lookback_days, asked_workers=a.workers, timeout=a.timeout, overwrite=a.overwrite)
+    print(json.dumps(out))
+    return int(out["failed"] > 0 and a.fail_on_error)
+
+
+def _sync_references(a: argparse.Namespace) -> int:
+    from datetime import date
+
+    from barloom.plans import sync
+    from barloom.sources.bars import universe
+
+    spark = session("sync-references")
+    names = a.symbols or [r.symbol for r in universe(spark.read.csv(a.universe, header=True)).orderBy("seq").collect()]
+    out = sync.sync_references(spark, names, sync.named(a.fetch), a.target, date.fromisoformat(a.end_date), a.scope, asked_workers=a.workers, timeout=a.timeout, names=json.loads(a.names))
+    print(json.dumps(out))
+    return int(out["failed"] > 0 and a.fail_on_error)
+
+
+def _sync_universe(a: argparse.Namespace) -> None:
+    from barloom.plans import sync
+
+    print(sync.sync_universe(session("sync-universe"), sync.named(a.fetch), a.index_symbol, a.output_name, a.root, json.loads(a.names)))
+
+
 def _compare(a: argparse.Namespace) -> None:
     from barloom.plans import experiment
 
@@ -55,30 +113,33 @@ def _compare(a: argparse.Namespace) -> None:
 def _predict(a: argparse.Namespace) -> None:
     from pyspark.sql import functions as F
 
-    from barloom.operators import predict, ridge
+    from barloom.operators import models, predict
     from barloom.operators.dataset import Spec, business_days_before, inference_dataset
     from barloom.sources.bars import load, universe
     from barloom.sources.control import load_artifact
 
     spark = session("predict")
-    model, _ = load_artifact(a.artifact)
+    model, known = load_artifact(a.artifact)
+    features = known["features"]
     context = [r.symbol for r in universe(spark.read.csv(a.universe, header=True)).orderBy("seq").collect()] if a.universe else None
     symbols = None if context is None else [*context, a.symbol]
-    rows = predict.padding(REGISTRY.lookback(model.features))
+    rows = predict.padding(REGISTRY.lookback(features))
     start = business_days_before(a.date, rows).isoformat()
     bars = load(spark, a.bars, symbols if a.universe else [a.symbol] if a.no_context else None, start, a.date, a.provider)
-    frame = inference_dataset(bars, Spec(tuple(model.features), normalization=a.normalization), **_references(spark, a.references))
-    own = predict.latest_row(frame, model.features, a.date, a.symbol).select(F.to_date("timestamp").cast("string").alias("d")).first()
+    frame = inference_dataset(bars, Spec(tuple(features), normalization=a.normalization), **_references(spark, a.references))
+    own = predict.latest_row(frame, features, a.date, a.symbol).select(F.to_date("timestamp").cast("string").alias("d")).first()
     if own is None:
         raise ValueError(f"no complete row for {a.symbol} on or before {a.date}")
-    found = predict.context(ridge.score(frame, model), own.d, a.symbol, context).first().asDict()
+    found = predict.context(models.scorer(model, features)(frame), own.d, a.symbol, context).first().asDict()
     print(json.dumps(found, default=str) if a.json else "\n".join(f"{k}: {v}" for k, v in found.items()))
 
 
 def _build(a: argparse.Namespace) -> int:
-    from barloom.sources.bars import build_parquet
+    from barloom.sources.bars import build_parquet, universe
 
-    out = build_parquet(session("build"), a.source, a.target, a.provider, a.overwrite)
+    spark = session("build")
+    symbols = a.symbols or ([r.symbol for r in universe(spark.read.csv(a.universe, header=True)).collect()] if a.universe else None)
+    out = build_parquet(spark, a.source, a.target, a.provider, a.overwrite, symbols, a.adjust)
     print(json.dumps(out))
     return int(bool(out["failed"]) and a.fail_on_error)
 
@@ -97,10 +158,22 @@ def main(argv: list[str] | None = None) -> int:
 
     yes = {"action": "store_true"}
     command("features", _features, ("--family", {}), ("--tag", {}))
-    command("experiment", _experiment, ("spec", {"nargs": "+"}), ("--out", {"required": True}), ("--parallel", {"type": int, "default": 1}), ("--resume", yes), ("--continue-on-error", yes), ("--backfill", yes), bars=True)
+    command("experiment", _experiment, ("spec", {"nargs": "*"}), ("--group", {}), ("--profiles", {"default": "configs/profiles"}), ("--out", {"required": True}), ("--parallel", {"type": int, "default": 1}), ("--resume", yes), ("--continue-on-error", yes), ("--backfill", yes), bars=True)
     command("compare", _compare, ("root", {}), ("--output-csv", {}))
     command("predict", _predict, ("--symbol", {"required": True}), ("--date", {"required": True}), ("--artifact", {"required": True}), ("--universe", {}), ("--no-context", yes), ("--normalization", {"default": "none"}), ("--json", yes), bars=True)
-    command("build-parquet", _build, ("source", {}), ("target", {}), ("--provider", {"default": "csv"}), ("--overwrite", yes), ("--fail-on-error", yes))
+    many, whole, seconds = {"action": "append", "default": []}, {"type": int}, {"type": float, "default": 60.0}
+    members = (("--symbol", {"dest": "symbols", "action": "append"}), ("--universe", {}))
+    command(
+        "train", _train, ("--bars", {}), ("--provider", {"default": "parquet"}), ("--references", {}), *members, ("--start-date", {}), ("--end-date", {}), ("--train-end-date", {}), ("--valid-start-date", {}), ("--valid-end-date", {}),
+        ("--artifact-path", {}), ("--model", {"default": "ridge", "choices": ("ridge", "xgboost", "catboost")}), ("--model-param", many), ("--label-horizon", {"type": int, "default": 5}), ("--target-mode", {"default": "future_return", "choices": ("future_return", "cross_sectional_rank")}),
+        ("--feature", many), ("--feature-family", many), ("--list-features", yes), ("--normalization", {"default": "none"}), ("--validation-mode", {"default": "holdout", "choices": ("holdout", "walk_forward")}), ("--wf-train-size", whole), ("--wf-valid-size", whole), ("--wf-step-size", whole),
+        ("--wf-expanding", yes), ("--purge-size", {"type": int, "default": 0}), ("--embargo-size", {"type": int, "default": 0}), ("--trials", whole), ("--tune-metric", {"default": "rank_ic"}), ("--keep-top-trials", {"type": int, "default": 5}),
+    )
+    command("build-parquet", _build, ("source", {}), ("target", {}), ("--provider", {"default": "csv"}), *members, ("--adjust", {"default": "raw"}), ("--overwrite", yes), ("--fail-on-error", yes))
+    loading = (("--fetch", {"required": True, "help": "module:function that downloads"}), ("--target", {"required": True}), *members, ("--workers", whole), ("--timeout", seconds), ("--fail-on-error", yes))
+    command("sync-bars", _sync_bars, *loading, ("--start-date", {"required": True}), ("--end-date", {"required": True}), ("--adjust", {"default": "qfq"}), ("--lookback-days", {"type": int, "default": 7}), ("--overwrite", yes))
+    command("sync-references", _sync_references, *loading, ("--end-date", {"required": True}), ("--scope", {"default": "all"}), ("--names", {"default": "{}"}))
+    command("sync-universe", _sync_universe, ("--fetch", {"required": True}), ("--index-symbol", {"required": True}), ("--output-name", {"required": True}), ("--root", {"required": True}), ("--names", {"default": "{}"}))
     a = top.parse_args(argv)
     return a.run(a) or 0
 

@@ -13,11 +13,12 @@ from barloom.functions.expr import column
 from barloom.functions.windows import pct_change, std
 from barloom.operators import metrics
 from barloom.operators.cross_section import buckets, future_return
+from barloom.operators.references import is_small
 from barloom.plans.compiler import evaluate
 
 
 def ic_decay(scored: DataFrame, horizons: list[int], prediction: str = "prediction") -> DataFrame:
-    """horizon and the metrics against the return that many surviving rows ahead.
+    """horizon, rows (with a return) and the metrics against the return that many surviving rows ahead.
 
     Horizons are taken once each, those below 1 left out.  All leads come from one
     window; the horizons are stacked and evaluated in one pass.
@@ -25,17 +26,19 @@ def ic_decay(scored: DataFrame, horizons: list[int], prediction: str = "predicti
     wanted = sorted({h for h in horizons if h >= 1})
     ahead = scored.select("symbol", "timestamp", prediction, *(future_return(h).alias(f"_h{h}") for h in wanted))
     pairs = ahead.select("symbol", "timestamp", prediction, F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"_h{h}").alias("label")) for h in wanted))).alias("x")).select("symbol", "timestamp", prediction, "x.*")
-    found = metrics.evaluate(pairs, prediction, "label", ["horizon"])
+    days = metrics.daily(pairs, prediction, "label", ["horizon"])
+    found = metrics.summary(days, ["horizon"]).join(days.groupBy("horizon").agg(F.sum("n").alias("rows")), "horizon")
     every = scored.sparkSession.createDataFrame([(h,) for h in wanted], "horizon int")
-    return every.join(F.broadcast(found), "horizon", "left").select("horizon", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in metrics.METRICS))
+    return every.join(F.broadcast(found), "horizon", "left").select("horizon", F.coalesce("rows", F.lit(0)).alias("rows"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in metrics.METRICS))
 
 
 def with_year(df: DataFrame) -> DataFrame:
     """year_window: oos_ and the calendar year, with _ytd for a last year that doesn't reach 12-31."""
     year = F.concat(F.lit("oos_"), F.year("timestamp").cast("string"))
-    last = F.max(F.to_date("timestamp")).over(Window.partitionBy(F.year("timestamp")))
-    whole = F.date_format(last, "MM-dd") == "12-31"
-    return df.withColumn("year_window", F.when(whole, year).otherwise(F.concat(year, F.lit("_ytd"))))
+    # A row per year, from partial maxima: a few dozen.
+    last = df.groupBy(F.year("timestamp").alias("_year")).agg((F.date_format(F.max("timestamp"), "MM-dd") == "12-31").alias("_whole"))
+    joined = df.join(F.broadcast(last), F.year("timestamp").eqNullSafe(F.col("_year")), "left")
+    return joined.withColumn("year_window", F.when(F.col("_whole"), year).otherwise(F.concat(year, F.lit("_ytd")))).drop("_year", "_whole")
 
 
 def regimes(index: DataFrame, window: int = 20) -> DataFrame:
@@ -47,7 +50,8 @@ def regimes(index: DataFrame, window: int = 20) -> DataFrame:
 
 def with_regime(df: DataFrame, index: DataFrame, window: int = 20) -> DataFrame:
     """market_regime: trend_{up,down}_{high,low}_vol against medians over the panel's rows; null without history."""
-    joined = df.join(F.broadcast(regimes(index, window)), "timestamp", "left")
+    series = regimes(index, window)
+    joined = df.join(F.broadcast(series) if is_small(index) else series, "timestamp", "left")
     # Both columns hold one value per date, so the exact medians are cheap; two numbers reach the driver.
     cut = joined.agg(F.percentile("trend", 0.5).alias("trend"), F.percentile("vol", 0.5).alias("vol")).first()
     up = F.when(F.col("trend") >= F.lit(cut["trend"]), "up").otherwise("down")
@@ -57,17 +61,28 @@ def with_regime(df: DataFrame, index: DataFrame, window: int = 20) -> DataFrame:
 
 
 def slices(df: DataFrame, keys: list[str], prediction: str = "prediction", label: str = "label") -> DataFrame:
-    """slice, bucket, rows and the metrics for every value of every key column, in one pass."""
+    """slice, bucket, rows and the metrics for every value of every key column, in one pass; ``in_order`` sorts them."""
     stacked = df.select("symbol", "timestamp", prediction, label, F.explode(F.array(*(F.struct(F.lit(k).alias("slice"), F.col(k).cast("string").alias("bucket")) for k in keys))).alias("x")).select("symbol", "timestamp", prediction, label, "x.*").where("bucket is not null")
     counted = stacked.groupBy("slice", "bucket").agg(F.count("*").alias("rows"))
     return counted.join(metrics.evaluate(stacked, prediction, label, ["slice", "bucket"]), ["slice", "bucket"])
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """Slices by name, their buckets by rows, most first, then by name."""
+    return found.orderBy("slice", F.desc("rows"), "bucket")
+
+
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of rows with a value, by column."""
     return df.agg(*(F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns))
 
 
+def with_caps(df: DataFrame, panel: DataFrame, name: str = "log_total_mkt_cap") -> DataFrame:
+    """``df`` with the panel's market cap of the same symbol and timestamp; null where it has none."""
+    caps = panel.select("symbol", "timestamp", name).dropDuplicates(["symbol", "timestamp"])
+    return df.drop(name).join(caps, ["symbol", "timestamp"], "left")
+
+
 def with_cap_buckets(df: DataFrame, k: int = 5) -> DataFrame:
     return buckets(df, "log_total_mkt_cap", k)
 

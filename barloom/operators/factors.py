@@ -103,6 +103,11 @@ def residual_volatility(i: Inputs, w: int) -> Node:
     return std(r - (intercept + slope_now * b), w)
 
 
+def price_to_rolling_low(w: int) -> Node:
+    """Close over the lowest close of the window, less 1; a kind without registered factors."""
+    return C / lowest(C, w) - 1
+
+
 def per_share_yield(i: Inputs, name: str) -> Node:
     return fundamental(i, name) / fundamental(i, "share_capital") / C
 

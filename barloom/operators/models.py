@@ -14,14 +14,20 @@ from barloom.operators import metrics, ridge, splits
 #: Defaults and search ranges (fixed values).
 DEFAULTS: dict[str, dict[str, Any]] = {
     "ridge": {"alpha": 1.0},
-    "xgboost": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42},
-    "catboost": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 1.0, "seed": 42},
+    "xgboost": {"n_estimators": 300, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "reg_lambda": 1.0, "random_state": 42},
+    "catboost": {"iterations": 300, "depth": 6, "learning_rate": 0.05, "l2_leaf_reg": 3.0, "random_seed": 42},
 }
+#: Kind, lowest, highest and, of whole numbers, the step.
 SPACES: dict[str, dict[str, tuple]] = {
-    "ridge": {"alpha": ("log", 1e-3, 1e3)},
-    "xgboost": {"maxIter": ("int", 20, 120), "maxDepth": ("int", 3, 8), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("float", 0.6, 1.0)},
-    "catboost": {"maxIter": ("int", 20, 120), "maxDepth": ("int", 4, 8), "stepSize": ("log", 0.01, 0.3), "subsamplingRate": ("float", 0.6, 1.0)},
+    "ridge": {"alpha": ("log", 1e-3, 100.0)},
+    "xgboost": {"n_estimators": ("int", 100, 600, 50), "max_depth": ("int", 3, 8, 1), "learning_rate": ("log", 0.01, 0.2), "subsample": ("float", 0.6, 1.0), "colsample_bytree": ("float", 0.6, 1.0), "reg_lambda": ("log", 1e-3, 10.0)},
+    "catboost": {"iterations": ("int", 100, 600, 50), "depth": ("int", 3, 8, 1), "learning_rate": ("log", 0.01, 0.2), "l2_leaf_reg": ("log", 1e-2, 10.0)},
 }
+#: Spark's names of the parameters that its boosted trees have; those of other hardware or libraries have none.
+SPARK_NAMES = {
+    "n_estimators": "maxIter", "iterations": "maxIter", "max_depth": "maxDepth", "depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+    "colsample_bytree": "featureSubsetStrategy", "random_state": "seed", "random_seed": "seed",
+}
 
 
 def parameters(model: str, given: dict[str, Any] | None = None) -> dict[str, Any]:
@@ -31,6 +37,21 @@ def parameters(model: str, given: dict[str, Any] | None = None) -> dict[str, Any
     return json.loads(json.dumps(DEFAULTS[model] | (given or {})))
 
 
+def spark_parameters(given: dict[str, Any]) -> dict[str, Any]:
+    """Parameters of ``GBTRegressor``: the names above in Spark's words, and Spark's own names as they are.
+
+    Leaf penalties (reg_lambda, l2_leaf_reg) have no counterpart there and are left out:
+    with leaves of many rows they move a leaf by lambda / (rows + lambda).
+    """
+    from pyspark.ml.regression import GBTRegressor
+
+    own = {p.name for p in GBTRegressor().params}
+    out = {SPARK_NAMES.get(k, k): v for k, v in given.items() if SPARK_NAMES.get(k, k) in own}
+    if isinstance(out.get("featureSubsetStrategy"), float):
+        out["featureSubsetStrategy"] = "all" if out["featureSubsetStrategy"] >= 1 else str(out["featureSubsetStrategy"])
+    return out
+
+
 def fit(df: DataFrame, model: str, features: list[str], label: str, given: dict[str, Any] | None = None) -> Callable[[DataFrame], DataFrame]:
     """A scorer that adds ``prediction``; incomplete rows get null.
 
@@ -39,33 +60,44 @@ def fit(df: DataFrame, model: str, features: list[str], label: str, given: dict[
     """
     p = parameters(model, given)
     if model == "ridge":
-        fitted = ridge.fit(df, features, label, p["alpha"])
-        scorer = lambda x: ridge.score(x, fitted)
-        scorer.artifact = fitted
-        return scorer
+        return scorer(ridge.fit(df, features, label, p["alpha"]), features)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.sql import functions as F
 
     vector = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
-    trees = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", **p).fit(vector.transform(df.dropna(subset=[*features, label])))
+    trees = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", **spark_parameters(p))
+    return scorer(trees.fit(vector.transform(df.dropna(subset=[*features, label]))), features)
+
+
+def scorer(artifact: Any, features: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``prediction`` by a fitted or loaded model of any kind, its ``artifact``."""
+    if isinstance(artifact, ridge.Ridge):
+        score = lambda x: ridge.score(x, artifact)
+    else:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.sql import functions as F
+
+        vector = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
 
-    def scorer(x: DataFrame) -> DataFrame:
-        there = F.lit(True)
-        for f in features:
-            there = there & F.col(f).isNotNull()
-        done = trees.transform(vector.transform(x.where(there))).drop("_features")
-        return done.unionByName(x.where(~there), allowMissingColumns=True)
+        def score(x: DataFrame) -> DataFrame:
+            there = F.lit(True)
+            for f in features:
+                there = there & F.col(f).isNotNull()
+            done = artifact.transform(vector.transform(x.where(there))).drop("_features")
+            return done.unionByName(x.where(~there), allowMissingColumns=True)
 
-    scorer.artifact = trees
-    return scorer
+    score.artifact = artifact
+    return score
 
 
-def draw(model: str, rng: random.Random) -> dict[str, Any]:
-    out = {}
-    for name, (kind, low, high) in SPACES[model].items():
+def draw(model: str, rng: random.Random, fixed: dict[str, Any] | None = None) -> dict[str, Any]:
+    """One point of the model's space; ``fixed`` parameters are not drawn."""
+    out = dict(fixed or {})
+    for name, (kind, low, high, *step) in SPACES[model].items():
+        if name in out:
+            continue
         if kind == "int":
-            out[name] = rng.randint(low, high)
+            out[name] = rng.randrange(low, high + 1, *step)
         elif kind == "log":
             out[name] = low * (high / low) ** rng.random()
         else:
@@ -73,13 +105,13 @@ def draw(model: str, rng: random.Random) -> dict[str, Any]:
     return out
 
 
-def tune(df: DataFrame, model: str, features: list[str], label: str, folds: list[splits.Fold], trials: int = 10, metric: str = "rank_ic", top: int = 5, seed: int = 42) -> list[dict[str, Any]]:
+def tune(df: DataFrame, model: str, features: list[str], label: str, folds: list[splits.Fold], trials: int = 10, metric: str = "rank_ic", top: int = 5, seed: int = 42, fixed: dict[str, Any] | None = None) -> list[dict[str, Any]]:
     """The ``top`` trials of a seeded random search over walk-forward folds, best first."""
     if metric not in metrics.METRICS:
         raise ValueError(f"Unknown tuning metric: {metric}. Available metrics: {', '.join(metrics.METRICS)}")
     rng, found = random.Random(seed), []
     for number in range(trials):
-        given = draw(model, rng)
+        given = draw(model, rng, fixed)
         values = []
         for fold in folds:
             scored = fit(splits.members(df, [fold], "train"), model, features, label, given)(splits.members(df, [fold], "valid"))

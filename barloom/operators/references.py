@@ -18,6 +18,11 @@ from barloom.schema import OPTIONAL_FUNDAMENTALS, REQUIRED_FUNDAMENTALS, number,
 MOST_BROADCAST_ROWS = 2_000_000
 
 
+def is_small(series: DataFrame) -> bool:
+    """Whether an index series may be broadcast, by a bounded count."""
+    return series.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+
+
 def with_benchmark(bars: DataFrame, index: DataFrame, symbol: str = "sh000300") -> DataFrame:
     """benchmark_close_{symbol} and benchmark_return_1_{symbol} on each bar's timestamp.
 
@@ -28,8 +33,7 @@ def with_benchmark(bars: DataFrame, index: DataFrame, symbol: str = "sh000300")
     require(index, [time, "close"], "benchmark")
     series = index.select(F.lit(symbol).alias("symbol"), F.col(time).cast("timestamp_ntz").alias("timestamp"), number(F.col("close")).alias("close"))
     series = evaluate(series, {f"benchmark_close_{symbol}": column("close"), f"benchmark_return_1_{symbol}": pct_change(column("close"))}, ["timestamp"])
-    small = index.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
-    return bars.join(F.broadcast(series) if small else series, "timestamp", "left")
+    return bars.join(F.broadcast(series) if is_small(index) else series, "timestamp", "left")
 
 
 def with_fundamentals(bars: DataFrame, fundamentals: DataFrame | None) -> DataFrame:

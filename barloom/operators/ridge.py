@@ -63,26 +63,35 @@ def fit(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> R
 
 
 def fit_groups(df: DataFrame, features: list[str], label: str, by: str, alpha: float = 1.0) -> dict[str, Ridge]:
-    """One model per value of ``by`` (such as a fold), all from the same two passes."""
-    first = df.agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(features)), *(F.count_if(F.col(f).isNull()).alias(f"n{i}") for i, f in enumerate(features)), F.avg(label).alias("y")).first()
-    if first is None or first["y"] is None:
+    """One model per value of ``by`` (such as a fold), all from the same passes.
+
+    Gaps are filled with the median of the group's own rows, so a fold never sees values
+    that come after it.  A feature without any value in a group is filled with 0.
+    """
+    known = df.where(F.col(by).isNotNull())
+    first = {r[by]: r for r in known.groupBy(by).agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(features)), *(F.count_if(F.col(f).isNull()).alias(f"n{i}") for i, f in enumerate(features)), F.avg(label).alias("y")).collect()}
+    first = {k: r for k, r in first.items() if r["y"] is not None}
+    if not first:
         raise ValueError("no rows to fit")
-    at = [first[f"m{i}"] or 0.0 for i in range(len(features))]
     # Exact medians cost a pass over all distinct values; only columns with gaps need them.
-    gaps = [i for i in range(len(features)) if first[f"n{i}"]]
-    middle = df.agg(*(F.percentile(features[i], 0.5).alias(f"p{i}") for i in gaps)).first() if gaps else {}
-    fill = [(middle[f"p{i}"] or 0.0) if i in gaps else m for i, m in enumerate(at)]
-    filled = df.where(F.col(label).isNotNull()).select(by, *((F.coalesce(F.col(f), F.lit(v)) - m).alias(f"x{i}") for i, (f, v, m) in enumerate(zip(features, fill, at, strict=True))), (F.col(label) - first["y"]).alias("y"))
+    gaps = [i for i in range(len(features)) if any(r[f"n{i}"] for r in first.values())]
+    middle = {r[by]: r for r in known.groupBy(by).agg(*(F.percentile(features[i], 0.5).alias(f"p{i}") for i in gaps)).collect()} if gaps else {}
+    fill = {k: [(middle[k][f"p{i}"] or 0.0) if i in gaps else r[f"m{i}"] or 0.0 for i in range(len(features))] for k, r in first.items()}
+    at = {k: [r[f"m{i}"] or 0.0 for i in range(len(features))] for k, r in first.items()}
+    of = lambda values: F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))))[F.col(by)]
+    part = known.where(F.col(label).isNotNull() & F.col(by).isin(list(first)))
+    centred = [(F.coalesce(F.col(f), of({k: v[i] for k, v in fill.items()})) - of({k: v[i] for k, v in at.items()})).alias(f"x{i}") for i, f in enumerate(features)]
+    filled = part.select(by, *centred, (F.col(label) - of({k: r["y"] for k, r in first.items()})).alias("y"))
     names = [*(f"x{i}" for i in range(len(features))), "y"]
     out = {}
     for row in _moments(filled, names, [by]):
-        k = len(names)
-        s, p = np.array([row[f"s{i}"] for i in range(k)]), np.zeros((k, k))
-        for i in range(k):
+        size, key = len(names), row[by]
+        s, p = np.array([row[f"s{i}"] for i in range(size)]), np.zeros((size, size))
+        for i in range(size):
             for j in range(i + 1):
                 p[i, j] = p[j, i] = row[f"p{i}_{j}"]
         means, scale, weights, mean_y = _solve(row["n"], s, p, alpha)
-        out[row[by]] = Ridge(features, fill, [float(m + c) for m, c in zip(means, at, strict=True)], scale.tolist(), weights.tolist(), mean_y + first["y"], alpha)
+        out[key] = Ridge(features, fill[key], [float(m + c) for m, c in zip(means, at[key], strict=True)], scale.tolist(), weights.tolist(), mean_y + first[key]["y"], alpha)
     return out
 
 

@@ -7,17 +7,18 @@ factors, WN: window primitives, XS: cross-section, JN: joins, and so on).
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import expr as E
 from barloom.functions import windows as W
 from barloom.operators import cross_section as X
-from barloom.operators import diagnostics, ingest, metrics, ridge, splits
+from barloom.operators import diagnostics, ingest, metrics, predict, ridge, splits
 from barloom.operators import factors as fac
 from barloom.operators import references as R
-from barloom.operators.dataset import Spec, training_dataset
+from barloom.operators.dataset import Spec, inference_dataset, training_dataset
 from barloom.operators.panel import factor_frame
 from barloom.plans import experiment
 from barloom.plans import sql as S
@@ -57,7 +58,12 @@ def _panel(name: str, stages: list[dict[str, str]], final: dict[str, str], digit
 
 r1 = {"r1": R1}
 _panel("f01_f04_returns", [], {f"return_{w}": f"{S.div('close', S.lag('close', w))} - 1" for w in (1, 3, 5, 10, 20, 60, 120)} | {f"momentum_{w}_21": f"{S.div(S.lag('close', 21), S.lag('close', w))} - 1" for w in (63, 126, 252)} | {f"short_term_reversal_{w}": f"-({S.div('close', S.lag('close', w))} - 1)" for w in (5, 20)})
-_panel("f05_f07_price_levels", [], {f"close_to_sma_{w}": f"{S.div('close', S.mean('close', w))} - 1" for w in (5, 10, 20, 60, 120)} | {n: f"{S.div('close', S.top('close', w))} - 1" for n, w in (("price_to_26w_high", 126), ("price_to_52w_high", 252))})
+_panel("f05_f06_price_levels", [], {f"close_to_sma_{w}": f"{S.div('close', S.mean('close', w))} - 1" for w in (5, 10, 20, 60, 120)} | {n: f"{S.div('close', S.top('close', w))} - 1" for n, w in (("price_to_26w_high", 126), ("price_to_52w_high", 252))})
+register(
+    "f07_price_to_rolling_low",
+    lambda s, d: rounded(evaluate(T.bars(s, d), {f"low_{w}": fac.price_to_rolling_low(w) for w in (20, 60, 126)}, ["symbol", "timestamp"]), ["low_20", "low_60", "low_126"]),
+    S.query([T.BARS_SQL], [], {f"low_{w}": f"{S.div('close', S.low('close', w))} - 1" for w in (20, 60, 126)}),
+)
 _panel("f08_f61_volatility", [r1, {"neg": "case when r1 > 0 then 0 else r1 end"}], {f"volatility_{w}": S.std("r1", w) for w in (5, 10, 20, 60)} | {f"downside_volatility_{w}": f"sqrt({S.mean('neg * neg', w)})" for w in (20, 60)})
 _panel("f09_f10_volume", [], {f"volume_ratio_{w}": f"{S.div('volume', S.mean('volume', w))} - 1" for w in (5, 20, 60)} | {f"volume_trend_{a}_{b}": f"{S.div(S.mean('volume', a), S.mean('volume', b))} - 1" for a, b in ((5, 20), (10, 60))})
 _channel = lambda w: S.div(f"close - {S.low('low', w)}", f"{S.top('high', w)} - {S.low('low', w)}")
@@ -136,13 +142,18 @@ _peers = (
     "placed as (select bars.*, i.level_1, close / nullif(lag(close) over (partition by bars.symbol order by timestamp), 0) - 1 as own from bars asof left join industry i on bars.symbol = i.symbol and bars.timestamp >= i.change_date)",
     "peers as (select *, case when count(own) over g > 1 then (coalesce(sum(own) over g, 0) - own) / (count(own) over g - 1) end as peer from placed window g as (partition by timestamp, level_1))",
 )
-# Compounded peer returns reach 1e17 on these tables; their logarithm compares without loss of digits.
-_MOMENTUM = S.query([T.BARS_SQL, *_peers], [{"m63": f"lag(1 + peer, 21) {S.P}"}], {"log_growth": f"ln(case when ({S.full('product(m63)', 'm63', 42)}) > 0 then {S.full('product(m63)', 'm63', 42)} end)"}, 6, "peers")
-register(
-    "f03_industry_momentum_ag1_jn3",
-    lambda s, d: rounded(factor_frame(T.bars(s, d), ["industry_momentum_63_21"], keep=["symbol", "timestamp"], industry=T.industry(s, d)).withColumn("log_growth", F.when(F.col("industry_momentum_63_21") > -1, F.ln(F.col("industry_momentum_63_21") + 1))), ["log_growth"]),
-    _MOMENTUM,
-)
+# Compounded peer returns reach 1e17 and more on these tables; their logarithm compares without loss of digits.
+_SPANS = {63: 42, 126: 105, 252: 231}
+_MOMENTUM = S.query([T.BARS_SQL, *_peers], [{"m": f"lag(1 + peer, 21) {S.P}"}], {f"log_growth_{w}": f"ln(case when ({S.full('product(m)', 'm', n)}) > 0 then {S.full('product(m)', 'm', n)} end)" for w, n in _SPANS.items()}, 6, "peers")
+
+
+def _industry_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = factor_frame(T.bars(spark, sf_dir), [f"industry_momentum_{w}_21" for w in _SPANS], keep=["symbol", "timestamp"], industry=T.industry(spark, sf_dir))
+    growth = lambda w: F.when(F.col(f"industry_momentum_{w}_21") > -1, F.ln(F.col(f"industry_momentum_{w}_21") + 1)).alias(f"log_growth_{w}")
+    return rounded(frame.select("symbol", "timestamp", *(growth(w) for w in _SPANS)), [f"log_growth_{w}" for w in _SPANS])
+
+
+register("f03_industry_momentum_ag1_jn3", _industry_momentum, _MOMENTUM)
 
 _rng = "(nullif(high - low, 0) + 1e-12)"
 _panel(
@@ -265,13 +276,13 @@ register(
   case when p is not null then round({_RANK('p', 'timestamp, p is null')}, 5) end as rank from scored window d as (partition by timestamp)""",
 )
 register(
-    "xs5_buckets_dg5",
+    "xs5_buckets",
     lambda s, d: X.buckets(T.scored(s, d), "prediction", 5, "bucket").select("symbol", "timestamp", "bucket"),
     _with(_SCORED, "placed as (select *, least(greatest(ceil(row_number() over (partition by timestamp, p is null order by p, symbol) / count(*) over (partition by timestamp, p is null)::double * 5), 1), 5)::int as q from scored)")
     + "select symbol, timestamp, case when p is null then null when q = 1 then 'cap_q1_smallest' when q = 5 then 'cap_q5_largest' else 'cap_q' || q end as bucket from placed",
 )
 register(
-    "xs9_score_ranks_pr2",
+    "xs9_score_ranks",
     lambda s, d: rounded(X.score_ranks(T.scored(s, d)).withColumn("score_rank", F.col("score_rank").cast("double")), ["score_rank", "score_percentile"]),
     _with(_SCORED) + f"select symbol, timestamp, case when p is not null then rank() over (partition by timestamp, p is null order by p desc)::double end as score_rank, case when p is not null then round({_RANK('p', 'timestamp, p is null')}, 6) end as score_percentile from scored",
 )
@@ -302,11 +313,16 @@ register(
   count(*) filter (i between e + 2 and e + 301) as valid_rows, min(timestamp) filter (i between e + 2 and e + 301) as valid_first, max(timestamp) filter (i between e + 2 and e + 301) as valid_last
 from folds join tagged on i <= e - 6 or i between e + 2 and e + 301 group by fold""",
 )
-register(
-    "sp1_holdout",
-    lambda s, d: splits.members(T.bars(s, d), [splits.holdout(splits.date_index(T.bars(s, d)).count(), 1500, 5, 2)]).groupBy("fold").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first")),
-    _with(_IDX) + "select 'holdout' as fold, count(*) as rows, min(timestamp) as first from bars join dates using (timestamp) where i >= 1503",
-)
+
+
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = T.bars(spark, sf_dir)
+    fold = [splits.holdout(splits.date_index(bars).count(), 1500, 5, 2)]
+    side = lambda part: splits.members(bars, fold, part).groupBy("fold").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).withColumn("part", F.lit(part))
+    return side("train").unionByName(side("valid"))
+
+
+register("sp1_holdout", _holdout, _with(_IDX) + "select 'holdout' as fold, count(*) as rows, min(timestamp) as first, max(timestamp) as last, case when i <= 1495 then 'train' else 'valid' end as part from bars join dates using (timestamp) where i <= 1495 or i >= 1503 group by 5")
 _INDUSTRY = (T.INDUSTRY_SQL, "placed as (select bars.symbol, bars.timestamp, i.level_1 as industry_level_1 from bars asof left join industry i on bars.symbol = i.symbol and bars.timestamp >= i.change_date)")
 register("jn3_industry_asof", lambda s, d: R.with_industry(T.bars(s, d), T.industry(s, d)).select("symbol", "timestamp", "industry_level_1"), _with(*_INDUSTRY) + "select * from placed")
 register(
@@ -314,15 +330,22 @@ register(
     lambda s, d: R.with_industry(T.bars(s, d), T.industry(s, d), "region").select("symbol", "timestamp", "industry_level_1"),
     _with(T.INDUSTRY_SQL) + "select bars.symbol, bars.timestamp, i.level_1 as industry_level_1 from bars asof left join (select * from industry where change_date = date '1992-01-01') i on bars.symbol = i.symbol and bars.timestamp >= i.change_date",
 )
+# Twenty weekdays before Sunday 1995-01-01, the first of them Friday: Monday 1994-12-05.
 register(
-    "flt1_flt3_lb3_training_dataset",
-    lambda s, d: rounded(training_dataset(T.bars(s, d), Spec(("close_to_sma_20", "return_5"), 5, "return", "rank", "1995-01-01", "1996-12-31", lookback=100_000)), ["close_to_sma_20", "return_5", "future_return_5d"]),
+    "flt1_flt2_flt3_lb3_training_dataset",
+    lambda s, d: rounded(training_dataset(T.bars(s, d), Spec(("close_to_sma_20", "return_5"), 5, "return", "rank", "1995-01-01", "1998-06-30")), ["close_to_sma_20", "return_5", "future_return_5d"]),
     _with(
-        f"f as (select symbol, timestamp, close, close / nullif({S.mean('close', 20)}, 0) - 1 as a, close / nullif({S.lag('close', 5)}, 0) - 1 as b, lead(close, 5) {S.P} / nullif(close, 0) - 1 as y from bars where timestamp < timestamp '1997-01-01')",
+        f"f as (select symbol, timestamp, close, close / nullif({S.mean('close', 20)}, 0) - 1 as a, close / nullif({S.lag('close', 5)}, 0) - 1 as b, lead(close, 5) {S.P} / nullif(close, 0) - 1 as y from bars where timestamp >= timestamp '1994-12-05' and timestamp < timestamp '1998-07-01')",
         f"n as (select *, {_RANK('a', 'timestamp, a is null')} as ra, {_RANK('b', 'timestamp, b is null')} as rb from f)",
     )
     + "select symbol, timestamp, round(ra, 6) as close_to_sma_20, round(rb, 6) as return_5, round(y, 6) + 0.0 as future_return_5d from n where a is not null and b is not null and y is not null and timestamp >= timestamp '1995-01-01'",
 )
+register(
+    "lb4_inference_dataset",
+    lambda s, d: rounded(inference_dataset(T.bars(s, d), Spec(("close_to_sma_20",), normalization="zscore", start="1995-01-01", end="1996-12-31", lookback=100_000)), ["close_to_sma_20"], 5),
+    _with(f"f as (select symbol, timestamp, close / nullif({S.mean('close', 20)}, 0) - 1 as a from bars where timestamp < timestamp '1997-01-01')")
+    + "select symbol, timestamp, round(case when max(a) over d <> min(a) over d then (a - avg(a) over d) / stddev_samp(a) over d end, 5) + 0.0 as close_to_sma_20 from f window d as (partition by timestamp)",
+)
 
 
 def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,9 +359,32 @@ register(
     _with(_SCORED, "v as (select symbol, timestamp, p, y from scored where p is not null and y is not null)", "m as (select avg(p) as mp, stddev_pop(p) as sp, avg(y) as my, count(*) as n, covar_pop(p, y) as c from v)")
     + "select symbol, timestamp, round(my + (p - mp) / sp * (n * c / sp / (n + 25.0)), 6) + 0.0 as prediction from v, m",
 )
+def _ridge_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge on one feature over walk-forward folds and a holdout, each fitted on its own training days."""
+    data = T.scored(spark, sf_dir).withColumnRenamed("prediction", "x").where("x is not null and label is not null")
+    n = splits.date_index(data).count()
+    folds = [*splits.walk_forward(n, 1000, 400, 400, 5, 2), splits.holdout(n, 1500, 5, 2)]
+    return experiment.validate(data, "ridge", ["x"], "label", folds, {"alpha": 25.0})
+
+
+_RIDGE = (
+    _SCORED, "v as (select symbol, timestamp, p as x, y from scored where p is not null and y is not null)", "days as (select timestamp, row_number() over (order by timestamp) - 1 as i from (select distinct timestamp from v))",
+    "folds as (select 'fold_' || (k + 1) as fold, 1000 + 400 * k - 6 as last, 1000 + 400 * k + 2 as a, 1000 + 400 * k + 401 as b from (select unnest(range(0, 100)) as k) where 1000 + 400 * k + 402 <= (select count(*) from days) union all select 'holdout', 1495, 1503, 1000000)",
+    "tagged as (select v.*, i from v join days using (timestamp))",
+    "fitted as (select fold, avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, count(*) as n, covar_pop(x, y) as c from folds join tagged on i <= last group by fold)",
+    "guessed as (select f.fold, symbol, timestamp, my + (x - mx) / sx * (n * c / sx / (n + 25.0)) as p, y from folds f join fitted using (fold) join tagged on i between a and b)",
+)
+register("ev1_ev2_ridge_folds", lambda s, d: rounded(_ridge_folds(s, d), list(metrics.METRICS), 5, ("fold",)), _with(*_RIDGE, _DAILY("fold, timestamp", "guessed"), f"m as (select fold, {_METRICS} from daily group by fold)") + f"select fold, {_FINAL} from m")
+register(
+    "ag4_mean_of_folds",
+    lambda s, d: rounded(metrics.mean_of_folds(_ridge_folds(s, d)), ["ic", "ic_std", "rank_ic", "rank_ic_std", "ndcg_at_10", "mae", "r2"], 5, ()),
+    _with(*_RIDGE, _DAILY("fold, timestamp", "guessed"), f"m as (select fold, {_METRICS} from daily group by fold)") + "select " + ", ".join(f"round(avg(coalesce({c}, 0)), 5) + 0.0 as {c}" for c in ("ic", "ic_std", "rank_ic", "rank_ic_std", "ndcg_at_10", "mae", "r2")) + " from m",
+)
+_WINDOWS = (("early", "1993-01-01", "1994-12-31"), ("late", "1994-06-01", "1997-06-30"), ("none", "2030-01-01", "2030-12-31"))
 register(
-    "ev2_walk_forward_ridge",
-    lambda s, d: (lambda data: rounded(experiment.validate(data, "ridge", ["close_to_sma_20", "volatility_20"], "future_return_5d", splits.walk_forward(splits.date_index(data).count(), 1000, 400)), list(metrics.METRICS), 5, ("fold",)))(training_dataset(T.bars(s, d), Spec(("close_to_sma_20", "volatility_20")))),
+    "ev5_signal_windows",
+    lambda s, d: rounded(experiment.by_windows(T.scored(s, d), _WINDOWS), list(metrics.METRICS), 5, ("window",)),
+    _with(_SCORED, "tagged as (select 'test' as w, * from scored" + "".join(f" union all select '{n}', * from scored where timestamp::date between date '{a}' and date '{b}'" for n, a, b in _WINDOWS) + ")", _DAILY("w, timestamp", "tagged"), f"m as (select w, {_METRICS} from daily group by w)") + f'select w as "window", {_FINAL} from m',
 )
 _YEARS = "tagged as (select *, 'oos_' || year(timestamp) || case when strftime(max(timestamp) over (partition by year(timestamp)), '%m-%d') = '12-31' then '' else '_ytd' end as bucket from scored)"
 register(
@@ -348,8 +394,8 @@ register(
 )
 register(
     "dg1_ic_decay",
-    lambda s, d: rounded(diagnostics.ic_decay(T.scored(s, d).drop("label").join(T.bars(s, d).select("symbol", "timestamp", "close"), ["symbol", "timestamp"]), [1, 5, 10]), list(metrics.METRICS), 5, ("horizon",)),
-    _with(_SCORED, "stacked as (" + " union all ".join(f"select symbol, timestamp, {h} as horizon, p, lead(close, {h}) {S.P} / nullif(close, 0) - 1 as y from scored" for h in (1, 5, 10)) + ")", _DAILY("horizon, timestamp", "stacked"), f"m as (select horizon, {_METRICS} from daily group by horizon)") + f"select horizon, {_FINAL} from m",
+    lambda s, d: rounded(diagnostics.ic_decay(T.scored(s, d).drop("label").join(T.bars(s, d).select("symbol", "timestamp", "close"), ["symbol", "timestamp"]), [1, 5, 10]), list(metrics.METRICS), 5, ("horizon", "rows")),
+    _with(_SCORED, "stacked as (" + " union all ".join(f"select symbol, timestamp, {h} as horizon, p, lead(close, {h}) {S.P} / nullif(close, 0) - 1 as y from scored" for h in (1, 5, 10)) + ")", _DAILY("horizon, timestamp", "stacked"), f"m as (select horizon, sum(n)::bigint as rows, {_METRICS} from daily group by horizon)") + f"select horizon, rows, {_FINAL} from m",
 )
 register(
     "dg3_jn6_ag5_regimes",
@@ -369,6 +415,37 @@ register(
     + f"select bucket, rows, {_FINAL} from m join counted using (bucket)",
 )
 
+_CAPS = (*_FUND, "caps as (select symbol, timestamp, ln(case when close * share_capital > 0 then close * share_capital end) as cap from funded)", "placed as (select scored.*, cap from scored left join caps using (symbol, timestamp))",
+    "numbered as (select *, least(greatest(ceil(row_number() over (partition by timestamp, cap is null order by cap, symbol) / count(*) over (partition by timestamp, cap is null)::double * 5), 1), 5)::int as q from placed)",
+    "tagged as (select *, case when q = 1 then 'cap_q1_smallest' when q = 5 then 'cap_q5_largest' else 'cap_q' || q end as bucket from numbered where cap is not null)")
+
+
+def _cap_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = factor_frame(T.bars(spark, sf_dir), ["log_total_mkt_cap"], keep=["symbol", "timestamp"], fundamentals=T.fundamentals(spark, sf_dir))
+    placed = diagnostics.with_cap_buckets(diagnostics.with_caps(T.scored(spark, sf_dir), panel), 5)
+    return rounded(diagnostics.slices(placed, ["market_cap_bucket"]), list(metrics.METRICS), 5, ("bucket", "rows"))
+
+
+register(
+    "dg5_jn5_cap_slices", _cap_slices,
+    _with(_SCORED, *_CAPS, _DAILY("bucket, timestamp", "tagged"), f"m as (select bucket, {_METRICS} from daily group by bucket)", "counted as (select bucket, count(*) as rows from tagged group by bucket)") + f"select bucket, rows, {_FINAL} from m join counted using (bucket)",
+)
+
+
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A symbol's last scored day in 1996 and its place among all symbols of that day."""
+    frame = T.scored(spark, sf_dir)
+    own = predict.latest_row(frame, ["prediction"], "1996-12-31", "000007").select(F.to_date("timestamp").cast("string").alias("d")).first()
+    return rounded(predict.context(frame, own.d, "000007"), ["prediction", "score_percentile", "top_score", "median_score", "bottom_score"], 6, ("symbol", "timestamp", "score_rank", "context_size"))
+
+
+register(
+    "pr1_pr2_st6_ag6_context", _context,
+    _with(_SCORED, "day as (select max(timestamp) as t from scored where symbol = '000007' and p is not null and timestamp < timestamp '1997-01-01')", "rows_of as (select s.* from scored s join day on s.timestamp = t where p is not null)",
+          f"ranked as (select *, rank() over (order by p desc) as score_rank, {_RANK('p')} as score_percentile from rows_of)", "whole as (select count(*) as context_size, max(p) as top_score, median(p) as median_score, min(p) as bottom_score from rows_of)")
+    + "select symbol, timestamp, score_rank::int as score_rank, context_size, round(p, 6) + 0.0 as prediction, round(score_percentile, 6) as score_percentile, round(top_score, 6) + 0.0 as top_score, round(median_score, 6) + 0.0 as median_score, round(bottom_score, 6) + 0.0 as bottom_score from ranked, whole where symbol = '000007'",
+)
+
 # -- ingestion over the event and order tables
 
 
@@ -422,10 +499,47 @@ register(
 select raw, symbol, case when symbol[1:2] = '16' then 'lof' when symbol[1:2] in ('15', '50', '51', '52', '56', '58') then 'etf'
   when symbol[1:3] in ('000', '001', '002', '003', '300', '301', '600', '601', '603', '605', '688') then 'stock' end as asset_type, case when symbol[1:1] in ('5', '6', '9') then 'SH' else 'SZ' end || symbol as exchange_symbol from s""",
 )
-register("src9_src10_universe", lambda s, d: sources.symbols_of(T.bars(s, d)).join(sources.universe(T.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("code"))).select("symbol"), "symbol", "left_semi"), _with() + "select distinct symbol from bars")
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = (F.col("p_partkey") * 3571 % 700000).cast("string")
+    parts = T.table(spark, sf_dir, "part")
+    master = parts.where("p_partkey % 3 = 0").select(code.alias("symbol"), F.when(F.col("p_partkey") % 2 == 0, "ETF").otherwise("Bond").alias("asset_type"))
+    return symbols.route(parts.select(symbols.normalize(code).alias("symbol")).distinct(), master)
+
+
+register(
+    "src13_route_by_master",
+    _routed,
+    """with r as (select distinct p_partkey * 3571 % 700000 as n from part), s as (select lpad(n::varchar, greatest(6, length(n::varchar))::int, '0') as symbol from r),
+m as (select lpad((p_partkey * 3571 % 700000)::varchar, greatest(6, length((p_partkey * 3571 % 700000)::varchar))::int, '0') as symbol, max(case when p_partkey % 2 = 0 then 'etf' else 'bond' end) as t from part where p_partkey % 3 = 0 group by 1)
+select symbol, coalesce(t, case when symbol[1:2] = '16' then 'lof' when symbol[1:2] in ('15', '50', '51', '52', '56', '58') then 'etf'
+  when symbol[1:3] in ('000', '001', '002', '003', '300', '301', '600', '601', '603', '605', '688') then 'stock' end) as asset_type from s left join m using (symbol)""",
+)
+register(
+    "src9_src10_universe_in_order",
+    lambda s, d: sources.universe(T.table(s, d, "supplier").orderBy(F.desc("s_suppkey")).select((F.col("s_suppkey") * 7 % 60).cast("string").alias("code"))).select("symbol", F.row_number().over(Window.orderBy("seq")).cast("long").alias("place")),
+    """with r as (select lpad((s_suppkey * 7 % 60)::varchar, 6, '0') as symbol, row_number() over (order by s_suppkey desc) as n from supplier), f as (select symbol, min(n) as n from r group by symbol)
+select symbol, row_number() over (order by n) as place from f""",
+)
 register(
     "src5_src8_jn10_load",
-    lambda s, d: sources.between(T.bars(s, d), "1995-01-01", "1995-06-30").where(F.col("symbol").isin("000001", "000002")).select("symbol", "timestamp", "close", "volume"),
-    _with() + "select symbol, timestamp, close, volume from bars where symbol in ('000001', '000002') and timestamp >= timestamp '1995-01-01' and timestamp < timestamp '1995-07-01'",
+    lambda s, d: sources.load(s, f"{d.rstrip('/')}/lineitem.parquet", sources.universe(T.table(s, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("string").alias("symbol"))), "1993-01-01", "1998-06-30", lambda spark, path: T.bars(spark, path.rpartition("/")[0])).select("symbol", "timestamp", "close", "volume"),
+    _with("u as (select lpad(s_suppkey::varchar, 6, '0') as symbol from supplier where s_suppkey % 3 <> 0)") + "select symbol, timestamp, close, volume from bars where symbol in (select symbol from u) and timestamp >= timestamp '1993-01-01' and timestamp < timestamp '1998-07-01'",
+)
+register(
+    "ag9_mrg2_latest_day",
+    lambda s, d: s.createDataFrame([(x := ingest.latest_day(T.table(s, d, "orders"), ["trade_date", "o_orderdate"]), ingest.incremental_start(date(1992, 1, 1), x, date(2030, 1, 1), 7))], "latest date, start date"),
+    "select max(o_orderdate)::date as latest, max(o_orderdate)::date - 7 as start from orders",
+)
+register(
+    "std8_industries",
+    lambda s, d: ingest.industries(T.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), F.when(F.col("s_suppkey") % 5 > 0, F.lit("1995-06-01")).otherwise(F.lit("unknown")).alias("from"), F.col("s_nationkey").cast("string").alias("code"), F.col("s_name").alias("industry_level_1")), {"change_date": "from", "industry_code": "code"}).select("symbol", "change_date", "industry_level_1", "industry_code"),
+    "select s_suppkey::varchar as symbol, date '1995-06-01' as change_date, s_name as industry_level_1, s_nationkey::varchar as industry_code from supplier where s_suppkey % 5 > 0",
+)
+register(
+    "std10_benchmark",
+    lambda s, d: ingest.benchmark(T.benchmark(s, d).select(F.col("timestamp").cast("string").alias("trade_date"), F.col("close").cast("string").alias("close"))),
+    "with " + T.BENCHMARK_SQL + " select timestamp, close from index_series",
 )
 register("ag7_coverage", lambda s, d: rounded(diagnostics.coverage(T.scored(s, d), ["prediction", "label"]), ["prediction", "label"], 6, ()), _with(_SCORED) + "select round(avg((p is not null)::int), 6) as prediction, round(avg((y is not null)::int), 6) as label from scored")

@@ -47,13 +47,56 @@ class Experiment:
         return Spec(self.features, self.horizon, self.target, self.normalization, start, end)
 
 
-def load(path: str, profile: dict[str, Any] | None = None) -> Experiment:
-    """A YAML file with ``profile`` defaults under it; signal_test must be given."""
+#: What a research profile gives an experiment that says nothing of it (fixed values).
+PROFILE = {
+    "market": "ashare", "provider": "parquet", "data_root": "data/lake", "universe_root": "data/universe", "reference_root": "data/reference", "timeframe": "1d", "adjust": "qfq",
+    "universe": None, "benchmark_symbol": "sh000300", "industry_standard": "申银万国行业分类标准", "market_cap_bucket_count": 5,
+}
+
+
+def _yaml(path: str) -> dict[str, Any]:
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        raw = (profile or {}) | (yaml.safe_load(f) or {})
-    return parse(raw, os.path.splitext(os.path.basename(path))[0])
+        return yaml.safe_load(f) or {}
+
+
+def load_profile(name: str, root: str = "configs/profiles") -> dict[str, Any]:
+    """A research profile by path, or by name below ``root`` or its ashare folder, with the defaults under it."""
+    places = [name, *(os.path.join(root, sub, name + end) for sub in ("", "ashare") for end in (".yaml", ".yml"))]
+    path = next((p for p in places if os.path.isfile(p)), None)
+    if path is None:
+        raise FileNotFoundError(f"Research profile not found: {name}. Looked for: {', '.join(places)}")
+    raw = _yaml(path)
+    return PROFILE | {k: v for k, v in raw.items() if v is not None} | {"research_profile": raw.get("name") or os.path.splitext(os.path.basename(path))[0]}
+
+
+def with_profile(raw: dict[str, Any], profile: dict[str, Any]) -> dict[str, Any]:
+    """``raw`` over the profile; what is missing, null or blank comes from the profile."""
+    return {k: v for k, v in profile.items() if k != "name"} | {k: v for k, v in raw.items() if v not in (None, "")}
+
+
+def load(path: str, profile: dict[str, Any] | None = None, root: str = "configs/profiles") -> Experiment:
+    """A YAML file over ``profile`` or the one that it names; signal_test must be given."""
+    raw = _yaml(path)
+    if profile is None and raw.get("research_profile"):
+        profile = load_profile(str(raw["research_profile"]), root)
+    return parse(with_profile(raw, profile) if profile else raw, os.path.splitext(os.path.basename(path))[0])
+
+
+def load_group(path: str, root: str = "configs/profiles") -> list[Experiment]:
+    """The experiments of a group file: its ``experiments`` are paths beside it, or specs, over the group's own values."""
+    raw = _yaml(path)
+    shared = {k: v for k, v in raw.items() if k not in ("name", "experiments", "description")} | {"group": raw.get("name") or os.path.splitext(os.path.basename(path))[0]}
+    found = []
+    for item in raw.get("experiments", []):
+        own = item if isinstance(item, dict) else _yaml(os.path.join(os.path.dirname(path), item))
+        name = own.get("name") or (os.path.splitext(os.path.basename(item))[0] if isinstance(item, str) else "experiment")
+        own = shared | {k: v for k, v in own.items() if v not in (None, "")} | {"name": name}
+        found.append(parse(with_profile(own, load_profile(str(own["research_profile"]), root)) if own.get("research_profile") else own, name))
+    if len({e.name for e in found}) < len(found):
+        raise ValueError("experiments of a group need names of their own")
+    return found
 
 
 def parse(raw: dict[str, Any], name: str = "experiment") -> Experiment:
@@ -87,6 +130,8 @@ def _folds(data: DataFrame, options: dict[str, Any]) -> list[splits.Fold]:
     n = splits.date_index(data).count()
     if options.get("mode", "walk_forward") == "holdout":
         cut = int(n * float(options.get("train_fraction", 0.8))) - 1
+        if options.get("train_end"):
+            cut = splits.date_index(data).where(F.to_date("timestamp") <= F.lit(str(options["train_end"])).cast("date")).count() - 1
         return [splits.holdout(n, cut, int(options.get("purge", 0)), int(options.get("embargo", 0)))]
     sizes = {k: int(options[k]) for k in ("train_size", "valid_size") if k in options} or {"train_size": n // 2, "valid_size": max(1, n // 6)}
     return splits.walk_forward(n, **sizes, step=options.get("step"), purge=int(options.get("purge", 0)), embargo=int(options.get("embargo", 0)), expanding=bool(options.get("expanding", True)))
@@ -144,16 +189,15 @@ def sliced(scored: DataFrame, e: Experiment, prepared: Prepared) -> dict[str, li
         frame, keys = with_industry(frame, given["industry"], e.industry_standard), [*keys, "industry_level_1"]
     if "fundamentals" in given:
         caps = inference_dataset(prepared.bars, Spec(("log_total_mkt_cap",), e.horizon, e.target, "none", *e.test), **given)
-        caps = trim(caps, *e.test).select("symbol", "timestamp", "log_total_mkt_cap")
-        frame, keys = diagnostics.with_cap_buckets(frame.join(caps, ["symbol", "timestamp"], "left"), e.cap_buckets), [*keys, "market_cap_bucket"]
+        frame, keys = diagnostics.with_cap_buckets(diagnostics.with_caps(frame, trim(caps, *e.test)), e.cap_buckets), [*keys, "market_cap_bucket"]
     out: dict[str, list[dict[str, Any]]] = {k: [] for k in keys}
-    for r in diagnostics.slices(frame, keys).orderBy("slice", "bucket").collect():
+    for r in diagnostics.in_order(diagnostics.slices(frame, keys)).collect():
         out[r["slice"]].append(r.asDict())
     return out
 
 
-def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> dict[str, Any]:
-    """Train, validate and test one experiment; the summary is also written below ``root``.
+def train(e: Experiment, prepared: Prepared, home: str) -> tuple[dict[str, Any], Callable[[DataFrame], DataFrame]]:
+    """Validate and fit one experiment and store its artifact: the training metadata and the scorer.
 
     With tuning, trials are drawn and refitted on the days before the selection window,
     the one that does best on the window gives the parameters, and the final model is
@@ -167,7 +211,7 @@ def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> di
     if e.tuning.get("enabled"):
         start = selection_start(data, e)
         before = prepared.get(e.spec(e.train[0], (date.fromisoformat(start) - timedelta(days=1)).isoformat()))
-        trials = models.tune(before, e.model, features, spec.label, _folds(before, e.validation), int(e.tuning.get("trials", 10)), e.tuning.get("metric", "rank_ic"), int(e.tuning.get("top", 5)))
+        trials = models.tune(before, e.model, features, spec.label, _folds(before, e.validation), int(e.tuning.get("trials", 10)), e.tuning.get("metric", "rank_ic"), int(e.tuning.get("top", 5)), fixed=e.parameters)
         selection = select_candidate(data, before, e, trials, start)
         parameters |= selection["candidates"][0]["model_params"]
         meta |= {"selection_validation_mode": "holdout", "tuning": {"enabled": True, "validation_mode": mode, "metric": e.tuning.get("metric", "rank_ic"), "trial_records": trials}}
@@ -176,15 +220,21 @@ def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> di
         folds = [splits.holdout(n, cut, int(e.validation.get("purge", 0)), int(e.validation.get("embargo", 0)))]
     else:
         folds = _folds(data, e.validation)
-    meta |= {"model_params": parameters, "candidate_selection": selection}
     validation = metrics.mean_of_folds(validate(data, e.model, features, spec.label, folds, parameters)).first().asDict()
+    meta |= {"model_params": parameters, "candidate_selection": selection, "validation_metrics": validation}
     scorer = models.fit(data, e.model, features, spec.label, parameters)
-    home = os.path.join(root, e.name)
-    summary = {"name": e.name, "group": e.group, "model": e.model, "features": features, "validation_metrics": validation, "artifact_path": home, "report_dir": home, "research_profile": e.profile, "feature_normalization": e.normalization, "training_metadata": meta, "candidate_selection": selection}
-    save_artifact(home, scorer.artifact, {k: summary[k] for k in ("name", "model", "features")} | {"label": spec.label, "parameters": parameters})
+    save_artifact(home, scorer.artifact, {"name": e.name, "model": e.model, "features": features, "label": spec.label, "parameters": parameters})
+    return meta, scorer
+
+
+def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> dict[str, Any]:
+    """Train, validate and test one experiment; the summary is also written below ``root``."""
+    home, features = os.path.join(root, e.name), list(e.features)
+    meta, scorer = train(e, prepared, home)
+    selection, trials = meta["candidate_selection"], meta["tuning"].get("trial_records", [])
+    summary = {"name": e.name, "group": e.group, "model": e.model, "features": features, "validation_metrics": meta["validation_metrics"], "artifact_path": home, "report_dir": home, "research_profile": e.profile, "feature_normalization": e.normalization, "training_metadata": meta, "candidate_selection": selection}
     scored = _scored(prepared, e, scorer, *e.test).select("symbol", "timestamp", "close", "prediction", "label").persist()
-    windows = scored.select("*", F.explode(F.filter(F.array(F.lit("test"), *(F.when(F.to_date("timestamp").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in e.windows)), lambda x: x.isNotNull())).alias("window"))
-    found = {r["window"]: {m: r[m] for m in metrics.METRICS} for r in metrics.evaluate(windows, by=["window"]).collect()}
+    found = {r["window"]: {m: r[m] for m in metrics.METRICS} for r in by_windows(scored, e.windows).collect()}
     summary["signal_test_metrics"] = found.pop("test", dict.fromkeys(metrics.METRICS, 0.0))
     summary["signal_windows"] = found
     summary["ic_decay"] = [r.asDict() for r in diagnostics.ic_decay(scored, list(e.decay)).collect()]
@@ -197,6 +247,13 @@ def run(spark: SparkSession, e: Experiment, prepared: Prepared, root: str) -> di
     return summary
 
 
+def by_windows(scored: DataFrame, windows: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """window and its metrics: ``test`` for all rows and each (name, first day, last day), which may overlap."""
+    inside = [F.when(F.to_date("timestamp").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(n)) for n, a, b in windows]
+    tagged = scored.withColumn("window", F.explode(F.filter(F.array(F.lit("test"), *inside), lambda x: x.isNotNull())))
+    return metrics.evaluate(tagged, by=["window"])
+
+
 def rerank(candidates: list[dict[str, Any]], metric: str = "rank_ic", minimize: bool = False, top: int | None = None) -> list[dict[str, Any]]:
     """Candidates by a validation metric, a missing one counting as 0; ties keep their order."""
     value = lambda c: float(c.get("validation_metrics", {}).get(metric) or 0.0)
@@ -248,9 +305,9 @@ def compare(spark: SparkSession, summaries: list[dict[str, Any]]) -> DataFrame:
 
 
 def backfill(prepared: Prepared, e: Experiment, path: str) -> dict[str, Any]:
-    """Metrics of a stored ridge model on its own folds; in_sample says that it saw them in training."""
+    """Metrics of a stored model of any kind on its own folds; in_sample says that it saw them in training."""
     model, metadata = load_artifact(path)
     data = prepared.get(e.spec(*e.train))
-    scored = ridge.score(splits.members(data, _folds(data, e.validation)), model)
+    scored = models.scorer(model, metadata["features"])(splits.members(data, _folds(data, e.validation)))
     row = metrics.mean_of_folds(metrics.evaluate(scored, label=metadata["label"], by=["fold"])).first()
     return row.asDict() | {"in_sample": True}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 from collections.abc import Callable, Iterable
 from datetime import date
@@ -60,14 +61,14 @@ def sync_plan(symbols: Iterable[str], scopes: Iterable[str], fresh: Callable[[st
 
 
 def retry(call: Callable[[], V], attempts: int = 3, wait: float = 1.0, timeout: float | None = None) -> V:
-    """``call`` with a growing pause between attempts; a late answer counts as a failure."""
+    """``call`` with a growing pause between attempts.
+
+    With ``timeout`` a call that hangs is left behind in its daemon thread after so many
+    seconds and counts as a failure.
+    """
     for n in range(1, attempts + 1):
-        began = time.monotonic()
         try:
-            out = call()
-            if timeout is not None and time.monotonic() - began > timeout:
-                raise TimeoutError(f"took longer than {timeout} s")
-            return out
+            return call() if timeout is None else _within(call, timeout)
         except Exception:
             if n == attempts:
                 raise
@@ -75,6 +76,26 @@ def retry(call: Callable[[], V], attempts: int = 3, wait: float = 1.0, timeout:
     raise ValueError("attempts must be at least 1")
 
 
+def _within(call: Callable[[], V], seconds: float) -> V:
+    done: list[tuple[bool, Any]] = []
+
+    def run() -> None:
+        try:
+            done.append((True, call()))
+        except BaseException as error:  # noqa: BLE001 - raised again in the caller's thread
+            done.append((False, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise TimeoutError(f"took longer than {seconds} s")
+    good, value = done[0]
+    if not good:
+        raise value
+    return value
+
+
 def workers(tasks: int, asked: int | None, most: int = 8) -> int:
     return max(1, min(tasks, asked or most, most))
 
