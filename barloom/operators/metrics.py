@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.cross_section import TIME, rank_pct
+from barloom.operators.cross_section import TIME
 from barloom.schema import finite
 
 METRICS = ("ic", "ic_std", "icir", "rank_ic", "rank_ic_std", "rank_icir", "ndcg_at_10", "mae", "r2")
@@ -25,8 +25,11 @@ def daily(scored: DataFrame, prediction: str = "prediction", label: str = "label
     """
     by = [*(by or []), TIME]
     rows = scored.select(*by, "symbol", F.col(prediction).alias("p"), F.col(label).alias("y")).where("p is not null and y is not null")
-    best = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), "symbol"))
-    rows = rows.select("*", rank_pct("p", by).alias("rp"), rank_pct("y", by).alias("ry"), best("p").alias("np"), best("y").alias("ny"))
+    # One sort for each side: from the row numbers come the ranks (their mean over ties) and, counted from the end, the places.
+    rows = rows.withColumn("m", F.count("*").over(Window.partitionBy(*by)))
+    for c in ("p", "y"):
+        rows = rows.withColumn(f"n{c}", F.row_number().over(Window.partitionBy(*by).orderBy(c, F.desc("symbol"))))
+        rows = rows.withColumn(f"r{c}", F.avg(f"n{c}").over(Window.partitionBy(*by, c)) / F.col("m")).withColumn(f"n{c}", F.col("m") + 1 - F.col(f"n{c}"))
     gain = F.pow(F.lit(2.0), F.col("y")) - 1
     part = lambda n: F.sum(F.when(F.col(n) <= k, gain / F.log2(F.col(n) + 1)))
     out = rows.groupBy(*by).agg(_corr("p", "y").alias("ic"), _corr("rp", "ry").alias("rank_ic"), part("np").alias("dcg"), part("ny").alias("idcg"), F.sum(F.abs(F.col("p") - F.col("y"))).alias("abs_error"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("sq_error"), F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum(F.col("y") * F.col("y")).alias("sum_y2"))
