@@ -179,6 +179,20 @@ def position() -> Node:
     return windowed("row", lambda: F.row_number().over(ordered()))
 
 
+def unexplained(x, y, w: int) -> Node:
+    """What the line of ``x`` on ``y`` with slope ``beta`` leaves of ``x`` at the last row."""
+    a, b = _relative(x, y), _relative(y, x)
+    return (a - _since(running(a), w) / w) - beta(x, y, w) * (b - _since(running(b), w) / w)
+
+
+def steady_std(x, w: int) -> Node:
+    """Population standard deviation of values that scatter about one level, such as returns; 0 for a constant window."""
+    a = _relative(x)
+    mean_now, square = _since(running(a), w) / w, _since(running(a * a), w) / w
+    spread = scalar("root_of_positive", lambda v, flat: F.when(flat, F.lit(0.0)).otherwise(F.sqrt(F.greatest(v, F.lit(0.0)))), square - mean_now * mean_now, constant(x, w))
+    return _if(full(w, x), spread)
+
+
 def _line(x, w: int) -> tuple[Node, Node]:
     """Slope of the least-squares line through the window, and its value at the last row less ``x``'s first one."""
     a, t = _relative(x), position()

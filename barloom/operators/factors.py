@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from barloom.functions.expr import Node, absolute, at_least, at_most, coalesce, column, greatest, is_greater, least, ln, node, root, scalar
 from barloom.functions.windows import (
-    beta, compounded, corr, diff, highest, lag, lowest, mean, pct_change, quantile, r_squared, rank_pct, residual, since_highest, since_lowest, slope, std, total,
+    beta, compounded, corr, diff, highest, lag, lowest, mean, pct_change, quantile, r_squared, rank_pct, residual, since_highest, since_lowest, slope, std, steady_std, total, unexplained,
 )
 from barloom.operators.registry import Factor, Inputs, Registry
 from barloom.schema import LOT_SIZE
@@ -97,10 +97,7 @@ def market_beta(i: Inputs, w: int) -> Node:
 
 def residual_volatility(i: Inputs, w: int) -> Node:
     """Deviation of r - (alpha + beta b) with both re-estimated on every row."""
-    r, b = pct_change(C), _present(i, f"benchmark_return_1_{BENCHMARK}")
-    slope_now = beta(r, b, w)
-    intercept = mean(r, w) - slope_now * mean(b, w)
-    return std(r - (intercept + slope_now * b), w)
+    return steady_std(unexplained(pct_change(C), _present(i, f"benchmark_return_1_{BENCHMARK}"), w), w)
 
 
 def price_to_rolling_low(w: int) -> Node:
