@@ -28,7 +28,9 @@ from barloom.llm import scratch
 from barloom.llm.kernels import column
 
 #: Vectors in a block, a super-block and a shard; queries that travel together; shards whose maxima do.
-LEAF, SUPER, SHARD, CHUNK, GROUP = 2, 128, 1 << 15, 1 << 10, 32
+LEAF, SUPER, SHARD, CHUNK, GROUP = 2, 256, 1 << 15, 1 << 10, 32
+#: Super-blocks of a query between two looks at its bounds.
+TOGETHER = 4
 #: Projections of the similarity key.
 _SIGNS = 24
 
@@ -102,16 +104,19 @@ class Shard:
         bound = up @ _widen(self.super_most, d).T + down @ _widen(self.super_least, d).T
         order = np.argsort(-bound, axis=1, kind="stable")
         active, scored, k = np.arange(len(queries)), 0, ids.shape[1]
-        for r in range(bound.shape[1]):
-            block = order[active, r]
-            alive = bound[active, block] >= scores[active, -1]
-            active, block = active[alive], block[alive]
-            if not len(active):
-                break
+        for r in (0, *range(1, bound.shape[1], TOGETHER)):
+            block = order[active, r : r + (TOGETHER if r else 1)]
+            alive = bound[active[:, None], block] >= scores[active, -1:]
+            rows_of, at = np.nonzero(alive)
+            block, rows_of = block[rows_of, at], active[rows_of]
+            active = active[alive[:, -1]]
             by_block = np.argsort(block, kind="stable")
             edges = np.flatnonzero(np.diff(block[by_block], prepend=-1, append=-1))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                rows, number = active[by_block[lo:hi]], int(block[by_block[lo]])
+                rows, number = rows_of[by_block[lo:hi]], int(block[by_block[lo]])
+                rows = rows[bound[rows, number] >= scores[rows, -1]]
+                if not len(rows):
+                    continue
                 first, last = number * SUPER // LEAF, min(len(self.most), (number + 1) * SUPER // LEAF)
                 near = up[rows] @ _widen(self.most[first:last], d).T + down[rows] @ _widen(self.least[first:last], d).T >= scores[rows, -1:]
                 scored += int(near.sum())
