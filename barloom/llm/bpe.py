@@ -168,7 +168,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, lis
 
 
 #: Bytes of text encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _id_lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:

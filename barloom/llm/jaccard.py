@@ -44,7 +44,7 @@ BUCKET, HOT = 1 << 22, 1 << 18
 #: Sets outside a token's largest component above which its pairs are listed by two tokens.
 CROWD = 1000
 #: Bytes of text handled at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bitmap that spares texts a shuffle; 8 MB.
 BITMAP_BITS = 26
 
@@ -266,10 +266,11 @@ def _sets(df: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     bits = 1 << BITMAP_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            seen[_slot(np.asarray(column(batch, "doc_id")))] = True
-        packed = np.packbits(seen).reshape(-1, 1 << 16)
+            slot = _slot(np.asarray(column(batch, "doc_id")))
+            np.bitwise_or.at(packed, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        packed = packed.reshape(-1, 1 << 16)
         full = np.flatnonzero(packed.any(1))
         if len(full):
             yield pa.RecordBatch.from_pydict({"part": pa.array(full, pa.int32()), "bits": pa.array([zlib.compress(packed[i].tobytes(), 1) for i in full], pa.binary())})

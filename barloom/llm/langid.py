@@ -24,7 +24,7 @@ from barloom.llm.scratch import on_workers
 
 PROFILE = 300
 #: Bytes of text handled at once; n-gram codes take many times the text.
-SLICE = 1 << 20
+SLICE = 1 << 19
 UNDETERMINED = "und"
 #: Languages compared in one pass over the texts, whose profiles travel to every task together (10 MB).
 AT_ONCE = 2000

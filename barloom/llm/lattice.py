@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import scratch
-from barloom.llm.kernels import LOWER, column, per_text, span_hash, spans_of_words, text_slices
+from barloom.llm.kernels import LOWER, column, span_hash, spans_of_words, text_slices
 
 #: Frequent words that every task knows; 2 MB whatever the input.
 FREQUENT = 1 << 17

@@ -24,6 +24,8 @@ from barloom.llm.scratch import on_workers
 CHUNK, WINDOW, STRIDE, EMBED, FILTERS = 512, 8, 2, 4, 32
 PER_CHUNK = CHUNK // STRIDE
 
+#: Bytes of text handled at once.
+SLICE = 1 << 19
 #: Labelled rows of the training sample unless the caller says otherwise.
 MAX_ROWS = 4000
 
@@ -162,7 +164,7 @@ def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shipped.value
-        for rows, data, offsets in text_slices(batches, text, 2 << 20):
+        for rows, data, offsets in text_slices(batches, text, SLICE):
             chunks, owner, size = layout(data, offsets)
             n = len(offsets) - 1
             logit = np.bincount(owner, net.logits(chunks) * size, n) / np.bincount(owner, size, n)

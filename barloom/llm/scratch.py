@@ -84,7 +84,7 @@ def release(tables: Tables | None = None) -> None:
 
 #: Spark's own default for the bytes of an Arrow batch, and ours: batches wait in the JVM
 #: and in the worker, and the kernels cut them into slices of a few megabytes anyway.
-_BATCH, _DEFAULT_BATCH, _OUR_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20)
+_BATCH, _DEFAULT_BATCH, _OUR_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20)
 
 
 def on_workers(spark: SparkSession) -> None:
