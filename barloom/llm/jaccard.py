@@ -45,8 +45,8 @@ BUCKET, HOT = 1 << 22, 1 << 18
 CROWD = 1000
 #: Bytes of text handled at once.
 SLICE = 1 << 20
-#: Bitmap that spares texts a shuffle; 8 MB.
-BITMAP_BITS = 26
+#: Bitmap that spares texts a shuffle; 8 MB.  Up to this share of bits set, it decides alone.
+BITMAP_BITS, SPARSE = 26, 1 / 32
 
 
 def _slots(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,10 +258,12 @@ def _match(parts: list, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(df: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep and the whole token set of the texts whose id is in ``wanted`` (doc_id).
+    """rep and the whole token set of the texts whose id is in ``wanted`` (doc_id), and of few others.
 
-    A bitmap of fixed size drops most other texts before the exact semi-join shuffles
-    any; with very many ids it passes more, and the join alone decides.
+    A bitmap of fixed size drops most other texts.  While at most SPARSE of it is set, the
+    few it lets through stay, and the joins on ``rep`` that follow drop them; with more
+    ids an exact semi-join comes before the sets are made.  Either way a stage has one
+    Python node: with two, each task takes two workers, and Spark keeps them all.
     """
     bits = 1 << BITMAP_BITS
 
@@ -306,7 +308,10 @@ def _sets(df: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             tokens, at = shingle_sets(data, offsets, k)
             yield pa.RecordBatch.from_pydict({"rep": column(rows, "doc_id"), "n": pa.array(np.diff(at), pa.int64()), "tokens": _lists([tokens[a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())})
 
-    return df.mapInArrow(maybe, df.schema).join(wanted, "doc_id", "left_semi").mapInArrow(run, "rep long, n long, tokens array<long>")
+    kind = "rep long, n long, tokens array<long>"
+    if int(np.bitwise_count(packed).sum()) <= SPARSE * bits:
+        return df.mapInArrow(lambda batches: run(maybe(batches)), kind)
+    return df.mapInArrow(maybe, df.schema).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, kind)
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:

@@ -13,7 +13,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 
 from barloom.llm.kernels import ranges, span_hash
 
@@ -119,6 +118,8 @@ class PieceCache:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and the offsets between its texts."""
+        import pandas as pd  # here, since workers that only ask for classes would hold it too
+
         begin, size = split(data, offsets)
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)

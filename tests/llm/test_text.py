@@ -1,5 +1,7 @@
 import gzip
 import random
+import subprocess
+import sys
 from fractions import Fraction
 
 import numpy as np
@@ -62,6 +64,25 @@ def test_jaccard_empty(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("sparse", [True, False])
+def test_jaccard_sets_use_one_worker_a_task(spark, monkeypatch, sparse):
+    if not sparse:
+        monkeypatch.setattr(jaccard, "SPARSE", 0)
+    rows = [(i, f"w{i} w{i % 7} w{i % 5} w{i % 3}") for i in range(300)] + [(6, "another text of six"), (None, "w1 w2 w3"), (9, None)]
+    wanted = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    sets = jaccard._sets(spark.createDataFrame(rows, "doc_id long, text string"), wanted, 3)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    python, joins = plan.count("MapInArrow"), plan.count("SortMergeJoin")
+    assert (python, joins, plan.count("BroadcastHashJoin")) == ((1, 0, 0) if sparse else (2, 1, 0))  # with two, an exchange is between them
+    got = sorted((r.rep, r.n, len(set(r.tokens))) for r in sets.collect() if r.rep is not None and r.rep % 3 == 0)
+    assert got == sorted((i, len(shingles(x, 3)), len(shingles(x, 3))) for i, x in rows if i is not None and i % 3 == 0)
+
+
+def test_classes_of_characters_load_no_pandas():
+    code = "import sys; before = 'pandas' in sys.modules; from barloom.llm import decontam, jaccard, langid, quality; sys.exit('pandas' in sys.modules and not before)"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
 def test_jaccard_null_ids_and_a_group_of_a_third(spark):
     rows = [(None, "a b c d e f"), (None, "x y z"), (9, "a b c d e f")] + [(100 + i, "one text that very many rows hold") for i in range(300)] + [(500 + i, "") for i in range(300)] + [(1000 + i, f"alone number {i}") for i in range(300)]
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
